@@ -154,3 +154,22 @@ def v_log(t: Tables) -> DataFrame:
     return t("events").select(
         F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("section"), F.col("props").alias("line")
     )
+
+
+def v_params(t: Tables) -> DataFrame:
+    """Run parameters (run_id, name, value) derived from the parts table."""
+    k = F.col("p_partkey")
+    rows = [
+        (F.lit("boundary_width"), F.col("p_size").cast("string")),
+        (F.lit("angle_range"), (20 + k % 3).cast("string")),
+        (F.lit("scale_min"), F.when(k % 4 == 0, "0.8").when(k % 4 == 1, "0.85").otherwise("0.9125")),
+        (F.lit("use_edges"), F.when(k % 2 == 0, "true").otherwise("false")),
+        (F.lit("stopdelta"), F.when(k % 3 == 0, "1e-06").otherwise("0.0000125")),
+        (F.lit("interior_blur_base"), F.when(k % 5 == 0, "8").otherwise("12.50")),
+        (F.lit("manual_scale"), F.when(k % 7 != 0, F.col("p_retailprice").cast("string"))),
+    ]
+    base = t("part").select(
+        k.alias("run_id"), F.explode(F.array(*[F.struct(n.alias("name"), v.alias("value")) for n, v in rows])).alias("p"),
+    ).select("run_id", "p.name", "p.value")
+    typos = t("part").filter(k % 17 == 0).select(k.alias("run_id"), F.col("p_brand").alias("name"), F.lit("1").alias("value"))
+    return base.unionByName(typos)

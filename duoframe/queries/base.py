@@ -96,6 +96,27 @@ VIEWS = {
         case when s_suppkey % 5 = 0 then 'fits' else 'tiff' end as fmt
         from supplier join nation on s_nationkey = n_nationkey
                       join region on n_regionkey = r_regionkey""",
+    "v_params": """select p_partkey as run_id, n.name, case n.name when 'boundary_width' then cast(p_size as varchar)
+          when 'angle_range' then cast(20 + p_partkey % 3 as varchar)
+          when 'scale_min' then case p_partkey % 4 when 0 then '0.8' when 1 then '0.85' else '0.9125' end
+          when 'use_edges' then case when p_partkey % 2 = 0 then 'true' else 'false' end
+          when 'stopdelta' then case when p_partkey % 3 = 0 then '1e-06' else '0.0000125' end
+          when 'interior_blur_base' then case when p_partkey % 5 = 0 then '8' else '12.50' end
+          else case when p_partkey % 7 <> 0 then cast(p_retailprice as varchar) end end as value
+        from part, (values ('boundary_width'), ('angle_range'), ('scale_min'), ('use_edges'), ('stopdelta'),
+          ('interior_blur_base'), ('manual_scale')) n(name)
+        union all select p_partkey, p_brand, '1' from part where p_partkey % 17 = 0""",
+    "v_changed": """select p.run_id, g.ord, p.name, p.value, g.dflt, g.abbrev, g.stage from v_params p join (values
+          (2, 'boundary_width', '15', 'bw', 2), (5, 'angle_range', '20', 'ar', 2), (8, 'scale_min', '0.85', 'smin', 2),
+          (1, 'use_edges', 'true', 'ue', 2), (20, 'stopdelta', '1e-06', 'sdl', 2),
+          (22, 'interior_blur_base', '8.0', 'iblur', 3), (26, 'manual_scale', null, 'msc', 4)) g(ord, name, dflt, abbrev, stage)
+        on p.name = g.name where not coalesce(try_cast(p.value as double) = try_cast(g.dflt as double), false)
+          and p.value is distinct from g.dflt""",
+    "v_suffix": """select a.run_id, coalesce(b.suffix, '') as suffix from (select distinct run_id from v_params) a left join
+        (select run_id, '_' || string_agg(abbrev || case when value is null then 'none' when name = 'use_edges' then
+             case when value = 'true' then '1' else '0' end
+           when regexp_matches(value, '[.eE]') then printf('%g', try_cast(value as double)) else value end, '_' order by ord) as suffix
+         from v_changed group by 1) b on a.run_id = b.run_id""",
     "v_log": "select event_id as seq, ts, event_type as section, props as line from events",
     # brightest pixels as whole frames of 128 x 128 cells
     "v_cells": """select s.sample, s.kind, a.r, b.c
