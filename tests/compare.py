@@ -3,6 +3,7 @@
     python tests/compare.py <sf> [name ...]
 """
 
+import signal
 import sys
 import time
 from pathlib import Path
@@ -59,6 +60,10 @@ def differences(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
     return f"types {odd}" if odd and len(a) else None
 
 
+def _late(signum, frame):
+    raise TimeoutError("took more than a minute")
+
+
 def main(sf: str, names: list[str]) -> int:
     from duoframe import local_session
     from duoframe.queries import ORACLE, QUERIES
@@ -66,9 +71,11 @@ def main(sf: str, names: list[str]) -> int:
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(f"{TESTDATA}/sf{sf}")
+    signal.signal(signal.SIGALRM, _late)
     bad = 0
     for name in names or list(QUERIES):
         t0 = time.time()
+        signal.alarm(60)
         try:
             got = QUERIES[name](spark, f"{TESTDATA}/sf{sf}").toPandas()
         except Exception as e:  # report and go on with the next query
@@ -76,6 +83,7 @@ def main(sf: str, names: list[str]) -> int:
             bad += 1
             continue
         took = time.time() - t0
+        signal.alarm(0)
         if name not in ORACLE:
             print(f"rows {name}: {len(got)} rows, {took:.1f}s")
             if names:
