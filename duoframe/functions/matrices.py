@@ -10,6 +10,11 @@ def at(m: Column, i: int, j: int) -> Column:
     return F.get(m, F.lit(3 * i + j))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, so that nested products stay small expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matrix(*rows: list) -> Column:
     return F.array(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double") for row in rows for x in row])
 
@@ -20,31 +25,37 @@ def identity() -> Column:
 
 def compose(a: Column, b: Column) -> Column:
     """matrix product a * b."""
-    return F.array(*[
-        at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j)
-        for i in range(3) for j in range(3)
-    ])
+    def product(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.array(*[
+            at(x, i, 0) * at(y, 0, j) + at(x, i, 1) * at(y, 1, j) + at(x, i, 2) * at(y, 2, j)
+            for i in range(3) for j in range(3)
+        ])
+
+    return let(F.struct(a.alias("x"), b.alias("y")), product)
 
 
 def invert(m: Column) -> Column:
     """inverse by cofactors, scaled so that the last entry is 1."""
-    def minor(i: int, j: int) -> Column:
-        r = [x for x in range(3) if x != i]
-        c = [x for x in range(3) if x != j]
-        return (at(m, r[0], c[0]) * at(m, r[1], c[1]) - at(m, r[0], c[1]) * at(m, r[1], c[0])) * ((-1) ** (i + j))
+    def cofactors(v: Column) -> Column:
+        def minor(i: int, j: int) -> Column:
+            r = [x for x in range(3) if x != i]
+            c = [x for x in range(3) if x != j]
+            return (at(v, r[0], c[0]) * at(v, r[1], c[1]) - at(v, r[0], c[1]) * at(v, r[1], c[0])) * ((-1) ** (i + j))
 
-    adj = [minor(j, i) for i in range(3) for j in range(3)]
-    return F.array(*[x / adj[8] for x in adj])
+        return F.array(*[minor(j, i) for i in range(3) for j in range(3)])
+
+    return let(let(m, cofactors), lambda adj: F.transform(adj, lambda x: x / at(adj, 2, 2)))
 
 
 def rescale(m: Column, factor: Column | float) -> Column:
     """S * m * S^-1 with S = diag(factor, factor, 1): the same map on a grid finer by factor."""
     f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.array(
-        at(m, 0, 0), at(m, 0, 1), at(m, 0, 2) * f,
-        at(m, 1, 0), at(m, 1, 1), at(m, 1, 2) * f,
-        at(m, 2, 0) / f, at(m, 2, 1) / f, at(m, 2, 2),
-    )
+    return let(m, lambda v: F.array(
+        at(v, 0, 0), at(v, 0, 1), at(v, 0, 2) * f,
+        at(v, 1, 0), at(v, 1, 1), at(v, 1, 2) * f,
+        at(v, 2, 0) / f, at(v, 2, 1) / f, at(v, 2, 2),
+    ))
 
 
 def translation(dx: Column | float, dy: Column | float) -> Column:
@@ -68,8 +79,14 @@ def similarity_inverse_map(
     (dx, dy) against the post image. A post position is therefore shifted by (dx, dy)
     and then taken back through the inverse of the turn.
     """
-    turn = invert(rotation_about(angle_deg, scale, cx, cy))
-    return rescale(compose(turn, translation(dx, dy)), 1.0 / coarse_scale)
+    t = F.radians(angle_deg)
+    a, b = F.cos(t) / scale, F.sin(t) / scale
+    lift = 1.0 / coarse_scale
+    return matrix(
+        [a, -b, (cx + a * (dx - cx) - b * (dy - cy)) * lift],
+        [b, a, (cy + b * (dx - cx) + a * (dy - cy)) * lift],
+        [0, 0, 1],
+    )
 
 
 def decompose(m: Column) -> dict[str, Column]:

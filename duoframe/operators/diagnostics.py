@@ -74,7 +74,12 @@ def excess_grid(pairs: DataFrame, keys: Sequence[str], shape) -> DataFrame:
     keys = list(keys)
     grid = pin(density_grid(pairs, keys, shape).drop("log_n"))
     values = grid.groupBy(*keys).agg(F.array_sort(F.collect_set("post_level")).alias("_vals"))
-    snapped = grid.join(values, keys).withColumn("_p", nearest_value(F.col("pre_level"), F.col("_vals")))
+    # at most 256 levels per group: look each one up once
+    lookup = pin(
+        grid.select(*keys, "pre_level").distinct().join(pin(values), keys)
+        .select(*keys, "pre_level", nearest_value(F.col("pre_level"), F.col("_vals")).alias("_p"))
+    )
+    snapped = grid.join(lookup, [*keys, "pre_level"])
     sign = F.when(F.col("_p") < F.col("post_level"), F.col("n")).otherwise(-F.col("n"))
     return (
         snapped.filter(F.col("_p") != F.col("post_level"))

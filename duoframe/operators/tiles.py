@@ -36,6 +36,30 @@ def tile_map(
     not. A cell of the frame without a row holds absent. A pixel goes only to the tiles whose halo covers it (one for most pixels), so
     a task group never holds more than (tile + 2 * halo)^2 cells, however large the frame.
     """
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in px.select(*keys).schema)
+    schema = ", ".join([s for s in [key_schema] if s] + ["r int", "c int"] + [f"{o} double" for o in outputs])
+    n_out = len(outputs)
+
+    def cells(a: np.ndarray, inside: np.ndarray) -> dict:
+        res = kernel(a, inside)
+        res = [res] if n_out == 1 and isinstance(res, np.ndarray) else res
+        core = [x[halo: x.shape[0] - halo, halo: x.shape[1] - halo] for x in res]
+        keep = np.zeros(core[0].shape, bool)
+        for x in core:
+            keep |= x != 0
+        if not drop_zero:
+            keep[:] = True
+        r, c = np.nonzero(keep)
+        return {"r": r, "c": c, **{name: x[r, c] for name, x in zip(outputs, core)}}
+
+    return tile_rows(px, keys, shape, halo, cells, schema, value, tile, mode, fill, absent)
+
+
+def tile_rows(
+    px: DataFrame, keys: Sequence[str], shape, halo: int, rows_of: Callable[[np.ndarray, np.ndarray], dict], schema: str,
+    value: str = "v", tile: int = TILE, mode: str = "constant", fill: float = 0.0, absent: float = 0.0,
+) -> DataFrame:
+    """Rows that rows_of finds in each haloed tile; its r and c count from the tile corner without halo."""
     keys = list(keys)
     sized = size_columns(px.select(*keys, "r", "c", F.col(value).cast("double").alias("_v")), shape, keys)
     near = lambda x, size: F.explode(
@@ -45,9 +69,6 @@ def tile_map(
         )
     )
     routed = sized.withColumn("_tr", near("r", "height")).withColumn("_tc", near("c", "width"))
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in px.select(*keys).schema)
-    schema = ", ".join([s for s in [key_schema] if s] + ["r int", "c int"] + [f"{o} double" for o in outputs])
-    n_out = len(outputs)
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         height, width = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
@@ -57,27 +78,23 @@ def tile_map(
         rows = min(tile, height - tr * tile) + 2 * halo
         cols = min(tile, width - tc * tile) + 2 * halo
         a = np.full((rows, cols), absent)
-        a[pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left] = pdf["_v"].to_numpy()
+        # halo cells beyond the cut arrays of edge tiles are not needed
+        r, c = pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left
+        a[r, c] = pdf["_v"].to_numpy()
         rr, cc = np.arange(top, top + rows), np.arange(left, left + cols)
         inside = ((rr >= 0) & (rr < height))[:, None] & ((cc >= 0) & (cc < width))[None, :]
         if mode == "constant":
             a[~inside] = fill
         else:
             a = a[_fold(rr, height, mode) - top][:, _fold(cc, width, mode) - left]
-        res = kernel(a, inside)
-        res = [res] if n_out == 1 and isinstance(res, np.ndarray) else res
-        core = [x[halo: rows - halo, halo: cols - halo] for x in res]
-        keep = np.zeros(core[0].shape, bool)
-        for x in core:
-            keep |= x != 0
-        if not drop_zero:
-            keep[:] = True
-        r, c = np.nonzero(keep)
-        out = {k: [v] * len(r) for k, v in zip(keys, group[:-2])}
-        out["r"], out["c"] = (r + tr * tile).astype(np.int32), (c + tc * tile).astype(np.int32)
-        for name, x in zip(outputs, core):
-            out[name] = x[r, c]
-        return pd.DataFrame(out)
+        out = rows_of(a, inside)
+        n = len(out["r"])
+        # object columns keep their type when a tile yields no row
+        res = {k: pd.Series([v] * n, dtype=object) for k, v in zip(keys, group[:-2])}
+        for name, x in out.items():
+            shift = {"r": tr * tile, "c": tc * tile}.get(name)
+            res[name] = x if shift is None else (np.asarray(x) + shift).astype(np.int32)
+        return pd.DataFrame(res)
 
     return routed.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema)
 

@@ -63,6 +63,12 @@ def defaults() -> dict[str, str | None]:
     return {p[0]: p[1] for p in PARAMETERS}
 
 
+def defaults_typed() -> dict:
+    """Defaults as Python values."""
+    read = {"bool": lambda v: v == "true", "int": int, "float": float, "none": lambda v: v}
+    return {n: None if d is None else read[ty](d) for n, d, ty, *_ in PARAMETERS}
+
+
 def stage_of(name: str) -> int:
     return next(p[4] for p in PARAMETERS if p[0] == name)
 

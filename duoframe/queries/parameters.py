@@ -156,3 +156,54 @@ select sample, dye, string_agg(distinct fmt, ',' order by fmt) as present, 'fits
 having count(*) filter (where fmt = 'fits') > 0""")
 def mixed_formats(t):
     return B.mixed_formats(v_manifest(t), "tiff")
+
+
+@query("new_tasks", "I10", """
+select p.sample, p.dye from v_pairs p where n_pre = 1 and n_post = 1 and not exists (
+  select 1 from v_result r where r.sample = p.sample and r.status = 'complete' and r.dye = '1-URGENT')""")
+def new_tasks(t):
+    from ..streaming.newfiles import new_tasks as pending
+
+    pairs = C.classify_files(v_files(t))
+    dyes = pairs.filter("code is null").select("sample", "dye").distinct()
+    # a finished urgent order of the same number stands for a finished sample
+    done = v_result(t).filter("dye = '1-URGENT' and status = 'complete'").select("sample", "status").distinct().join(dyes, "sample")
+    return pending(pairs, done)
+
+
+def _runs(t):
+    from ..fixtures import v_px
+
+    px = v_px(t).filter("v >= 40").select(F.col("sample"), F.lit("DAPI").alias("dye"), "kind", "r", "c", "v")
+    frames = px.select("sample", "dye", "kind").distinct().select("*", F.lit(128).alias("height"), F.lit(128).alias("width"))
+    return px, frames
+
+
+# quick settings: one candidate, thin rings, small margin
+QUICK = dict(
+    pad=16, rotation_search=False, scale_search=False, boundary_width=3, boundary_smooth=2, down_scale=4.0, interior_ecc=False, multiscale=False,
+)
+
+
+@query("run_batch", "I8 I9")
+def run_batch(t):
+    from ..plans.batch import run_batch as run
+    from ..session import work_dir
+    import uuid
+
+    px, frames = _runs(t)
+    path = f"{work_dir(t.spark)}/run-{uuid.uuid4().hex}"
+    out = run(px, frames, px.select("sample", "dye").distinct(), path, {**QUICK, "manual_scale": 1.5})
+    return out.select("sample", "dye", r6("scale_estimate", 3).alias("scale_estimate"), "manual_scale", "status")
+
+
+@query("sweep", "I11")
+def sweep_runs(t):
+    from ..plans.batch import sweep
+    from ..session import work_dir
+    import uuid
+
+    px, frames = _runs(t)
+    path = f"{work_dir(t.spark)}/run-{uuid.uuid4().hex}"
+    out = sweep(px, frames, px.select("sample", "dye").distinct(), path, "manual_scale", [1.0, 2.0], QUICK)
+    return out.select("sample", "dye", "parameter", "value", "manual_scale", "status")
