@@ -22,7 +22,9 @@ def decode_raster(spark: SparkSession, path: str | list[str]) -> DataFrame:
     image lines at a time.
     """
     img = spark.read.format("image").option("dropInvalid", "true").load(path)
-    cols = img.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    # local paths in the form the file listing uses
+    origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
+    cols = img.select(origin, "image.height", "image.width", "image.nChannels", "image.data")
     return cols.mapInPandas(_explode_bytes, PIXELS)
 
 
