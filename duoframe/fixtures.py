@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.percentiles import percentiles
-from .session import attach
+from .session import attach, pin
 
 PX_SHAPE = (128, 128)  # size of the v_px frames
 LEVELS = 256           # v_px and v_grid hold 8-bit values
@@ -32,6 +32,11 @@ def v_ratio(t: Tables) -> DataFrame:
     )
 
 
+def v_ratio_stored(t: Tables) -> DataFrame:
+    """v_ratio written once, for operators that pass over the pairs several times."""
+    return pin(v_ratio(t))
+
+
 def _px_rows(t: Tables) -> DataFrame:
     return t("lineitem").select(
         F.col("l_returnflag").alias("sample"),
@@ -43,8 +48,9 @@ def _px_rows(t: Tables) -> DataFrame:
 
 
 def v_px(t: Tables) -> DataFrame:
-    return _px_rows(t).groupBy("sample", "kind", "r", "c").agg(
-        F.least(F.lit(255.0), F.sum("q")).alias("v")
+    """Frames as stored pixels: written once, because most operators read them several times."""
+    return pin(
+        _px_rows(t).groupBy("sample", "kind", "r", "c").agg(F.least(F.lit(255.0), F.sum("q")).alias("v"))
     )
 
 

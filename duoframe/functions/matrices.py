@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import let
+
 
 def at(m: Column, i: int, j: int) -> Column:
     return F.get(m, F.lit(3 * i + j))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, so that nested products stay small expressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def matrix(*rows: list) -> Column:
     return F.array(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double") for row in rows for x in row])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import let
+
 TIFF_PATTERN = r"(?i)\.tiff?$"
 
 
@@ -19,20 +21,23 @@ def stem(name: Column) -> Column:
 
 def general_format(x: Column) -> Column:
     """Six significant digits without trailing zeros; exponent form below 1e-4 and from 1e6 on."""
-    sci = F.format_string("%.5e", F.abs(x))
-    digits = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.", "")
-    exp = F.substring_index(sci, "e", -1).cast("int")
-    strip = lambda s: F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
-    large = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    mantissa = strip(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
-    body = (
-        F.when(x == 0, F.lit("0"))
-        .when((exp < -4) | (exp >= 6), F.concat(mantissa, F.lit("e"), F.substring_index(sci, "e", -1)))
-        .when(exp >= 0, strip(large))
-        .otherwise(strip(small))
+    strip = lambda t: F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")
+
+    def write(p: Column) -> Column:
+        digits, exp = p["digits"], p["exp"].cast("int")
+        large = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+        mantissa = strip(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+        return (
+            F.when((exp < -4) | (exp >= 6), F.concat(mantissa, F.lit("e"), p["exp"]))
+            .when(exp >= 0, strip(large)).otherwise(strip(small))
+        )
+
+    parts = lambda sci: F.struct(
+        F.regexp_replace(F.substring_index(sci, "e", 1), r"\.", "").alias("digits"), F.substring_index(sci, "e", -1).alias("exp")
     )
-    return F.concat(F.when(x < 0, "-").otherwise(""), body)
+    body = let(let(F.format_string("%.5e", F.abs(x)), parts), write)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(x == 0, "0").otherwise(body))
 
 
 def human_bytes(n: Column) -> Column:

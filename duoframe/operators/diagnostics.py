@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
 from ..session import attach, pin, size_columns, union_all
 from .filters import area_downsample, densest_window, downsampled_shape
 from .histograms import bin_counts, explode_bins, uniform_bin
@@ -61,8 +62,12 @@ def density_limits(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 def nearest_value(x: Column, values: Column) -> Column:
     """Entry of the sorted array nearest to x, the upper one on a tie."""
     above = F.coalesce(F.array_min(F.filter(values, lambda v: v >= x)), F.array_max(values))
-    below = F.coalesce(F.array_max(F.filter(values, lambda v: v < above)), above)
-    return F.when(F.abs(x - below) < F.abs(x - above), below).otherwise(above)
+
+    def pick(up: Column) -> Column:
+        below = F.coalesce(F.array_max(F.filter(values, lambda v: v < up)), up)
+        return let(below, lambda low: F.when(F.abs(x - low) < F.abs(x - up), low).otherwise(up))
+
+    return let(above, pick)
 
 
 def excess_grid(pairs: DataFrame, keys: Sequence[str], shape) -> DataFrame:

@@ -34,22 +34,28 @@ def even_subsample(points: DataFrame, keys: Sequence[str], n: int = 800, order:
 
 
 def nearest_neighbours(
-    queries: DataFrame, targets: DataFrame, keys: Sequence[str], radius: float = 8.0, max_distance: float | None = None,
-    max_per_cell: int = 256,
+    queries: DataFrame, targets: DataFrame, keys: Sequence[str], radius: float | None = None, max_distance: float | None = None,
+    max_per_cell: int = 64,
 ) -> DataFrame:
     """nearest target (t_id, tx, ty, dist) of each query point; the smallest t_id wins a tie.
 
     queries: keys, q_id, x, y; targets: keys, t_id, x, y. Points meet by an equi-join on
     grid cells and the best one is kept by a map-side combined minimum. Equal targets
-    are collapsed first, and the cell size is halved until no cell holds more than
-    max_per_cell different targets, so a hot spot never forms one large group. Queries
-    without a target inside the radius go to another round with twice the radius (all
+    are collapsed first. The cell size starts at the mean spacing of the targets and is
+    halved until no cell holds more than max_per_cell different targets, so a hot spot
+    never forms one large group. Queries
+    without a target inside the radius go to another round with three times the radius (all
     are answered), unless max_distance ends the search.
     """
     keys = list(keys)
     t = pin(targets.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
     if max_distance is not None:
         return _within(queries.select(*keys, "q_id", "x", "y"), t, keys, max_distance)
+    if radius is None:
+        box = t.groupBy(*keys).agg(
+            ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1) / F.count("*")).alias("_a")
+        )
+        radius = 1.5 * (box.agg(F.min("_a")).first()[0] or 1.0) ** 0.5
     while radius > 1e-6 and not is_empty(
         t.groupBy(*keys, F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)).count().filter(F.col("count") > max_per_cell)
     ):
@@ -62,7 +68,7 @@ def nearest_neighbours(
         left = pin(left.join(hits.select(*keys, "q_id"), [*keys, "q_id"], "left_anti"))
         if is_empty(left):
             return found
-        radius *= 2
+        radius *= 3
 
 
 def _within(queries: DataFrame, targets: DataFrame, keys: list[str], radius: float) -> DataFrame:

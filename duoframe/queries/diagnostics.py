@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import LEVELS, PX_SHAPE, v_grid, v_mask, v_px, v_ratio
+from ..fixtures import LEVELS, PX_SHAPE, v_grid, v_mask, v_px, v_ratio, v_ratio_stored
 from ..operators import diagnostics as D
 from ..operators.masks import contour_pixels, pixels_to_runs
 from ..operators.pixels import pair_pixels
@@ -74,7 +74,7 @@ def difference_histogram(t):
 
 @query("ratio_report", "H5")
 def ratio_report(t):
-    return D.ratio_report(v_ratio(t), SD).select(*SD, "kind", r6("x").alias("x"), r6("y", 3).alias("y"))
+    return D.ratio_report(v_ratio_stored(t), SD).select(*SD, "kind", r6("x").alias("x"), r6("y", 3).alias("y"))
 
 
 @query("difference_display", "H6", """
@@ -131,7 +131,7 @@ select sample, dye, round(quantile_cont(post / pre, 0.1), 6) as p10, round(quant
  round(quantile_cont(post / pre, 0.5), 6) as p50, round(quantile_cont(post / pre, 0.75), 6) as p75, round(quantile_cont(post / pre, 0.9), 6) as p90
 from v_ratio group by 1, 2""")
 def ratio_markers(t):
-    return D.ratio_markers(v_ratio(t), SD).select(*SD, *[r6(f"p{p}").alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
+    return D.ratio_markers(v_ratio_stored(t), SD).select(*SD, *[r6(f"p{p}").alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
 
 
 PANELS = f"""

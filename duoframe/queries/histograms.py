@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import LEVELS, v_grid, v_px, v_ratio
+from ..fixtures import LEVELS, v_grid, v_px, v_ratio, v_ratio_stored
 from ..operators import histograms as H
 from ..operators.percentiles import percentiles
 from .base import query, r6
@@ -20,7 +20,7 @@ select l.sample, l.dye, cast(i.range as int) as bin, round(lo + i.range * ((hi -
 from l, range(100) i left join b on b.sample = l.sample and b.dye = l.dye and b.bin = i.range
 group by all""")
 def uniform_histogram(t):
-    out = H.explode_bins(H.bin_counts(v_ratio(t), SD, "post", 100), SD)
+    out = H.explode_bins(H.bin_counts(v_ratio_stored(t), SD, "post", 100), SD)
     return out.select(*SD, "bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n")
 
 
@@ -51,7 +51,7 @@ def match_histograms(t):
 select sample, dye, round(quantile_cont(post / pre, 0.01), 6) as p01, round(quantile_cont(post / pre, 0.5), 6) as p50,
   round(quantile_cont(post / pre, 0.991), 6) as p991 from v_ratio group by 1, 2""")
 def percentile_linear(t):
-    out = percentiles(v_ratio(t), SD, F.col("post") / F.col("pre"), {"p01": 0.01, "p50": 0.5, "p991": 0.991})
+    out = percentiles(v_ratio_stored(t), SD, F.col("post") / F.col("pre"), {"p01": 0.01, "p50": 0.5, "p991": 0.991})
     return out.select(*SD, *[r6(n).alias(n) for n in ("p01", "p50", "p991")])
 
 

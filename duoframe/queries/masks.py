@@ -71,14 +71,14 @@ with recursive m as (select sample, kind, r, c from v_px where v >= 20), {FILLED
 select k.sample, k.kind, k.r, k.c from v_cells k where not exists
  (select 1 from out_cells o where o.sample = k.sample and o.kind = k.kind and o.r = k.r and o.c = k.c)""")
 def fill_holes(t):
-    return M.runs_to_pixels(M.fill_holes(M.pixels_to_runs(v_px(t).filter("v >= 20"), SK), SK, block_rows=32))
+    return M.runs_to_pixels(M.fill_holes(M.pixels_to_runs(v_px(t).filter("v >= 20"), SK), SK))
 
 
 @query("connected_components", "D5", f"""
 with recursive m as (select sample, kind, r, c from v_mask), {REACH}
 select sample, kind, r, c, l as label from lab""")
 def connected_components(t):
-    return M.runs_to_pixels(components(mask_runs(t), SK, 8, block_rows=16))
+    return M.runs_to_pixels(components(mask_runs(t), SK, 8, block_rows=64))
 
 
 @query("largest_component", "D6", f"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import LEVELS, PX_SHAPE, v_px, v_ratio
+from ..fixtures import LEVELS, PX_SHAPE, v_px, v_ratio, v_ratio_stored
 from ..operators import scale as S
 from ..operators.pixels import pair_pixels
 from .base import query, r6
@@ -33,13 +33,13 @@ def log_ratio(t):
 @query("percentile_scale", "G2", """
 select sample, dye, round(pow(10, quantile_cont(log10(post / pre), 0.6)), 6) as scale from v_ratio where post > 0 and pre > 0 group by 1, 2""")
 def percentile_scale(t):
-    return S.percentile_scale(v_ratio(t), SD, 60.0).select(*SD, r6("scale").alias("scale"))
+    return S.percentile_scale(v_ratio_stored(t), SD, 60.0).select(*SD, r6("scale").alias("scale"))
 
 
 @query("ratio_histogram", "G3", f"""
 with {RATIO200} select sample, dye, cast(bin as int) as bin, round(centre, 6) + 0 as centre, n, round(s, 6) as smooth from sm""")
 def ratio_histogram(t):
-    h = S.ratio_histogram(v_ratio(t), SD)
+    h = S.ratio_histogram(v_ratio_stored(t), SD)
     z = F.arrays_zip(S.bin_centers().alias("x"), F.col("counts").alias("n"), F.col("smooth").alias("s"))
     return h.select(*SD, F.posexplode(z).alias("bin", "z")).select(
         *SD, "bin", r6("z.x").alias("centre"), F.col("z.n").alias("n"), r6("z.s").alias("smooth")
@@ -48,7 +48,7 @@ def ratio_histogram(t):
 
 @query("initial_peak", "G4", f"with {PEAK} select sample, dye, cast(peak_bin as int) as peak_bin, round(peak, 6) + 0 as peak from pk")
 def initial_peak(t):
-    return S.initial_peak(S.ratio_histogram(v_ratio(t), SD)).select(*SD, "peak_bin", r6("peak").alias("peak"))
+    return S.initial_peak(S.ratio_histogram(v_ratio_stored(t), SD)).select(*SD, "peak_bin", r6("peak").alias("peak"))
 
 
 @query("mirrored_wing", "G5", f"""
@@ -58,26 +58,26 @@ lf as (select h.sample, h.dye, h.centre as x, h.n as y, pk.peak, h.w from h join
 select sample, dye, round(x, 6) + 0 as x, y::double as y, false as mirrored from lf
 union all select sample, dye, round(2 * peak - x, 6) + 0, y::double, true from lf where abs(2 * peak - x) > 3 * w""")
 def mirrored_wing(t):
-    w = S.mirrored_wing(S.initial_peak(S.ratio_histogram(v_ratio(t), SD)))
+    w = S.mirrored_wing(S.initial_peak(S.ratio_histogram(v_ratio_stored(t), SD)))
     return w.select(*SD, F.explode("wing").alias("z")).select(*SD, r6("z.x").alias("x"), "z.y", "z.mirrored")
 
 
 @query("moffat_scale", "G6")
 def moffat_scale(t):
-    out = S.moffat_scale(v_ratio(t), SD)
+    out = S.moffat_scale(v_ratio_stored(t), SD)
     return out.select(*SD, r6("scale", 4).alias("scale"), r6("peak").alias("peak"), r6("alpha", 4).alias("alpha"), r6("beta", 3).alias("beta"), "fitted")
 
 
 @query("scale_set", "G7")
 def scale_set(t):
-    return S.scale_set(v_ratio(t), SD, 99.1, 1.5).select(*SD, "label", r6("scale").alias("scale"))
+    return S.scale_set(v_ratio_stored(t), SD, 99.1, 1.5).select(*SD, "label", r6("scale").alias("scale"))
 
 
 @query("scale_set_fixed_part", "G7", """
 select sample, dye, 'percentile_p99.1' as label, round(pow(10, quantile_cont(log10(post / pre), 0.991)), 6) as scale from v_ratio group by 1, 2
 union all select distinct sample, dye, 'manual', 1.5::double from v_ratio""")
 def scale_set_fixed_part(t):
-    return S.scale_set(v_ratio(t), SD, 99.1, 1.5).filter("label <> 'moffat'").select(*SD, "label", r6("scale").alias("scale"))
+    return S.scale_set(v_ratio_stored(t), SD, 99.1, 1.5).filter("label <> 'moffat'").select(*SD, "label", r6("scale").alias("scale"))
 
 
 @query("difference", "G8", """
@@ -100,7 +100,7 @@ def least_squares_scale(t):
 
 @query("ratio_percentile_scale", "G10", "select sample, dye, round(quantile_cont(post / pre, 0.9), 6) as scale from v_ratio group by 1, 2")
 def ratio_percentile_scale(t):
-    return S.ratio_percentile_scale(v_ratio(t), SD, 90.0).select(*SD, r6("scale").alias("scale"))
+    return S.ratio_percentile_scale(v_ratio_stored(t), SD, 90.0).select(*SD, r6("scale").alias("scale"))
 
 
 @query("histogram_mode_scale", "G11", f"""
@@ -119,7 +119,7 @@ v as (select *, t2*(s2*s0-s1*s1) - s3*(t1*s0-s1*t0) + s2*(t1*s1-s2*t0) as da,
 select v.sample, v.dye, round(pow(10, centre + case when da < 0 then least(greatest(-db/(2*da), u0), u1) else 0 end * w), 6) as scale
 from v join pk on v.sample = pk.sample and v.dye = pk.dye join sm on sm.sample = v.sample and sm.dye = v.dye and sm.bin = pk.peak""")
 def histogram_mode_scale(t):
-    return S.histogram_mode_scale(v_ratio(t), SD).select(*SD, r6("scale").alias("scale"))
+    return S.histogram_mode_scale(v_ratio_stored(t), SD).select(*SD, r6("scale").alias("scale"))
 
 
 @query("signal_only_scale", "G12", """
@@ -127,7 +127,7 @@ with q as (select sample, dye, quantile_cont(post, 0.5) as tp, quantile_cont(pre
 select r.sample, r.dye, round(sum(post * pre) / sum(pre * pre), 6) as scale, count(*) as n_signal
 from v_ratio r join q on r.sample = q.sample and r.dye = q.dye where post > tp and pre > tq group by 1, 2""")
 def signal_only_scale(t):
-    return S.signal_only_scale(v_ratio(t), SD).select(*SD, r6("scale").alias("scale"), "n_signal")
+    return S.signal_only_scale(v_ratio_stored(t), SD).select(*SD, r6("scale").alias("scale"), "n_signal")
 
 
 @query("legacy_scale", "G13")
@@ -138,5 +138,5 @@ def legacy_scale(t):
 
 @query("gaussian_noise_fit", "G14")
 def gaussian_noise_fit(t):
-    out = S.gaussian_noise_fit(v_ratio(t), SD)
+    out = S.gaussian_noise_fit(v_ratio_stored(t), SD)
     return out.select(*SD, r6("peak").alias("peak"), r6("mu", 4).alias("mu"), r6("sigma", 4).alias("sigma"))

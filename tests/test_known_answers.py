@@ -54,10 +54,11 @@ def flood(mask, conn):
 def test_components_match_flood_fill(spark, conn, density, block):
     mask = RNG.random((40, 33)) < density
     runs = masks.pixels_to_runs(frame_df(spark, {"a": mask.astype(float)}), ["f"])
-    got = to_array(masks.runs_to_pixels(components(runs, ["f"], conn, block)), mask.shape, "label")
     want = flood(mask, conn)
-    pairs = {(a, b) for a, b in zip(got[mask], want[mask])}
-    assert len(pairs) == len({a for a, _ in pairs}) == want.max()
+    for limit in (0, 1000):
+        got = to_array(masks.runs_to_pixels(components(runs, ["f"], conn, block, limit)), mask.shape, "label")
+        pairs = {(a, b) for a, b in zip(got[mask], want[mask])}
+        assert len(pairs) == len({a for a, _ in pairs}) == want.max()
 
 
 def test_long_snake_is_one_component(spark):
@@ -66,7 +67,7 @@ def test_long_snake_is_one_component(spark):
     mask[1::4, -1] = True
     mask[3::4, 0] = True
     runs = masks.pixels_to_runs(frame_df(spark, {"a": mask.astype(float)}), ["f"])
-    assert components(runs, ["f"], 4, 3).select("label").distinct().count() == 1
+    assert components(runs, ["f"], 4, 3, 0).select("label").distinct().count() == 1
 
 
 def test_morphology(spark):
