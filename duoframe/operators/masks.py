@@ -186,7 +186,8 @@ def close_ellipse(
     for _ in range(iterations):
         out = clip_runs(dilate(out, keys, ellipse(radius)), keys, shape)
     for _ in range(iterations):
-        out = erode(out, keys, ellipse(radius), shape, outside_counts=False)
+        # the erosion reads its input twice
+        out = erode(pin(out), keys, ellipse(radius), shape, outside_counts=False)
     return out
 
 
