@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import exact, packing, sharding, tokenfile
+from . import contamination, exact, near, packing, sharding, tokenfile
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -47,6 +49,36 @@ def op2(spark, folder):
     return tokenfile.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op3_bag_minhash_classes")
+def op3(spark, folder):
+    return near.near_classes(table(spark, folder, "documents"))
+
+
+@query("op8_winnowing", f"""
+with words as (
+  select 'd' || doc_id as k, doc_id, null as item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as w from documents
+  union all
+  select 'i' || item_id, null, item_id::varchar, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') from benchmark
+),
+wins as (
+  select distinct item_id, unnest([list_slice(w, i, i + least(10, len(w)) - 1) for i in range(1, len(w) - least(10, len(w)) + 2)]) as win
+  from words where item_id is not null and len(w) > 0
+),
+sizes as (select distinct len(win) as size from wins),
+spots as (select doc_id, unnest(range(1, len(w) - size + 2)) as i, size, w from words, sizes where doc_id is not null and len(w) >= size),
+hits as (select doc_id, i, size, item_id from spots join wins on list_slice(w, i, i + size - 1) = win),
+hit_words as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + size)) from hits) group by 1),
+met as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct doc_id, item_id from hits) group by 1)
+select d.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words d left join hit_words using (doc_id) left join met using (doc_id) where d.doc_id is not null
+""")
+def op8(spark, folder):
+    met = contamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return met.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+
+
 @query("op9_best_fit_packing")
 def op9(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), 2048, 0)
