@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import contamination, exact, near, packing, sharding, tokenfile
+from . import contamination, exact, near, packing, repeats, sharding, tokenfile
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,6 +54,12 @@ def op3(spark, folder):
     return near.near_classes(table(spark, folder, "documents"))
 
 
+@query("op4_hash_compared_suffixes")
+def op4(spark, folder):
+    cut = repeats.find_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op8_winnowing", f"""
 with words as (
   select 'd' || doc_id as k, doc_id, null as item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as w from documents
