@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import contamination, exact, near, packing, repeats, sharding, tokenfile
+from . import contamination, exact, near, packing, repeats, secret_scan, sharding, tokenfile, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,6 +60,22 @@ def op4(spark, folder):
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query("op6_ordinal_toxicity")
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, folder, "labels")))
+
+
+@query("op7_secret_network")
+def op7(spark, folder):
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.listed("spans", base_only=True).cast("binary"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"),
+    )
+
+
 @query("op8_winnowing", f"""
 with words as (
   select 'd' || doc_id as k, doc_id, null as item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as w from documents

@@ -97,11 +97,18 @@ class Words:
         n = len(raw)
         prefix = np.zeros(n + 1, _U)
         np.cumsum((self.data.astype(_U) + _U(1)) * powers(INVERSE, n), out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * powers(BASE, n + 1)[self.start] + (self.end - self.start).astype(_U))
+        self.prefix, self.power = prefix, powers(BASE, n + 1)
+        self.hash = self.head(np.arange(len(self.start)), self.end - self.start)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def head(self, which: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hash of the first bytes of some words; the whole word's hash is its own."""
+        start = self.start[which]
+        whole = (self.end[which] - start == size).astype(_U)
+        return mix((self.prefix[start + size] - self.prefix[start]) * self.power[start] + _U(2) * np.asarray(size).astype(_U) + whole)
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of k words inside one text."""
         n = len(self) - k + 1
