@@ -119,7 +119,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none,
     is one window. Words are runs of digits, letters and bytes over 0x7F, A-Z lower-cased.
-    Returns one row per document: doc_id, n_words, n_hit, spans (runs of hit words as first
+    Returns one row per document: doc_id, key (sha256 of the text, of documents with possible
+    hits), n_words, n_hit, spans (runs of hit words as first
     and end word), items (ids of the items met, as strings, sorted) and contaminated.
 
     Null and empty texts have no words and are clean. A null item id stands as the empty
@@ -151,8 +152,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         .groupBy("key").agg(F.sum(F.col("end") - F.col("first")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
     )
     met = hits.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    out = ["doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit")]
+    out = ["doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit")]
     none = F.array().cast("array<struct<first: int, end: int>>"), F.array().cast("array<string>")
     out += [F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")]
-    clean = marked.filter("key is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("spans"), none[1].alias("items"), F.lit(False).alias("contaminated"))
+    clean = marked.filter("key is null").select("doc_id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("spans"), none[1].alias("items"), F.lit(False).alias("contaminated"))
     return marked.filter("key is not null").select("doc_id", "key", "n_words").join(runs.join(met, "key"), "key", "left").select(*out).unionByName(clean)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs."""
+    met = decontaminate(docs, items, text=text, **options)
+    hit = pin(met.filter("contaminated").select("key").distinct())
+    key = "contamination_key"
+    while key in docs.columns:
+        key += "_"
+    named = docs.withColumn(key, F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    return named.join(hit.withColumnRenamed("key", key), key, "left_anti").drop(key)

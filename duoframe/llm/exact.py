@@ -41,11 +41,28 @@ class DigestIndex:
         """Forget the table's name in this session; the files stay."""
         self.spark.sql(f"drop table if exists {self.table}")
 
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        """Ingest a batch and return the rows that stay, with all their columns.
+
+        The decisions are those of ingest(). Rows meet their decision by digest, id and length
+        together, so a frequent text is dealt out by its ids; repeated rows are first reduced
+        to one within each task.
+        """
+        decided = self.ingest(docs, id_col, text).filter("kept")
+        name = lambda value, n, ident: F.concat_ws(":", value, n.cast("string"), F.coalesce(ident.cast("string"), F.lit("")), ident.isNull().cast("string"))
+        kept = decided.select(name(F.col("text_sha256"), F.col("n_chars"), F.col("doc_id")).alias("digest_key"))
+        own = F.coalesce(F.char_length(text), F.lit(0))
+        key = "digest_key"
+        while key in docs.columns:
+            key += "_"
+        rows = docs.withColumn(key, name(digest(text), own, F.col(id_col))).dropDuplicates([key])
+        return rows.join(kept.withColumnRenamed("digest_key", key), key, "left_semi").drop(key)
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """Decide every row of a batch, then append the digests that are new.
 
         Returns one row per row of docs: doc_id, keep_id (the row that stays for its digest),
-        group_size (rows of the batch with that digest), kept, text_sha256. Of equal texts in
+        group_size (rows of the batch with that digest), kept, text_sha256, n_chars. Of equal texts in
         a batch the row with the most code points stays, then the smallest id; a null id comes
         last, and of wholly equal rows one stays. A text that the index holds already keeps
         the indexed row, so nothing of a later batch stays for it; the indexed row itself, met
@@ -66,7 +83,7 @@ class DigestIndex:
         chosen = fresh.withColumn("keep_id", F.col("own_id")).unionByName(old.select(*fresh.columns, "keep_id"))
         decided = pin(rows.join(chosen, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("own_row"), F.lit(False)).alias("kept"),
-            F.col("digest").alias("text_sha256"),
+            F.col("digest").alias("text_sha256"), F.col("n").alias("n_chars"),
         ))
         (fresh.select("digest", F.col("own_id").alias("keep_id")).repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .write.mode("append").insertInto(self.table))

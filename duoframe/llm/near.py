@@ -126,23 +126,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Class of each document: documents linked, directly or through others, by a weighted
-    Jaccard similarity of at least `similarity` of their multisets of word shingles.
-
-    Returns one row per document: doc_id and class_id (the smallest doc_id of its class). Words
-    are runs of digits, letters and bytes over 0x7F, A-Z lower-cased; a text of fewer words
-    than a shingle is one shingle. Texts without words (null, empty, marks only) are each a
-    class of their own. Equal texts are one class whatever their ids; null ids are the class
-    id only where a class has no other; other columns are not read.
-
-    Equal texts are compared once. Texts that share a band meet in its bucket: all members are
-    compared with the one that shares most bands with others, and the links so found give
-    components. Only buckets with several components left are compared further, each member
-    outside the bucket's largest component with every member of another, in blocks of bounded
-    size. A pair of at least `similarity` shares no band with a probability of
-    (1 - similarity ** rows) ** bands (5e-8 by default); no other link is lost.
-    """
+def _classified(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with its text's key (null without words), and every key with its class and whether it stays."""
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.sha2(F.col(text).cast("binary"), 256).alias("key"))
     signed = pin(keyed.mapInArrow(lambda b: _signed(b, shingle, bands, rows), f"doc_id {kind}, key string, bands array<long>"))
@@ -182,7 +167,40 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ban
             labels = components(links.unionByName(more))
 
     named = texts.select("node", "key", "first_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    class_of = pin(named.join(smallest, "comp").select("key", "class_id"))
+    smallest = named.groupBy("comp").agg(F.min(F.struct(F.isnull("first_id").alias("none"), "first_id", "key")).alias("best"))
+    return signed, pin(named.join(smallest, "comp").select("key", F.col("best.first_id").alias("class_id"), (F.col("key") == F.col("best.key")).alias("stays")))
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Class of each document: documents linked, directly or through others, by a weighted
+    Jaccard similarity of at least `similarity` of their multisets of word shingles.
+
+    Returns one row per document: doc_id and class_id (the smallest doc_id of its class). Words
+    are runs of digits, letters and bytes over 0x7F, A-Z lower-cased; a text of fewer words
+    than a shingle is one shingle. Texts without words (null, empty, marks only) are each a
+    class of their own. Equal texts are one class whatever their ids; null ids are the class
+    id only where a class has no other; other columns are not read.
+
+    Equal texts are compared once. Texts that share a band meet in its bucket: all members are
+    compared with the one that shares most bands with others, and the links so found give
+    components. Only buckets with several components left are compared further, each member
+    outside the bucket's largest component with every member of another, in blocks of bounded
+    size. A pair of at least `similarity` shares no band with a probability of
+    (1 - similarity ** rows) ** bands (5e-8 by default); no other link is lost.
+    """
+    signed, class_of = _classified(docs, similarity, shingle, bands, rows, id_col, text)
     alone = signed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return signed.filter("key is not null").select("doc_id", "key").join(class_of, "key").select("doc_id", "class_id").unionByName(alone)
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is its class's own: that of the smallest id.
+
+    Texts that are equal byte for byte stay or go together, so exact copies are to be removed before.
+    """
+    _, class_of = _classified(docs, similarity, shingle, bands, rows, id_col, text)
+    key = "near_key"
+    while key in docs.columns:
+        key += "_"
+    gone = pin(class_of.filter(~F.col("stays")).select(F.col("key").alias(key)))
+    return docs.withColumn(key, F.sha2(F.col(text).cast("binary"), 256)).join(gone, key, "left_anti").drop(key)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import contamination, exact, near, packing, repeats, secret_scan, sharding, tokenfile, toxicity
+from . import contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,6 +60,46 @@ def op4(spark, folder):
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+# every page as a full response, and a later revisit of it whose validators agree, differ or lack by turns
+CAPTURES = """
+select page_id * 2 as record_id, url, page_id * 4 as ts, 'response' as kind, concat('"', md5(coalesce(html, '')), '"') as etag,
+       concat('day ', page_id % 365) as last_modified, 'text/html' as content_type, concat('max-age=', page_id % 60) as cache_control
+from pages
+union all
+select page_id * 2 + 1, url, page_id * 4 + 1 + page_id * 7919 % 4000, 'revisit',
+       case page_id % 5 when 0 then null when 1 then concat('W/"', md5(coalesce(html, '')), '"') when 2 then '"stale"' else concat('"', md5(coalesce(html, '')), '"') end,
+       case when page_id % 10 = 0 then 'day -1' when page_id % 15 = 0 then null else concat('day ', page_id % 365) end, 'text/plain', concat('max-age=', page_id % 90)
+from pages
+"""
+
+
+@query("op5_not_modified_revisits", f"""
+with r as ({CAPTURES}),
+u as (select *, regexp_replace(trim(url), '#.*$', '') as u from r),
+v as (select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')), '^(http://[^/]*):80$', '\\1'), '^(https://[^/]*):443$', '\\1')
+        as head, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') as rest from u),
+w as (select *, array_to_string(list_sort([p for p in string_split(regexp_extract(rest, '\\?(.*)$', 1), '&') if not regexp_full_match(p, '(({revisits.TRACKING})(=.*)?)?')]), '&') as tail,
+        regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') as path from v),
+c as (select *, head || path || case when tail <> '' then '?' || tail else '' end as canonical from w),
+full_ as (select canonical, ts, max(struct_pack(record_id, etag, last_modified, cache_control)) as f from c where kind = 'response' group by 1, 2),
+j as (select c.*, f from c asof left join full_ on c.canonical = full_.canonical and c.ts > full_.ts where kind = 'revisit'),
+o as (select *, case when f is null then 'orphan'
+        when etag is not null and f.etag is not null then case when regexp_replace(etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') then 'etag' else 'changed' end
+        when last_modified is not null and f.last_modified is not null then case when last_modified = f.last_modified then 'last-modified' else 'changed' end
+        else 'unchecked' end as outcome from j)
+select record_id, canonical, ts, case when outcome in ('etag', 'last-modified') then f.record_id else -1 end as refers_to, outcome,
+       case when outcome in ('etag', 'last-modified') then 'text/html' else 'text/plain' end as content_type, cache_control
+from o
+""")
+def op5(spark, folder):
+    view = f"pages_{uuid.uuid4().hex}"
+    table(spark, folder, "pages").createOrReplaceTempView(view)
+    captures = spark.sql(CAPTURES.replace("from pages", f"from {view}"))
+    headers = F.create_map(F.lit("content-type"), "content_type", F.lit("cache-control"), "cache_control")
+    done = revisits.resolve_revisits(captures.withColumn("headers", headers))
+    return done.select("record_id", "canonical", "ts", F.coalesce("refers_to", F.lit(-1)).alias("refers_to"), "outcome", F.col("headers")["content-type"].alias("content_type"), F.col("headers")["cache-control"].alias("cache_control"))
+
+
 @query("op6_ordinal_toxicity")
 def op6(spark, folder):
     docs = table(spark, folder, "documents")
@@ -114,6 +154,6 @@ from d window w as (partition by h order by n desc, doc_id)
 """)
 def op10(spark, folder):
     index = exact.DigestIndex(spark)
-    decided = index.ingest(table(spark, folder, "documents"))
+    decided = index.ingest(table(spark, folder, "documents")).drop("n_chars")
     index.close()
     return decided

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -15,7 +16,8 @@ from .textbytes import ragged
 
 # Spaces before these, or at the end of a text, may belong to a longer token: such texts are encoded whole.
 _ODD = "\x01| (?:[ \\t\\n\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
-_LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+_PLAIN = re.compile(f"( ?{_LETTERS})([,.;:!?]?)(?:\n({_LETTERS})([,.;:!?]?))?")
 # byte-level alphabets show printable bytes as themselves and the others, in order, from code point 256 on
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -26,9 +28,9 @@ class Encoder:
 
     The pieces between single spaces (each with the space before it) are encoded by the
     tokenizers library once and kept; when more than `keep` are known, the half met most
-    often stays. A piece of plain letters is one word to these tokenizers and goes straight
-    to the library's model, a mark at its end is a word of its own; other pieces are encoded
-    by the library in full. Texts in which a space meets other white space are given to the
+    often stays. Plain letters are one word to these tokenizers and go straight to the
+    library's model, a mark after them or a line break before more letters is a word of its
+    own; other pieces are encoded by the library in full. Texts in which a space meets other white space are given to the
     library whole. Special tokens are never added, and their strings in a text are ordinary text.
     """
 
@@ -74,17 +76,22 @@ class Encoder:
 
     def _add(self, pieces: list[str]) -> None:
         marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
+        marks[""], line = [], self.library.encode("\n", add_special_tokens=False).ids
         stems: dict[str, list[int]] = {}
         got: list[list[int] | None] = []
         whole: list[int] = []
+
+        def stem(word: str) -> list[int]:
+            if (ids := stems.get(word)) is None:
+                at = self.known.get(word)
+                ids = stems[word] = self._word(word) if at is None else self.ids[self.ends[at] : self.ends[at + 1]].tolist()
+            return ids
+
         for i, piece in enumerate(pieces):
-            m = _LETTERS.match(piece)
-            tail = marks.get(piece[m.end() :]) if m else None
-            if m and (tail or m.end() == len(piece)):
-                if (ids := stems.get(m[0])) is None:
-                    at = self.known.get(m[0])
-                    ids = stems[m[0]] = self._word(m[0]) if at is None else self.ids[self.ends[at] : self.ends[at + 1]].tolist()
-                got.append(ids + tail if tail else ids)
+            if m := _PLAIN.fullmatch(piece):
+                word, mark, after, last = m.groups()
+                ids = stem(word) + marks[mark] if mark else stem(word)
+                got.append(ids + line + stem(after) + marks[last] if after else ids)
             else:
                 whole.append(i)
                 got.append(None)
@@ -102,13 +109,15 @@ class Encoder:
         plain = pc.if_else(odd, "", texts)
         lists = pc.split_pattern(pc.replace_substring(plain, " ", "\x01 "), "\x01")
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > self.keep:
             self._thin()
         place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(place < 0)
         place[new] = np.arange(len(self.known), len(self.known) + len(new))
+        gc.disable()  # very many small lists, all short-lived
         self._add([distinct[i] for i in new])
+        gc.enable()
         self.met[place] += 1
         n = len(self.known)
         store = pa.LargeListArray.from_arrays(pa.array(self.ends[: n + 1]), pa.array(self.ids[: self.ends[n]]))

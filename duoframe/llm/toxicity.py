@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,26 +165,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, feat
     return model
 
 
-def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Grade every document: doc_id, severity (expected grade, 0 to 3), grade (the most likely) and rejected.
 
-    With keep, all columns of docs and the last three instead, which must not be in docs.
     Null and empty texts have no features and are graded like any text without them; every row
-    is graded by itself, whole, in one pass without a shuffle.
+    is graded by itself, whole, in one pass without a shuffle; other columns are not read.
     """
-    seen = _flags(model.names)
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: _graded(b, model, "text", ["doc_id"]), T.StructType(fields))
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the model does not reject."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for graded in _graded(batches, model, text, None):
+            n = graded.num_columns - 3
+            rows = pa.RecordBatch.from_arrays(graded.columns[:n], graded.schema.names[:n])
+            yield rows.filter(pc.invert(graded.columns[-1]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            row, at, n = bag(*_known(*_features(Words(batch.column(text))), model.names, seen))
-            above = model.above(np.bincount(row, model.weights[at] * np.log1p(n), batch.num_rows))
-            mass = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
-            own = [c for c in batch.schema.names if keep or c == id_col]
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, own), pa.array(np.round(above.sum(axis=1), 6)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= model.reject)],
-                [*own, "severity", "grade", "rejected"],
-            )
-
-    fields = docs.schema.fields if keep else [docs.schema[id_col]]
-    schema = T.StructType([*fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
-    return (docs if keep else docs.select(id_col, text)).mapInArrow(score, schema)
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text: str, own: list[str] | None) -> Iterator[pa.RecordBatch]:
+    seen = _flags(model.names)
+    for batch in slices(batches, text):
+        row, at, n = bag(*_known(*_features(Words(batch.column(text))), model.names, seen))
+        above = model.above(np.bincount(row, model.weights[at] * np.log1p(n), batch.num_rows))
+        mass = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
+        names = batch.schema.names if own is None else own
+        columns = [batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.round(above.sum(axis=1), 6)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= model.reject)],
+            [*names, "severity", "grade", "rejected"],
+        )
