@@ -66,20 +66,15 @@ def _touching(rows: DataFrame, keys: list[str], slack: int) -> DataFrame:
     )
 
 
-# Border graphs of up to this many edges per frame are solved inside one task.
-SMALL_GRAPH = 500_000
-
-
 def components(
-    runs: DataFrame, keys: Sequence[str], connectivity: int = 8, block_rows: int = 256, small_graph: int = SMALL_GRAPH
+    runs: DataFrame, keys: Sequence[str], connectivity: int = 8, block_rows: int = 256
 ) -> DataFrame:
     """Runs with label, the number of the first run of the component in raster order.
 
     Blocks of block_rows rows are labelled inside tasks (a block holds at most
     block_rows * width / 2 runs); what is left is the small graph of the labels that
-    touch across block borders. A frame with a measured size of at most small_graph edges
-    is solved in one task; larger graphs by repeated hooking and pointer jumping over all
-    frames at once, with a written table per round.
+    touch across block borders. It is solved by repeated hooking and pointer jumping over
+    all frames at once, with a written table per round.
     """
     keys, slack = list(keys), 1 if connectivity == 8 else 0
     src = runs.select(
@@ -96,27 +91,13 @@ def components(
     edges = pin(_touching(upper.unionByName(lower), keys, slack).distinct())
     if is_empty(edges):
         return local.drop("_block", "run")
-    largest = edges.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    roots = _solve_small(edges, keys) if largest <= small_graph else _solve(edges, keys)
+    roots = _solve(edges, keys)
     return (
         local.join(roots.withColumnRenamed("node", "label"), [*keys, "label"], "left")
         .withColumn("label", F.coalesce("root", "label")).drop("_block", "run", "root")
     )
 
 
-def _solve_small(edges: DataFrame, keys: list[str]) -> DataFrame:
-    ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in edges.select(*keys).schema)
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, flat = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-        ends = flat.reshape(-1, 2)
-        root = _lowest(len(nodes), ends[:, 0], ends[:, 1])
-        out = {k: pd.Series([v] * len(nodes), dtype=object) for k, v in zip(keys, group)}
-        return pd.DataFrame({**out, "node": nodes, "root": nodes[root]})
-
-    return edges.groupBy(*keys).applyInPandas(run, ddl + "node bigint, root bigint")
-
-
 def _solve(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest label reachable from each label of an undirected edge list."""
     both = pin(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -74,7 +74,8 @@ def normalize(px: DataFrame, keys: Sequence[str], p: float | None = None, levels
         ref = px.groupBy(*keys).agg(F.max("v").alias("_ref"))
     else:
         ref = percentiles(px, keys, "v", {"_ref": p}, levels)
-    return attach(px, ref, keys).withColumn("v", F.col("v") / F.col("_ref")).drop("_ref")
+    # a frame whose reference is 0 has nothing to scale: its values become null
+    return attach(px, ref, keys).withColumn("v", F.try_divide("v", "_ref")).drop("_ref")
 
 
 def pad_to_common_canvas(frames: DataFrame, pair_keys: Sequence[str], pad: int = 2000) -> DataFrame:

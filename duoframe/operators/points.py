@@ -43,12 +43,12 @@ def nearest_neighbours(
     grid cells and the best one is kept by a map-side combined minimum. Equal targets
     are collapsed first. The cell size starts at the mean spacing of the targets and is
     halved until no cell holds more than max_per_cell different targets, so a hot spot
-    never forms one large group. Queries
-    without a target inside the radius go to another round with three times the radius (all
-    are answered), unless max_distance ends the search.
+    never forms one large group. Queries without a target inside the radius go to another
+    round with three times the radius, unless max_distance ends the search. Queries with a missing coordinate, or of a group without
+    targets, have no answer: their t_id, tx, ty and dist are null.
     """
     keys = list(keys)
-    t = pin(targets.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
+    t = pin(targets.filter("x is not null and y is not null").groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
     if max_distance is not None:
         return _within(queries.select(*keys, "q_id", "x", "y"), t, keys, max_distance)
     if radius is None:
@@ -56,15 +56,19 @@ def nearest_neighbours(
             ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1) / F.count("*")).alias("_a")
         )
         radius = 1.5 * (box.agg(F.min("_a")).first()[0] or 1.0) ** 0.5
-    while radius > 1e-6 and not is_empty(
+    while not is_empty(  # different targets part at some size
         t.groupBy(*keys, F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)).count().filter(F.col("count") > max_per_cell)
     ):
         radius /= 2
-    left = pin(queries.select(*keys, "q_id", "x", "y").join(t.select(*keys).distinct(), keys, "left_semi"))
-    found = None
+    asked = queries.select(*keys, "q_id", "x", "y").withColumn("_ok", F.col("x").isNotNull() & F.col("y").isNotNull())
+    asked = pin(asked.join(t.select(*keys).distinct().withColumn("_has", F.lit(True)), keys, "left"))
+    empty = asked.filter("_has is null or not _ok").select(
+        *keys, "q_id", "x", "y", F.lit(None).cast(t.schema["t_id"].dataType).alias("t_id"), *[F.lit(None).cast("double").alias(n) for n in ("tx", "ty", "dist")])
+    left = asked.filter("_has and _ok").select(*keys, "q_id", "x", "y")
+    found = empty
     while True:
         hits = pin(_within(left, t, keys, radius))
-        found = hits if found is None else found.unionByName(hits)
+        found = found.unionByName(hits)
         left = pin(left.join(hits.select(*keys, "q_id"), [*keys, "q_id"], "left_anti"))
         if is_empty(left):
             return found
@@ -87,7 +91,7 @@ def _within(queries: DataFrame, targets: DataFrame, keys: list[str], radius: flo
 
 def start_threshold(matches: DataFrame, keys: Sequence[str], low: float = 5.0, high: float = 30.0) -> DataFrame:
     """clip(2 * median distance, low, high) per pair."""
-    med = percentiles(matches, keys, "dist", {"median": 0.5})
+    med = percentiles(matches.filter("dist is not null"), keys, "dist", {"median": 0.5})
     return med.withColumn("threshold", F.least(F.greatest(2 * F.col("median"), F.lit(low)), F.lit(high)))
 
 
@@ -119,98 +123,109 @@ def affine_from_matches(matches: DataFrame, keys: Sequence[str], extra: Sequence
     return s.select(*keys, "n", F.when(F.col("_det").isNotNull(), m).alias("m"), *more)
 
 
-def _scale_of(m: Column) -> Column:
-    det = M.at(m, 0, 0) * M.at(m, 1, 1) - M.at(m, 0, 1) * M.at(m, 1, 0)
-    return F.sqrt(F.greatest(det, F.lit(0.0)))
+def _axis_scales(m: Column) -> tuple[Column, Column]:
+    """Lengths of the images of the x and y unit vectors."""
+    length = lambda j: F.sqrt(M.at(m, 0, j) * M.at(m, 0, j) + M.at(m, 1, j) * M.at(m, 1, j))
+    return length(0), length(1)
 
 
-def _shift_of(m: Column, cx: Column, cy: Column) -> Column:
-    """Length of the move of the point (cx, cy)."""
-    x, y = M.project(m, cx, cy)
-    return F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
+def _within_limits(m: Column, shift: Column, scale: float) -> Column:
+    """Whether both shifts stay under the limit and both axis scales within 1 +- scale."""
+    sx, sy = _axis_scales(m)
+    return (F.abs(M.at(m, 0, 2)) < shift) & (F.abs(M.at(m, 1, 2)) < shift) & (F.abs(sx - 1) < scale) & (F.abs(sy - 1) < scale)
 
 
-def precorrect(pre: DataFrame, post: DataFrame, keys: Sequence[str], limit: float = 15.0) -> DataFrame:
-    """one affine step from all nearest pairs where the median distance exceeds limit.
+def _without_scale(fit: DataFrame, name: str, frozen: Column) -> Column:
+    """The fitted map with both axis scales set to 1 about the matches' means, where frozen."""
+    m, (sx, sy) = F.col(name), _axis_scales(F.col(name))
+    a, b, c, d = M.at(m, 0, 0) / sx, M.at(m, 0, 1) / sy, M.at(m, 1, 0) / sx, M.at(m, 1, 1) / sy
+    x, y, u, w = (F.col(f"_mean_{k}") for k in ("x", "y", "u", "w"))
+    still = M.matrix([a, b, u - (a * x + b * y)], [c, d, w - (c * x + d * y)], [0, 0, 1])
+    return F.when(frozen & (sx > 1e-8) & (sy > 1e-8), still).otherwise(m)
 
-    Accepted if the centre moves less than 150, the scale changes less than 0.3 and the
-    angle is below 10 degrees; otherwise the identity stays.
+
+def precorrect(pre: DataFrame, post: DataFrame, keys: Sequence[str], limit: float = 15.0, low: float = 5.0, high: float = 30.0) -> DataFrame:
+    """one affine step of the pre points where the median distance of post points to them exceeds limit.
+
+    The step is fitted from every pre point and its nearest post point, and accepted if it
+    moves less than five times `high` along each axis, changes no axis scale by 0.3 and turns
+    less than 10 degrees; otherwise the identity stays. The threshold is twice the median
+    distance, measured again after an accepted step, within low and high.
     """
     keys = list(keys)
-    nn = pin(nearest_neighbours(pre, post, keys))
-    med = percentiles(nn, keys, "dist", {"median": 0.5})
-    fit = affine_from_matches(nn.select(*keys, "x", "y", F.col("tx").alias("u"), F.col("ty").alias("w")), keys)
-    centre = pre.groupBy(*keys).agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-    all_ = pin(med.join(fit, keys, "left").join(centre, keys))
+    as_target = lambda p: p.select(*keys, F.col("q_id").alias("t_id"), "x", "y")
+    as_query = post.select(*keys, F.col("t_id").alias("q_id"), "x", "y")
+    median = lambda p: percentiles(nearest_neighbours(as_query, as_target(p), keys).filter("dist is not null"), keys, "dist", {"median": 0.5})
+    med = median(pre)
+    back = nearest_neighbours(pre, post, keys).filter("dist is not null")
+    fit = affine_from_matches(back.select(*keys, "x", "y", F.col("tx").alias("u"), F.col("ty").alias("w")), keys)
     m = F.col("m")
-    good = (
-        m.isNotNull() & (F.col("median") > limit) & (_shift_of(m, F.col("_cx"), F.col("_cy")) < 150)
-        & (F.abs(_scale_of(m) - 1) < 0.3) & (F.abs(M.decompose(m)["angle"]) < 10)
-    )
+    good = m.isNotNull() & (F.col("median") > limit) & _within_limits(m, F.lit(5 * high), 0.3) & (F.abs(M.decompose(m)["angle"]) < 10)
     ok = F.coalesce(good, F.lit(False))
-    return all_.select(
-        *keys, "median", F.when(ok, m).otherwise(M.identity()).alias("m"), ok.alias("corrected"),
-        F.least(F.greatest(2 * F.col("median"), F.lit(5.0)), F.lit(30.0)).alias("threshold"),
-    )
+    step = pin(med.join(fit, keys, "left").select(*keys, "median", F.when(ok, m).otherwise(M.identity()).alias("m"), ok.alias("corrected")))
+    x, y = M.project(F.col("m"), F.col("x"), F.col("y"))
+    moved = attach(pre, step.filter("corrected").select(*keys, "m"), keys, "inner").select(*keys, "q_id", x.alias("x"), y.alias("y"))
+    after = step.select(*keys) if is_empty(moved) else median(pin(moved)).withColumnRenamed("median", "median_after")
+    both = step.join(after, keys, "left")
+    now = F.coalesce("median_after", "median") if "median_after" in both.columns else F.col("median")
+    return both.select(*keys, "median", "m", "corrected", F.least(F.greatest(2 * now, F.lit(low)), F.lit(high)).alias("threshold"))
 
 
 def iterate_closest_points(
     pre: DataFrame, post: DataFrame, keys: Sequence[str], max_iter: int = 20, floor_px: float = 5.0
 ) -> DataFrame:
-    """affine map of the pre points onto the post points for all pairs at once.
-
-    pre: keys, q_id, x, y; post: keys, t_id, x, y. Each round is a neighbour join within the
-    round's threshold (falling linearly to floor_px), one aggregated fit per pair, and a
-    written state table; finished pairs leave the join. A pair stops with fewer than 10
-    matches, on a step that moves too far or rescales too much, below 0.5 px mean distance,
-    or after 5 rounds without 2 % gain.
+    """affine map m of the pre points onto the post points for all pairs at once, after the step `before` of F9.
+
+    pre: keys, q_id, x, y; post: keys, t_id, x, y. In each round every post point takes its
+    nearest pre point within the round's threshold (falling linearly to floor_px); one
+    aggregated fit per pair moves the pre points, without scale after an accepted F9 step. A
+    step that moves too far or rescales too much is left out, and the next round tries a
+    tighter threshold. A pair stops with fewer than 10 matches, below 0.5 mean distance, or
+    after 5 rounds without 2 % gain; finished pairs leave the join. Each round is a written
+    state table of one row per pair.
     """
     keys = list(keys)
-    pre, post = pin(pre.select(*keys, "q_id", "x", "y")), pin(post.select(*keys, "t_id", "x", "y"))
-    centre = pre.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    state = pin(
-        precorrect(pre, post, keys).join(centre, keys).select(
-            *keys, "m", F.col("threshold").alias("start"), "cx", "cy", F.lit(None).cast("double").alias("best"),
-            F.lit(0).alias("stall"), F.lit(0).alias("rounds"), F.lit(0).cast("bigint").alias("n_pairs"), F.lit("").alias("end"),
-        )
-    )
-    once = pin(post.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
+    pre, post = pin(pre.select(*keys, "q_id", "x", "y")), pin(post.select(*keys, F.col("t_id").alias("q_id"), "x", "y"))
+    first = precorrect(pre, post.withColumnRenamed("q_id", "t_id"), keys)
+    state = pin(first.select(
+        *keys, F.col("m").alias("before"), "corrected", M.identity().alias("m"), F.col("threshold").alias("start"), F.lit(None).cast("double").alias("best"),
+        F.lit(0).alias("stall"), F.lit(0).alias("rounds"), F.lit(0).alias("skipped"), F.lit(0).cast("bigint").alias("n_pairs"), F.lit("").alias("end"),
+    ))
     for i in range(max_iter):
         thr = F.col("start") + (floor_px - F.col("start")) * (i / max(max_iter - 1, 1))
-        active = state.filter("end = ''").select(*keys, "m", thr.alias("_thr"))
+        active = state.filter("end = ''").select(*keys, M.compose(F.col("m"), F.col("before")).alias("m"), thr.alias("_thr"))
         widest = active.agg(F.max("_thr")).first()[0]
         if widest is None:
             break
         # state is a written table of one row per pair: its joins follow its real size
         x, y = M.project(F.col("m"), F.col("x"), F.col("y"))
-        moved = pre.join(active, keys).select(*keys, "q_id", x.alias("x"), y.alias("y"))
-        near = _within(moved, once, keys, float(widest)).join(active.drop("m"), keys).filter(F.col("dist") < F.col("_thr"))
+        moved = pre.join(active, keys).select(*keys, F.col("q_id").alias("t_id"), x.alias("x"), y.alias("y"))
+        once = pin(moved.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
+        near = _within(post.join(active.select(*keys), keys), once, keys, float(widest)).join(active.drop("m"), keys).filter(F.col("dist") < F.col("_thr"))
         fit = affine_from_matches(
-            near.select(*keys, "x", "y", F.col("tx").alias("u"), F.col("ty").alias("w"), "dist"), keys, [F.avg("dist").alias("mean")]
-        ).withColumnRenamed("m", "_step").withColumnRenamed("mean", "_mean")
-        j = pin(state.join(fit, keys, "left"))
-        live = F.col("end") == ""
-        step = F.col("_step")
-        far = (_shift_of(step, F.col("cx"), F.col("cy")) > 3 * thr) | (F.abs(_scale_of(step) - 1) > 0.15)
+            near.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("x").alias("u"), F.col("y").alias("w"), "dist"), keys,
+            [F.avg("dist").alias("mean"), *[F.avg(k).alias(f"mean_{k}") for k in ("x", "y", "u", "w")]],
+        ).withColumnRenamed("m", "_fit").withColumnRenamed("mean", "_mean")
+        for k in ("x", "y", "u", "w"):
+            fit = fit.withColumnRenamed(f"mean_{k}", f"_mean_{k}")
+        joined = state.join(fit, keys, "left")
+        j = pin(joined.withColumn("_step", _without_scale(joined, "_fit", F.col("corrected"))))
+        live, step = F.col("end") == "", F.col("_step")
+        enough = F.coalesce("n", F.lit(0)) >= 10
+        take = live & enough & step.isNotNull() & _within_limits(step, 3 * thr, 0.15)
+        take = F.coalesce(take, F.lit(False))
         gain = F.col("best").isNull() | (F.col("_mean") < 0.98 * F.col("best"))
-        stall = F.when(gain, 0).otherwise(F.col("stall") + 1)
-        stop = (
-            F.when(F.coalesce("n", F.lit(0)) < 10, "few pairs").when(step.isNull(), "degenerate").when(far, "step rejected")
-            .when(F.col("_mean") < 0.5, "converged").when(stall >= 5, "no gain").otherwise("")
-        )
-        take = live & ~stop.isin("few pairs", "degenerate", "step rejected")
-        state = pin(
-            j.select(
-                *keys, F.when(take, M.compose(step, F.col("m"))).otherwise(F.col("m")).alias("m"), "start", "cx", "cy",
-                F.when(take & gain, F.col("_mean")).otherwise(F.col("best")).alias("best"),
-                F.when(live, stall).otherwise(F.col("stall")).alias("stall"),
-                F.when(live, F.col("rounds") + 1).otherwise(F.col("rounds")).alias("rounds"),
-                F.when(take, F.col("n")).otherwise(F.col("n_pairs")).alias("n_pairs"),
-                F.when(live, stop).otherwise(F.col("end")).alias("end"),
-            )
-        )
+        stall = F.when(~take, F.col("stall")).when(gain, 0).otherwise(F.col("stall") + 1)
+        stop = F.when(~enough, "few pairs").when(take & (F.col("_mean") < 0.5), "converged").when(stall >= 5, "no gain").otherwise("")
+        state = pin(j.select(
+            *keys, "before", "corrected", F.when(take, M.compose(step, F.col("m"))).otherwise(F.col("m")).alias("m"), "start",
+            F.when(take & gain, F.col("_mean")).otherwise(F.col("best")).alias("best"), F.when(live, stall).otherwise(F.col("stall")).alias("stall"),
+            F.when(live, F.col("rounds") + 1).otherwise(F.col("rounds")).alias("rounds"),
+            F.when(live & enough & ~take, F.col("skipped") + 1).otherwise(F.col("skipped")).alias("skipped"),
+            F.when(take, F.col("n")).otherwise(F.col("n_pairs")).alias("n_pairs"), F.when(live, stop).otherwise(F.col("end")).alias("end"),
+        ))
     return state.select(
-        *keys, "m", F.col("best").alias("mean_distance"), "rounds", "n_pairs",
+        *keys, "m", "before", F.col("best").alias("mean_distance"), "rounds", "skipped", "n_pairs",
         F.when(F.col("end") == "", "iteration limit").otherwise(F.col("end")).alias("ended_by"),
     )
 

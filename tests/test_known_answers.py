@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from duoframe.functions import fits
 from duoframe.functions import matrices as X
-from duoframe.operators import filters, masks, percentiles, register, scale, warp
+from duoframe.operators import filters, masks, percentiles, pixels, register, scale, warp
 from duoframe.operators.components import components
 from duoframe.operators.diagnostics import top_rows
 from duoframe.operators.matching import two_nearest
@@ -55,10 +55,9 @@ def test_components_match_flood_fill(spark, conn, density, block):
     mask = RNG.random((40, 33)) < density
     runs = masks.pixels_to_runs(frame_df(spark, {"a": mask.astype(float)}), ["f"])
     want = flood(mask, conn)
-    for limit in (0, 1000):
-        got = to_array(masks.runs_to_pixels(components(runs, ["f"], conn, block, limit)), mask.shape, "label")
-        pairs = {(a, b) for a, b in zip(got[mask], want[mask])}
-        assert len(pairs) == len({a for a, _ in pairs}) == want.max()
+    got = to_array(masks.runs_to_pixels(components(runs, ["f"], conn, block)), mask.shape, "label")
+    pairs = {(a, b) for a, b in zip(got[mask], want[mask])}
+    assert len(pairs) == len({a for a, _ in pairs}) == want.max()
 
 
 def test_long_snake_is_one_component(spark):
@@ -67,7 +66,7 @@ def test_long_snake_is_one_component(spark):
     mask[1::4, -1] = True
     mask[3::4, 0] = True
     runs = masks.pixels_to_runs(frame_df(spark, {"a": mask.astype(float)}), ["f"])
-    assert components(runs, ["f"], 4, 3, 0).select("label").distinct().count() == 1
+    assert components(runs, ["f"], 4, 3).select("label").distinct().count() == 1
 
 
 def test_morphology(spark):
@@ -198,6 +197,7 @@ def test_closest_points_recover_an_affine_map(spark):
     post = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(moved)], "k string, t_id bigint, x double, y double")
     row = iterate_closest_points(pre, post, ["k"], max_iter=8).first()
     got = np.array(row["m"]).reshape(3, 3)
+    got = got @ np.array(row["before"]).reshape(3, 3)
     assert np.abs(np.c_[ring, np.ones(240)] @ got[:2].T - moved).mean() < 0.6
 
 
@@ -221,3 +221,70 @@ def test_coarse_search_finds_turn_and_scale(spark):
     before = np.corrcoef(pre.ravel(), post.ravel())[0, 1]
     after = np.corrcoef(back.ravel(), post.ravel())[0, 1]
     assert after > 0.8 > before
+
+
+def test_homography_does_not_depend_on_repeats(spark):
+    """Rows repeated 1, 100 and 10,000 times give the same map, also in one table."""
+    h = np.array([[1.02, -0.05, 7], [0.04, 0.98, -3], [1e-5, -2e-5, 1]])
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, 500, (60, 2))
+    d = np.c_[p, np.ones(60)] @ h.T
+    u = d[:, :2] / d[:, 2:]
+    u[:12] = rng.uniform(0, 500, (12, 2))
+    df = spark.createDataFrame([(*map(float, (*x, *y)),) for x, y in zip(p, u)], "x double, y double, u double, w double")
+    many = df.crossJoin(spark.createDataFrame([(1,), (100,), (10_000,)], "k int")).withColumn("i", F.explode(F.sequence(F.lit(1), "k"))).drop("i")
+    rows = {r["k"]: r for r in register.robust_homography(many, ["k"], n_hypotheses=300).collect()}
+    for k, r in rows.items():
+        assert (r["n_matches"], r["n_inliers"]) == (60 * k, 48 * k)
+        assert np.allclose(np.array(r["m"]).reshape(3, 3), h, atol=1e-4)
+        assert np.allclose(r["m"], rows[1]["m"], atol=1e-9)
+
+
+def test_neighbours_without_an_answer(spark):
+    q = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, None, 1.0), ("b", 3, 1.0, 1.0)], "k string, q_id bigint, x double, y double")
+    t = spark.createDataFrame([("a", 7, 3.0, 4.0), ("a", 8, None, None)], "k string, t_id bigint, x double, y double")
+    got = {r["q_id"]: (r["t_id"], r["dist"]) for r in nearest_neighbours(q, t, ["k"]).collect()}
+    assert got == {1: (7, 5.0), 2: (None, None), 3: (None, None)}
+
+
+def test_a_rejected_step_is_skipped_and_scale_frozen(spark):
+    """A far pair is moved by the first step alone; later rounds turn and move without scale."""
+    t = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    ring = np.c_[300 + (110 + 25 * np.cos(3 * t)) * np.cos(t), 280 + (90 + 20 * np.sin(2 * t)) * np.sin(t)]
+    moved = ring + [40.0, -25.0]
+    pre = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(ring)], "k string, q_id bigint, x double, y double")
+    post = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(moved)], "k string, t_id bigint, x double, y double")
+    row = iterate_closest_points(pre, post, ["k"]).first()
+    m, before = (np.array(row[c]).reshape(3, 3) for c in ("m", "before"))
+    assert not np.allclose(before, np.eye(3))
+    assert np.allclose(np.hypot(m[0, :2], m[1, :2]), 1, atol=0.1)
+    assert np.hypot(*(np.c_[ring, np.ones(300)] @ (m @ before)[:2].T - moved).T).mean() < 15
+
+
+@pytest.mark.parametrize("turn,size", [(0, 1.0), (3, 1.05)])
+def test_outline_on_a_reduced_grid(spark, turn, size):
+    """Planted shift, turn and scale come back within 1.5 pixels from a grid of half the size."""
+    y, x = np.mgrid[:240, :240]
+
+    def scene(dx, dy, angle, s):
+        a = np.radians(angle)
+        u, v = x - 120 - dx, y - 120 - dy
+        p, q = (np.cos(a) * u + np.sin(a) * v) / s, (-np.sin(a) * u + np.cos(a) * v) / s
+        th = np.arctan2(q, p / 1.2)
+        inside = np.hypot(p / 1.2, q) < 54 + 7 * np.cos(3 * th) + 5 * np.sin(5 * th + 0.4)
+        return np.where(inside, np.clip(100 + 60 * np.sin(p / 7) * np.cos(q / 5), 30, 255), 0)
+
+    frames = {"post": scene(0, 0, 0, 1), "pre": scene(13, -9, turn, size)}
+    df = frame_df(spark, frames).select(F.lit("a").alias("k"), F.col("f").alias("kind"), "r", "c", "v").filter("v > 0")
+    cand = register.search_candidates(angle_range=4, scale_min=0.95, scale_max=1.05)
+    row = register.register_outline(df, ["k"], (240, 240), down_scale=2.0, boundary_width=4, boundary_smooth=2.0, candidates=cand).first()
+    m, a = np.array(row["m"]).reshape(3, 3), np.radians(turn)
+    at = np.array([[120 + r * np.cos(k), 120 + r * np.sin(k), 1] for r in (0, 25, 50) for k in range(6)]).T
+    want = size * np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) @ (at[:2] - 120) + 120 + np.array([[13], [-9]])
+    assert np.abs((m @ at)[:2] / (m @ at)[2] - want).max() < 1.5
+
+
+def test_a_black_frame_does_not_end_the_others(spark):
+    df = spark.createDataFrame([("a", 0, 0, 0.0), ("b", 0, 0, 2.0), ("b", 0, 1, 4.0)], "k string, r int, c int, v double")
+    got = {(r["k"], r["c"]): r["v"] for r in pixels.normalize(df, ["k"]).collect()}
+    assert got == {("a", 0): None, ("b", 0): 0.5, ("b", 1): 1.0}
