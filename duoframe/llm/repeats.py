@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..session import pin
 from .textbytes import BASE, INVERSE, mix, powers, ragged, slices, utf8
 
-BLOCK, CHUNK = 2048, 8192
+BLOCK, CHUNK = 2048, 4096
+COMPARED = 2 << 20  # bytes compared at once
 _U = np.uint64
 
 
@@ -89,7 +90,7 @@ def sort_suffixes(text: Hashed, start: np.ndarray, size: np.ndarray, first: np.n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         data, at = utf8(batch.column("text"))
         text, n = Hashed(data), len(data)
         span = length - gram + 1
@@ -220,9 +221,15 @@ def repeated_windows(table: pa.Table, length: int, gram: int) -> tuple[np.ndarra
     high = following - row * offsets - 1
     whom = partner[row, low]
     span = high - low + length
-    same = data[ragged(anchor[row] - high, span)] == data[ragged(anchor[whom] - high, span)]
-    bad = np.flatnonzero(np.add.reduceat(~same, np.cumsum(span) - span) > 0) if len(span) else []
-    for r in {int(row[i]) for i in bad}:  # hashes that lied: decide the row's strings from the bytes alone
+    run, bad = np.cumsum(span), set()
+    i = 0
+    while i < len(span):
+        j = max(i + 1, int(np.searchsorted(run, (run[i - 1] if i else 0) + COMPARED, "right")))
+        size = span[i:j]
+        other = data[ragged(anchor[row[i:j]] - high[i:j], size)] != data[ragged(anchor[whom[i:j]] - high[i:j], size)]
+        bad |= set(row[i:j][np.add.reduceat(other, np.cumsum(size) - size) > 0].tolist())
+        i = j
+    for r in bad:  # hashes that lied: decide the row's strings from the bytes alone
         peers = [int(j) for j in range(first[r], first[r] + count[r]) if j != r]
         for o in np.flatnonzero(inside[r]):
             mine = data[anchor[r] - o : anchor[r] - o + length].tobytes()
