@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import let
-from ..session import attach, pin, size_columns, union_all
+from ..session import attach, pin, running_total, size_columns, union_all
 from .filters import area_downsample, densest_window, downsampled_shape
 from .histograms import bin_counts, explode_bins, uniform_bin
 from .percentiles import percentiles
@@ -218,8 +218,7 @@ def top_rows(df: DataFrame, keys: Sequence[str], n: int, value: str = "post") ->
     for step, (col, down) in enumerate([(value, True), ("r", False), ("c", False)]):
         order = F.col(col).desc() if down else F.col(col).asc()
         counts = rest.groupBy(*keys, col).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        run = counts.withColumn("_cum", F.sum("_n").over(w))
+        run = running_total(counts, keys, [order], "_n", "_cum")
         want = F.lit(n) if left is None else F.col("_want")
         run = run if left is None else run.join(left, list(keys))
         cut = pin(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import is_empty, pin
+from ..session import is_empty, pin, running_total
 
 # Up to this many distinct values a group's value->count map is small enough for
 # the built-in percentile aggregate (its buffer holds one entry per distinct value).
@@ -102,10 +102,9 @@ def _select(
         .groupBy(*keys, F.col("_b.i").alias("_i"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    running = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     p_of = F.element_at(F.array(*[F.lit(float(p)) for p in ps.values()]), F.col("_i") + 1)
     ranked = (
-        inside.withColumn("_cum", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+        running_total(inside, [*keys, "_i"], [F.col("_v").asc_nulls_first()], "_c", "_cum")
         .join(ranks.drop("_b"), keys)
         .withColumn("_k", p_of * (F.col("_n") - 1))
         .groupBy(*keys, "_i")

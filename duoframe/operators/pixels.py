@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import attach, pin, size_columns
+from ..session import attach, pin, running_total, size_columns
 from .percentiles import percentiles
 
 
@@ -36,12 +36,11 @@ def sparse_percentile(
         *keys, F.col("_n").alias(cells), F.lit(0.0).alias(value), (F.col("_n") - F.col("_s")).alias("_c")
     )
     counts = vals.unionByName(zeros)
-    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     k = F.lit(float(p)) * (F.col(cells) - 1)
     a = F.min(F.when(F.col("_cum") > F.floor("_k"), F.col(value)))
     z = F.min(F.when(F.col("_cum") > F.ceil("_k"), F.col(value)))
     return (
-        counts.withColumn("_cum", F.sum("_c").over(running))
+        running_total(counts, keys, [value], "_c", "_cum")
         .withColumn("_k", k)
         .groupBy(*keys)
         .agg((a + (z - a) * F.max(F.col("_k") - F.floor("_k"))).alias(name))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
-from ..session import attach, is_empty, pin
+from ..session import attach, is_empty, pin, running_total
 from .percentiles import percentiles
 
 
@@ -25,8 +25,9 @@ def even_subsample(points: DataFrame, keys: Sequence[str], n: int = 800, order:
 
     Whether a position is hit follows from its own number, so no index table is joined.
     """
-    w = Window.partitionBy(*keys)
-    num = points.withColumn("_j", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    keys = list(keys)
+    num = running_total(points.withColumn("_one", F.lit(1)), keys, list(order), "_one", "_j").withColumn("_j", F.col("_j") - 1).drop("_one")
+    num = attach(num, points.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     step = (F.col("_n") - 1) / F.lit(float(n - 1))
     first = F.floor(F.col("_j") / step)
     hit = lambda i: (i >= 0) & (i <= n - 1) & (F.rint(i * step) == F.col("_j"))

@@ -139,7 +139,8 @@ def run_batch(
         scales = pin(scale_set(aligned, KEYS, given["scale_percentile"], given["manual_scale"]))
         if not is_empty(new):
             diff = difference(aligned.join(new, KEYS, "left_semi"), KEYS, scales).withColumn("v", F.col("d"))
-            labels = [r["label"] for r in scales.select("label").distinct().limit(3).collect()]
+            # one label per kind of scale that the parameters ask for
+            labels = [r["label"] for r in scales.select("label").distinct().collect()]
             for label in labels:
                 name = "difference" if label == "moffat" else f"difference_{label}"
                 write_stage(diff.filter(F.col("label") == label), store.rasters, 4, name, suf[4])

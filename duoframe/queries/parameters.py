@@ -18,7 +18,20 @@ def tasks(t):
     return C.request(t("nation").select(F.col("n_name").alias("sample")), dyes)
 
 
-@query("parameter_registry", "I1")
+def _text(value) -> str:
+    return "null" if value is None else "'" + str(value).replace("'", "''") + "'"
+
+
+REGISTRY = ", ".join(
+    f"({i}, {_text(n)}, {_text(d)}, {_text(k)}, {_text(a)}, {s}, {_text(P.FINE_GROUP if n in P.FINE_PARAMETERS else P.GROUPS[s])})"
+    for i, (n, d, k, a, s, _) in enumerate(P.PARAMETERS)
+)
+
+
+@query("parameter_registry", "I1", f"""
+select g.ord, g.name, g.dflt as "default", g.type, g.abbrev, g.stage, g.grp, coalesce(u.n_set, 0) as n_set
+from (values {REGISTRY}) g(ord, name, dflt, type, abbrev, stage, grp)
+left join (select name, count(*) as n_set from v_params group by 1) u on u.name = g.name""")
 def parameter_registry(t):
     used = v_params(t).groupBy("name").agg(F.count("*").alias("n_set"))
     reg = P.registry(t.spark).join(used, "name", "left")

@@ -39,30 +39,34 @@ def centroid(t):
 
 
 def _planted(t):
-    """Post frames, and the same frames turned and moved as pre."""
-    post = shift_pixels(v_px(t).filter("kind = 'post' and v >= 20"), 32, 32).drop("kind")
-    post = pin(post)
+    """Every frame as the post frame of a pair of its own, and the same frame moved by (4, -3) as pre."""
+    post = pin(shift_pixels(v_px(t), 32, 32).withColumn("sample", F.concat("sample", F.lit("-"), "kind")).drop("kind"))
     turn = M.invert(M.translation(4, -3))
     maps = post.select("sample").distinct().select("sample", turn.alias("m"))
     pre = warp_bilinear(post, ["sample"], (192, 192), maps)
     return pin(post.withColumn("kind", F.lit("post")).unionByName(pre.withColumn("kind", F.lit("pre"))))
 
 
-@query("coarse_search", "F2")
+PLANTED = "select distinct sample || '-' || kind as sample, {} from v_px"
+SHIFT = "4.0::double as dx, -3.0::double as dy, 1.0::double as response"
+
+
+@query("coarse_search", "F2", PLANTED.format("true as no_turn, true as strong, 1.0::double as scale, 4.0::double as dx, -3.0::double as dy"))
 def coarse_search(t):
-    cand = R.search_candidates(angle_range=4, angle_step=2, scale_min=0.95, scale_max=1.05)
-    out = R.best_candidate(R.coarse_search(_planted(t), ["sample"], (192, 192), cand), ["sample"])
-    return out.select("sample", "angle", r6("scale", 3).alias("scale"), *[r6(n, 3).alias(n) for n in ("dx", "dy", "response")])
+    out = R.best_candidate(R.coarse_search(_planted(t), ["sample"], (192, 192)), ["sample"])
+    # a turn by one step moves these frames by less than a cell, so the step itself may win
+    return out.select("sample", (F.abs("angle") <= 1).alias("no_turn"), (F.col("response") > 0.9).alias("strong"), *[r6(n, 0).alias(n) for n in ("scale", "dx", "dy")])
 
 
-@query("phase_shift", "F3")
+@query("phase_shift", "F3", PLANTED.format(SHIFT))
 def phase_shift(t):
     return R.phase_shift(_planted(t), ["sample"], (192, 192)).select("sample", *[r6(n, 3).alias(n) for n in ("dx", "dy", "response")])
 
 
-@query("prealign_translation", "F22")
+@query("prealign_translation", "F22", "select sample || '-' || kind as sample, (r + 32)::int as r, (c + 32)::int as c, round(v, 3) as v from v_px where v > 0")
 def prealign_translation(t):
-    return R.prealign_translation(_planted(t), ["sample"], (192, 192)).select("sample", "r", "c", r6("v", 3).alias("v"))
+    out = R.prealign_translation(_planted(t), ["sample"], (192, 192))
+    return out.select("sample", "r", "c", r6("v", 3).alias("v")).filter("v > 0")
 
 
 PART = "from part"
@@ -259,19 +263,16 @@ def accuracy(t):
 
 @query("register_outline", "F20")
 def register_outline(t):
-    cand = R.search_candidates(angle_range=2, angle_step=2, scale_search=False)
-    out = R.register_outline(
-        _planted(t), ["sample"], (192, 192), down_scale=4.0, boundary_width=4, boundary_smooth=2.0, candidates=cand
-    )
+    out = R.register_outline(_planted(t), ["sample"], (192, 192), down_scale=4.0, boundary_width=4, boundary_smooth=2.0)
     return out.select("sample", "outcome", *[r6(M.at(F.col("m"), i, j), 2).alias(f"m{i}{j}") for i in range(2) for j in range(3)])
 
 
-@query("refine_interior", "F21")
+@query("refine_interior", "F21", PLANTED.format("true as success, 1::int as levels_completed, '' as failure_reason, true as matched, -1.0::double as dx_correction, 1.0::double as dy_correction"))
 def refine_interior(t):
     px = _planted(t)
     start = px.select("sample").distinct().select("sample", M.translation(3, -2).alias("m"))
     out = R.refine_interior(px, start, ["sample"], (192, 192), min_contrast=4.0)
     return out.select(
         "sample", "success", "levels_completed", F.coalesce("failure_reason", F.lit("")).alias("failure_reason"),
-        "n_matches", r6("dx_correction", 1).alias("dx_correction"), r6("dy_correction", 1).alias("dy_correction"),
+        (F.col("n_matches") >= 10).alias("matched"), r6("dx_correction", 1).alias("dx_correction"), r6("dy_correction", 1).alias("dy_correction"),
     )

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -65,6 +65,26 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     return big.join(pin(small), list(keys), how)
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence, amount: str, name: str) -> DataFrame:
+    """Add the sum of amount up to and with each row of its group, in the given order.
+
+    Ranges of (keys, order) are summed first, each range starts from the sums of the ranges
+    before it, and only the inside of a range is a window; so no group, however large, is one
+    task. Rows that are equal in keys and order share a range.
+    """
+    keys = list(keys)
+    ranged = pin(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.withColumn(name, F.sum(amount).over(inside)).join(
+        before.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of_range"), "_before"),
+        on=[F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_range") == F.col("_of_range")],
+    )
+    return joined.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) == 0
 

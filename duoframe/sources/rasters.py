@@ -9,23 +9,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import attach, size_columns
+from ..session import attach, pin, size_columns
 
 PIXELS = "path string, height int, width int, r int, c int, ch string, v int"
 ROWS_PER_BATCH = 64
 
 
+def _images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    img = spark.read.format("image").option("dropInvalid", "false").load(path)
+    # local paths in the form the file listing uses
+    origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
+    return img.select(origin, "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def raster_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A3: one row per file: path, height, width, channels, error; black frames have their size, damaged files an error."""
+    bad = F.col("height") <= 0
+    size = lambda n, to: F.when(~bad, F.col(n)).alias(to)
+    return _images(spark, path).select(
+        F.col("origin").alias("path"), size("height", "height"), size("width", "width"), size("nChannels", "channels"),
+        F.when(bad, "unreadable raster").alias("error"),
+    )
+
+
 def decode_raster(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A3: pixels of 8-bit gray or RGB images, one row per pixel and channel, zeros left out.
 
     The image source decodes one file per task; the bytes are turned into rows a few
-    image lines at a time.
+    image lines at a time. Files that cannot be read have no pixels here and an error row
+    in raster_frames().
     """
-    img = spark.read.format("image").option("dropInvalid", "true").load(path)
-    # local paths in the form the file listing uses
-    origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
-    cols = img.select(origin, "image.height", "image.width", "image.nChannels", "image.data")
-    return cols.mapInPandas(_explode_bytes, PIXELS)
+    return _images(spark, path).filter("height > 0").mapInPandas(_explode_bytes, PIXELS)
 
 
 def _explode_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +62,7 @@ def decode_frames(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """Gray pixel rows of the listed files: path, r, c, v after the channel pick."""
     names = [r["path"] for r in paths.select("path").distinct().toLocalIterator()]
     rgb = decode_raster(spark, names)
-    frames = rgb.groupBy("path").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    frames = pin(raster_frames(spark, names).filter("error is null").select("path", "height", "width"))
     return pick_signal_channel(rgb.select("path", "r", "c", "ch", "v"), ["path"], frames)
 
 

@@ -56,6 +56,15 @@ def test_list_decode_and_pick(spark, raw):
     assert px.filter("ch <> 'G'").count() == 0
 
 
+def test_damaged_and_black_files_are_reported(spark, tmp_path):
+    write_tiff(tmp_path / "ok.tif", image(1))
+    write_tiff(tmp_path / "black.tif", np.zeros((7, 9, 3), np.uint8))
+    (tmp_path / "bad.tif").write_bytes(b"II*\0" + b"\1" * 40)
+    got = {r["path"].rsplit("/", 1)[1]: (r["height"], r["width"], r["error"]) for r in R.raster_frames(spark, str(tmp_path)).collect()}
+    assert got == {"ok.tif": (40, 50, None), "black.tif": (7, 9, None), "bad.tif": (None, None, "unreadable raster")}
+    assert {r["path"].rsplit("/", 1)[1] for r in R.decode_raster(spark, str(tmp_path)).select("path").distinct().collect()} == {"ok.tif"}
+
+
 def test_load_pair_and_strict_mode(spark, raw):
     files = C.list_raw_files(spark, str(raw))
     pairs = C.group_pairs(C.classify_files(files))
