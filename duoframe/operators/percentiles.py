@@ -57,16 +57,6 @@ def percentiles(
     return picked.drop("_ok")
 
 
-def approx_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, ps: Mapping[str, float], accuracy: int = 10_000
-) -> DataFrame:
-    """Single-pass sketch percentiles, for callers who accept a rank error of 1/accuracy."""
-    q = F.percentile_approx(_as_col(value), list(ps.values()), accuracy)
-    return df.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(ps)]
-    )
-
-
 def _as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -1,26 +1,7 @@
-"""Explicit schemas of the tables of the data model."""
+"""Explicit schemas of tables that are made from literals or text."""
 
-RAW_FILES = "path string, sample string, basename string, length bigint, mtime timestamp"
-PAIRS = "sample string, dye string, pre_paths array<string>, post_paths array<string>"
-PX = "sample string, dye string, kind string, r int, c int, v double"
-FRAMES = "sample string, dye string, kind string, height int, width int, origin_r int, origin_c int"
-PX_RGB = "frame_id string, r int, c int, ch string, v int"
-TILES = "frame_id string, tr int, tc int, halo int, data array<float>"
-PAIR_PX = "sample string, dye string, r int, c int, post double, pre double"
-POINTS = "frame_id string, pt_id bigint, x double, y double"
-TRANSFORMS = "sample string, dye string, stage int, m array<double>"
-KEYPOINTS = "frame_id string, kp_id bigint, x double, y double, desc array<float>"
-MATCHES = "q_id bigint, t_id bigint, d1 double, d2 double"
-HIST1D = "sample string, dye string, bin int, lo double, hi double, n bigint"
-HIST2D = "sample string, dye string, pre_bin int, post_bin int, n bigint"
-RESULTS = (
-    "sample string, dye string, scale_estimate double, "
-    "scale_percentile_value double, manual_scale double, status string"
-)
 PARAM_REGISTRY = (
     "ord int, name string, default string, type string, abbrev string, "
     "stage int, grp string, description string"
 )
-MANIFEST = "sample string, dye string, stage int, name string, suffix string, fmt string"
-PROVENANCE = "sample string, dye string, stage int, name string, key string, value string, comment string"
 RUN_LOG = "ts timestamp, seq bigint, section string, line string"

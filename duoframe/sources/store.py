@@ -55,7 +55,7 @@ def read_stage(
 
 
 def manifest_from_store(spark: SparkSession, path: str) -> DataFrame:
-    """Which (sample, dye, stage, name, suffix) exist; answered from partition values only."""
+    """Which (sample, dye, stage, name, suffix) exist: the partition values of the files, no column is decoded."""
     return spark.read.schema(SCHEMA).parquet(path).select(*PARTITIONS).distinct()
 
 
@@ -69,10 +69,10 @@ def provenance(runs: DataFrame, params: DataFrame, extras: DataFrame | None = No
     base = runs.select(
         "run_id", "sample", "dye", "stage",
         F.explode(F.array(
-            _header("SAMPLE", F.col("sample"), "Sample name"),
-            _header("DYE", F.col("dye"), "Dye/channel name"),
-            _header("STAGE", stage_name(F.col("stage")), "Pipeline stage"),
-            _header("CREATED", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), "File creation timestamp"),
+            _header("SAMPLE", F.col("sample"), "sample of the frame"),
+            _header("DYE", F.col("dye"), "dye of the frame"),
+            _header("STAGE", stage_name(F.col("stage")), "stage that wrote it"),
+            _header("CREATED", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), "time of writing"),
         )).alias("h"),
     ).select("run_id", "sample", "dye", "stage", "h.key", "h.value", "h.comment")
     own = runs.select("run_id", "sample", "dye", "stage")
