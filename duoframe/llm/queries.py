@@ -37,7 +37,22 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op1_jump_shards")
+# the generator's multiplier and the reflected CRC-32 polynomial are fixed values
+@query("op1_jump_shards", """
+with recursive steps as (
+  select doc_id, n, doc_id::hugeint as k, 0::bigint as b, 0::bigint as j from documents, (values (40), (41)) c(n)
+  union all
+  select doc_id, n, k2, j, floor((j + 1) * (2147483648.0::double / ((k2 // 8589934592) + 1)::double))::bigint
+  from (select doc_id, n, j, (k * 2862933555777941757 + 1) % 18446744073709551616 as k2 from steps where j < n)
+),
+shards as (select doc_id, n, max(b)::int as shard from steps where j >= n group by all),
+crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::bigint as size,
+        xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as text_crc32
+      from documents, crc)
+select d.*, 'key' as law, s.shard, row_number() over (partition by s.shard order by d.doc_id, d.text_crc32, d.size) - 1 as slot, g.shard as grown_shard
+from d join shards s on s.doc_id = d.doc_id and s.n = 40 join shards g on g.doc_id = d.doc_id and g.n = 41
+""")
 def op1(spark, folder):
     return sharding.shard(table(spark, folder, "documents"), 40)
 
