@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import pin
 from .textbytes import BASE, INVERSE, mix, powers, ragged, slices, utf8
 
-BLOCK, CHUNK = 2048, 4096
+BLOCK, CHUNK = 4096, 4096
 COMPARED = 2 << 20  # bytes compared at once
 _U = np.uint64
 
@@ -95,26 +95,28 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
         text, n = Hashed(data), len(data)
         span = length - gram + 1
         rows = np.arange(batch.num_rows)
-        found = np.zeros(n, bool)
+        position = near = far = np.zeros(0, np.int64)
         if n >= length:
             value = mix(text(np.arange(n - gram + 1), gram))
-            best, place = _minima(value, span)
+            place = _minima(value, span)
             row = np.repeat(rows, np.diff(at))
-            whole = row[: n - length + 1] == row[length - 1 :]
-            found[place[whole]] = True
-        position = np.flatnonzero(found)
+            start = np.flatnonzero(row[: n - length + 1] == row[length - 1 :])
+            # the strings that select one place start at consecutive bytes
+            position, first, many = np.unique(place[start], return_index=True, return_counts=True)
+            far, near = position - start[first], position - start[first + many - 1]
         row = np.searchsorted(at, position, "right") - 1
         cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
         marks = value[position].view(np.int64) if len(position) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("key"), pa.array(np.diff(at)), pa.ListArray.from_arrays(cuts, pa.array(marks)),
-             pa.ListArray.from_arrays(cuts, pa.array(position - at[row]))],
-            ["doc_id", "key", "n_bytes", "marks", "places"],
+             pa.ListArray.from_arrays(cuts, pa.array(position - at[row])), pa.ListArray.from_arrays(cuts, pa.array(near.astype(np.int32))),
+             pa.ListArray.from_arrays(cuts, pa.array(far.astype(np.int32)))],
+            ["doc_id", "key", "n_bytes", "marks", "places", "nears", "fars"],
         )
 
 
-def _minima(value: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest value of every `span` consecutive ones, and its last place, by doubling."""
+def _minima(value: np.ndarray, span: int) -> np.ndarray:
+    """Last place of the smallest value of every `span` consecutive ones, by doubling."""
     best, place = value.copy(), np.arange(len(value))
     have = 1
     while have < span:
@@ -123,21 +125,21 @@ def _minima(value: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         later = b <= a
         best, place = np.where(later, b, a), np.where(later, place[step:], place[:-step])
         have += step
-    return best, place
+    return place
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around each wanted anchor: all strings of `length` bytes that hold it."""
+    """The bytes around each wanted anchor: all strings of `length` bytes that select it."""
     for batch in slices(batches, "text", 1 << 20):
         data, at = utf8(batch.column("text"))
         whole = memoryview(data)
         lists = batch.column("wanted")
-        out: dict[str, list] = {c: [] for c in ("mark", "block", "split", "key", "place", "left", "bytes")}
+        out: dict[str, list] = {c: [] for c in ("mark", "block", "split", "key", "place", "near", "left", "bytes")}
         for i, key in enumerate(batch.column("key").to_pylist()):
             for w in lists[i].as_py():
                 p = int(at[i]) + w["place"]
-                low, high = max(int(at[i]), p - (length - gram)), min(int(at[i + 1]), p + length)
-                for c, v in zip(out, (w["mark"], w["block"], w["split"], key, w["place"], p - low, bytes(whole[low:high]))):
+                part = bytes(whole[p - w["far"] : p - w["near"] + length])
+                for c, v in zip(out, (w["mark"], w["block"], w["split"], key, w["place"], w["near"], w["far"], part)):
                     out[c].append(v)
                 if len(out["mark"]) >= 20_000:
                     yield _context_batch(out)
@@ -147,7 +149,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
 
 def _context_batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
 
@@ -174,12 +176,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def repeated_windows(table: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For rows of whole groups: which strings start `o` bytes before the anchor and occur again in the group.
 
-    Returns two matrices, rows x (length - gram + 1): whether that string lies inside the text,
-    and the row of an equal one (-1: none).
+    A row's bytes are the strings that select its anchor: those that start from `left` down to
+    `near` bytes before it. Returns two matrices, rows x (length - gram + 1): whether there is
+    such a string, and the row of an equal one (-1: none).
     """
     data, at = utf8(table.column("bytes").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
     text = Hashed(data)
-    left = table.column("left").to_numpy()
+    left, near = table.column("left").to_numpy(), table.column("near").to_numpy()
     anchor, right = at[:-1] + left, np.diff(at) - left
     mark, block = table.column("mark").to_numpy(), table.column("block").to_numpy()
     n = len(mark)
@@ -193,7 +196,7 @@ def repeated_windows(table: pa.Table, length: int, gram: int) -> tuple[np.ndarra
     shared = np.where(edge[1:], -1, shared)  # neighbours of different groups share nothing
 
     offsets = length - gram + 1
-    inside = (left[:, None] >= np.arange(offsets)) & (right[:, None] >= length - np.arange(offsets))
+    inside = (left[:, None] >= np.arange(offsets)) & (near[:, None] <= np.arange(offsets))
     partner = np.full((n, offsets), -1)
     for o in range(offsets):
         kind = np.concatenate([[0], np.cumsum(shared < length - o)])
@@ -292,17 +295,18 @@ def find_repeats(docs: DataFrame, length: int = 200, gram: int = 64, id_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
-    base = pin(source.mapInArrow(lambda b: _anchors(b, length, gram), f"doc_id {kind}, key string, n_bytes long, marks array<long>, places array<long>"))
+    base = pin(source.mapInArrow(lambda b: _anchors(b, length, gram), f"doc_id {kind}, key string, n_bytes long, marks array<long>, places array<long>, nears array<int>, fars array<int>"))
     copies = base.groupBy("key").agg(F.count("*").alias("copies"))
-    anchors = base.select("key", F.explode(F.arrays_zip("marks", "places")).alias("a")).select("key", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"))
+    anchors = base.select("key", F.explode(F.arrays_zip("marks", "places", "nears", "fars")).alias("a")).select(
+        "key", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"), F.col("a.nears").alias("near"), F.col("a.fars").alias("far"))
     named = anchors.select("mark", F.xxhash64("key", "place").alias("f"))
     shared = pin(named.groupBy("mark").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count("*").alias("n")).filter("low != high").select("mark", "n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     wanted = anchors.join(shared, "mark").select("key", F.struct(
-        "place", "mark", F.pmod(F.xxhash64("key", "place"), blocks).cast("int").alias("block"), (blocks > 1).alias("split")).alias("w"))
+        "place", "near", "far", "mark", F.pmod(F.xxhash64("key", "place"), blocks).cast("int").alias("block"), (blocks > 1).alias("split")).alias("w"))
     lists = pin(wanted.groupBy("key").agg(F.collect_set("w").alias("wanted")))  # as many as a text has anchors
     texts = pin(source.select("key", "text").join(lists, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")))
-    around = texts.mapInArrow(lambda b: _contexts(b, length, gram), "mark long, block int, split boolean, key string, place long, left long, bytes binary")
+    around = texts.mapInArrow(lambda b: _contexts(b, length, gram), "mark long, block int, split boolean, key string, place long, near long, left long, bytes binary")
     sorted_ = around.repartition("mark", "block").sortWithinPartitions("mark", "block")
     matched = pin(sorted_.mapInArrow(lambda b: _matched(b, length, gram), "key string, first long, end long, string binary, open boolean"))
     local = matched.filter("string is null").select("key", "first", "end")

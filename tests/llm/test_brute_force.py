@@ -281,7 +281,7 @@ def test_repeats_of_odd_rows(odd, none):
 def test_lying_hashes_are_caught(monkeypatch):
     monkeypatch.setattr(repeats.Hashed, "__call__", lambda self, start, length: np.zeros(len(start), np.uint64))
     rows = [b"a" * 64 + b"b" * 136, b"a" * 64 + b"c" * 136, b"a" * 64 + b"b" * 136]
-    table = pa.table({"mark": [1, 1, 1], "block": pa.array([0, 0, 0], pa.int32()), "left": [0, 0, 0], "bytes": pa.array(rows, pa.binary())})
+    table = pa.table({"mark": [1, 1, 1], "block": pa.array([0, 0, 0], pa.int32()), "left": [0, 0, 0], "near": [0, 0, 0], "bytes": pa.array(rows, pa.binary())})
     _, partner = repeats.repeated_windows(table, 200, 64)
     assert (partner[1] < 0).all() and partner[0, 0] == 2 and partner[2, 0] == 0
 
