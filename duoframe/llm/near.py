@@ -194,13 +194,20 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ban
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is its class's own: that of the smallest id.
+    """The rows of docs, with all their columns, that stay: of each class the one of the smallest id.
 
-    Texts that are equal byte for byte stay or go together, so exact copies are to be removed before.
+    Of rows with equal texts and ids any one stays. Texts without words all stay.
     """
-    _, class_of = _classified(docs, similarity, shingle, bands, rows, id_col, text)
+    signed, class_of = _classified(docs, similarity, shingle, bands, rows, id_col, text)
     key = "near_key"
     while key in docs.columns:
         key += "_"
+    named = docs.withColumn(key, F.sha2(F.col(text).cast("binary"), 256))
     gone = pin(class_of.filter(~F.col("stays")).select(F.col("key").alias(key)))
-    return docs.withColumn(key, F.sha2(F.col(text).cast("binary"), 256)).join(gone, key, "left_anti").drop(key)
+    copied = pin(signed.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias(key)))
+    rest = named.join(gone, key, "left_anti")
+    if is_empty(copied):
+        return rest.drop(key)
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.isnull(id_col), F.col(id_col)))
+    one = rest.join(copied, key, "left_semi").groupBy(key).agg(first.alias("row")).select("row.*")
+    return rest.join(copied, key, "left_anti").drop(key).unionByName(one)
