@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import diagnostics as D
 from ..operators.pixels import pad_to_common_canvas, pair_pixels
 from ..operators.register import refine_interior, register_outline, search_candidates
 from ..operators.scale import difference, moffat_scale, overlap, scale_set
@@ -14,7 +15,7 @@ from ..operators.warp import warp_bilinear
 from ..session import attach, is_empty, pin, union_all
 from ..sources.store import PARTITIONS, SCHEMA, write_stage
 from . import params as P
-from .reports import plan_stages
+from .reports import DIAGNOSTICS, plan_stages
 
 KEYS = ["sample", "dye"]
 TRANSFORMS = "sample string, dye string, stage int, suffix string, m array<double>"
@@ -25,6 +26,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.rasters, self.maps = spark, f"{path}/rasters", f"{path}/transforms"
+        self.tables = f"{path}/tables"
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
@@ -41,7 +43,21 @@ class Store:
         match = wanted[0]
         for w in wanted[1:]:
             match = match | w
-        return rows.filter(match).select(*PARTITIONS).distinct()
+        out = rows.filter(match).select(*PARTITIONS).distinct()
+        last = suffix_of.get(P.MAX_STAGE)
+        if last is not None:
+            for name in DIAGNOSTICS:
+                kept = self._read(f"{self.tables}/{name}", "sample string, dye string, suffix string").filter(F.col("suffix") == (last or "_"))
+                out = out.unionByName(kept.select(*KEYS, F.lit(P.MAX_STAGE).alias("stage"), F.lit(name).alias("name"), "suffix").distinct())
+        return out
+
+    def write_table(self, rows: DataFrame, name: str, suffix: str) -> None:
+        """Rows with the keys of their task, kept by name and suffix; the tasks present in rows are replaced."""
+        out = rows.withColumn("suffix", F.lit(suffix or "_"))
+        out.write.partitionBy("suffix", *KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.tables}/{name}")
+
+    def table(self, name: str, suffix: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.tables}/{name}").filter(F.col("suffix") == (suffix or "_")).drop("suffix")
 
     def raster(self, tasks: DataFrame, stage: int, name: str, suffix: str) -> DataFrame:
         px = self._read(self.rasters, SCHEMA).filter(
@@ -63,18 +79,35 @@ def suffixes(spark: SparkSession, params: dict) -> dict[int, str]:
     return {s: P.build_suffix(table, s).first()["suffix"] for s in range(1, P.MAX_STAGE + 1)}
 
 
+def write_diagnostics(store: Store, pairs: DataFrame, canvas: DataFrame, scales: DataFrame, suffix: str) -> None:
+    """Tables of H1 to H6 and of every diagnostic that the user registered, for all pairs at once."""
+    one = scales.filter("label = 'moffat'").select(*KEYS, "scale")
+    made = {
+        "pre_post_heatmap": D.density_grid(pairs, KEYS, canvas), "pre_post_histograms": D.brightness_histograms(pairs, KEYS),
+        "difference_histogram": D.difference_histogram(pairs, KEYS, canvas), "ratio_histogram": D.ratio_report(pairs, KEYS),
+        "excess_heatmap": D.excess_grid(pairs, KEYS, canvas),
+        "difference_image": D.difference_display(attach(pairs, one, KEYS, "inner"), KEYS, F.col("scale")),
+        **{name: fn(pairs, KEYS) for name, fn in D.REGISTRY.items()},
+    }
+    for name, rows in made.items():
+        store.write_table(rows, name, suffix)
+
+
 def run_batch(
     px: DataFrame, frames: DataFrame, tasks: DataFrame, path: str, params: dict | None = None,
-    from_stage: int | None = None, to_stage: int | None = None, force: bool = False,
+    from_stage: int | None = None, to_stage: int | None = None, force: bool = False, diagnostics: bool = True,
 ) -> DataFrame:
     """Run the four stages for all tasks at once; one result row per task.
 
     px: sample, dye, kind, r, c, v (gray raw pixels); frames: sample, dye, kind, height, width.
     Every stage is one grouped job over the tasks that still need it. A task that cannot
-    go on gets an error status and leaves the others alone.
+    go on gets an error status and leaves the others alone. The last stage also writes the
+    tables of the diagnostics, stage 3 those of the interior fits.
     """
     spark = px.sparkSession
     given = {**P.defaults_typed(), **(params or {})}
+    if given["fine_ecc"]:
+        raise ValueError("fine_ecc: the optional fine pass is not built")
     suf, store = suffixes(spark, params or {}), Store(spark, path)
     tasks = pin(tasks.select(*KEYS).distinct())
     first, last = from_stage or 1, to_stage or P.MAX_STAGE
@@ -130,6 +163,7 @@ def run_batch(
                     both(part, 1, suf[1]), before, KEYS, s, max_correction=given["interior_max_correction"],
                     min_inlier_ratio=given["interior_min_inlier_ratio"], blur_base=given["interior_blur_base"],
                 ))
+                store.write_table(maps.drop("m"), "interior", suf[3])
             store.write_transforms(maps, 3, suf[3])
             write_stage(warp_bilinear(store.raster(part, 1, "pre", suf[1]), KEYS, s, maps), store.rasters, 3, "pre", suf[3])
     scales = None
@@ -144,6 +178,8 @@ def run_batch(
             for label in labels:
                 name = "difference" if label == "moffat" else f"difference_{label}"
                 write_stage(diff.filter(F.col("label") == label), store.rasters, 4, name, suf[4])
+            if diagnostics:
+                write_diagnostics(store, pin(aligned.join(new, KEYS, "left_semi")), canvas, scales, suf[4])
     done = tasks.join(sides, KEYS, "left")
     if scales is None:
         scales = spark.createDataFrame([], "sample string, dye string, label string, scale double")
@@ -178,6 +214,6 @@ def sweep(
     """
     parts = []
     for v in values:
-        one = run_batch(px, frames, tasks, path, {**(params or {}), name: v})
+        one = run_batch(px, frames, tasks, path, {**(params or {}), name: v}, diagnostics=False)
         parts.append(pin(one.withColumn("parameter", F.lit(name)).withColumn("value", F.lit(P.to_text(v)))))
     return union_all(*parts)

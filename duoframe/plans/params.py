@@ -88,7 +88,8 @@ def params_table(spark: SparkSession, values: dict, run_id: int = 0) -> DataFram
 
 def check_params(params: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Rows whose name is unknown or whose value does not fit the type, with the problem."""
-    reg = (registry(params.sparkSession) if known is None else known).select("name", "type")
+    # the own registry is a fixed short list; a caller's table joins by its real size
+    reg = F.broadcast(registry(params.sparkSession).select("name", "type")) if known is None else known.select("name", "type")
     v = F.col("value")
     bad = (
         F.when(F.col("type").isNull(), "unknown parameter")
@@ -96,7 +97,7 @@ def check_params(params: DataFrame, known: DataFrame | None = None) -> DataFrame
         .when((F.col("type") == "bool") & ~v.isin("true", "false"), "not a boolean")
         .when(F.col("type").isin("int", "float", "none") & v.isNotNull() & F.expr("try_cast(value as double) is null"), "not a number")
     )
-    return params.join(F.broadcast(reg), "name", "left").withColumn("problem", bad).filter("problem is not null").select(
+    return params.join(reg, "name", "left").withColumn("problem", bad).filter("problem is not null").select(
         *params.columns, "problem"
     )
 

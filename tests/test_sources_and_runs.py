@@ -158,5 +158,11 @@ def test_batch_aligns_scales_and_resumes(spark, tmp_path):
     assert abs(m[2] + 2) < 0.7 and abs(m[5] - 3) < 0.7
     # everything is there now: nothing is planned again
     assert B.plan_stages(tasks.filter("sample = 's1'"), store.manifest(suf)).filter("run").count() == 0
+    # every diagnostic of the finished pair is a table, and the report finds it complete
+    report = B.status_report(tasks.filter("sample = 's1'"), store.manifest(suf)).collect()
+    assert all(r["exists"] for r in report) and len(report) == 11
+    assert store.table("pre_post_heatmap", suf[4]).filter("sample = 's1'").count() > 0
+    with pytest.raises(ValueError, match="not built"):
+        run_batch(px, frames, tasks, path, {**OPTIONS, "fine_ecc": True})
     again = run_pair(px, frames, "s1", "DAPI", path, params=OPTIONS).first()
     assert again["scale_estimate"] == res["s1"]["scale_estimate"]
