@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from compare import connect, differences
-from conftest import FOLDER, ODD
+from llm_cases import FOLDER, ODD
 from tokenizers import Tokenizer
 
 from duoframe.llm import bagminhash, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, tokens, toxicity

@@ -4,7 +4,7 @@ import re
 
 import __spark_entry__
 import corpus_pipeline
-from conftest import FOLDER
+from llm_cases import FOLDER
 from test_brute_force import brute_classes, brute_hits
 
 from duoframe.session import pin
