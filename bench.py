@@ -16,7 +16,7 @@ HEADLINE = [
     "warp_bilinear", "ratio_histogram", "moffat_scale", "scale_set", "difference", "least_squares_scale",
     "histogram_mode_scale", "signal_only_scale", "density_grid", "excess_grid", "difference_histogram",
     "nearest_neighbours", "affine_from_matches", "descriptor_matches", "classify_files", "resolve_request",
-    "build_suffix", "plan_stages", "output_size",
+    "build_suffix", "plan_stages", "output_size", "robust_homography", "boundary_ring", "coarse_search",
 ]
 
 
