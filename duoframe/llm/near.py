@@ -31,7 +31,7 @@ def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", rows=1024):  # every text, however short, fills all registers
         doc, value = _shingles(Words(batch.column("text")), shingle)
         doc, value, weight = bag(doc, value)
         names = signatures(doc, value, weight, batch.num_rows, bands * rows).reshape(-1, bands, rows)

@@ -90,7 +90,7 @@ def sort_suffixes(text: Hashed, start: np.ndarray, size: np.ndarray, first: np.n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         data, at = utf8(batch.column("text"))
         text, n = Hashed(data), len(data)
         span = length - gram + 1
@@ -130,7 +130,7 @@ def _minima(value: np.ndarray, span: int) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The bytes around each wanted anchor: all strings of `length` bytes that select it."""
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         data, at = utf8(batch.column("text"))
         whole = memoryview(data)
         lists = batch.column("wanted")
@@ -305,7 +305,8 @@ def find_repeats(docs: DataFrame, length: int = 200, gram: int = 64, id_col: str
     wanted = anchors.join(shared, "mark").select("key", F.struct(
         "place", "near", "far", "mark", F.pmod(F.xxhash64("key", "place"), blocks).cast("int").alias("block"), (blocks > 1).alias("split")).alias("w"))
     lists = pin(wanted.groupBy("key").agg(F.collect_set("w").alias("wanted")))  # as many as a text has anchors
-    texts = pin(source.select("key", "text").join(lists, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")))
+    once = source.groupBy("key").agg(F.first("text").alias("text"))  # copies are dropped within each task first
+    texts = pin(once.join(lists, "key"))
     around = texts.mapInArrow(lambda b: _contexts(b, length, gram), "mark long, block int, split boolean, key string, place long, near long, left long, bytes binary")
     sorted_ = around.repartition("mark", "block").sortWithinPartitions("mark", "block")
     matched = pin(sorted_.mapInArrow(lambda b: _matched(b, length, gram), "key string, first long, end long, string binary, open boolean"))

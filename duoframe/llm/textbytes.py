@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `most` bytes of text, and one row at least."""
+def release() -> None:
+    """Give free memory back at the end of a task: the worker lives on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `most` bytes of text, `rows` rows at most, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,9 +64,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         start = 0
         while start < batch.num_rows:
             before = run[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(run, before + most, "right")))
+            end = min(start + rows, max(start + 1, int(np.searchsorted(run, before + most, "right"))))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
