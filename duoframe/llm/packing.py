@@ -24,7 +24,7 @@ from ..session import pin
 from .textbytes import slices
 from .tokens import encoder
 
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .textbytes import slices
 from .tokens import encoder
 
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 
 
 def _serialized(ids: np.ndarray, end_id: int, width: int) -> bytes:

@@ -34,7 +34,7 @@ class Encoder:
     library whole. Special tokens are never added, and their strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
