@@ -376,6 +376,43 @@ def test_secrets(spark, odd, none):
     assert secret_scan.find_secrets(odd).count() == len(ODD) and secret_scan.find_secrets(none).count() == 0
 
 
+def letter_net(letter):
+    """A network that finds one letter in a window: probability near 1 with it, near 0 without."""
+    net = secret_scan.CharNet.new()
+    for v in net.parts.values():
+        v[...] = 0
+    net.parts["symbol"][ord(letter) - 30, 0] = 1
+    net.parts["kernel"][::8, 0] = 1
+    net.parts["out"][0], net.parts["base"][0] = 20, -10
+    net.threshold = 0.5
+    return net
+
+
+def network_spans(texts, letter):
+    table = pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    got = [x for b in secret_scan._judge(iter(table.to_batches()), letter_net(letter)) for x in b.column("spans").to_pylist()]
+    return [[(s["first"], s["end"]) for s in x if s["kind"] == 3] for x in got]
+
+
+def test_long_candidates_are_judged_whole():
+    path = "srv1" * 30
+    texts = ["é in " + path + "Q x", path + "Q", path + " Q", "Q" + path, path + "Q" + path, None]
+    assert network_spans(texts, "Q") == [[(5, 126)], [(0, 121)], [(0, 120)], [(0, 121)], [(0, 241)], []]
+
+
+def test_shared_convolution_and_keys_equal_the_plain_windows():
+    texts = [t for _, t in documents()[:40]] + ["x" * 500 + " ü abcdefgh", "", None, "abcdefgh", "0123456789" * 12]
+    s, net = secret_scan._Slice(pa.array(texts, pa.string())), secret_scan.CharNet.new()
+    which, low = s.windows(np.arange(len(s.first)))
+    rows = []
+    for i, a in zip(which, low):
+        t, first = s.text[s.row[i]], max(s.first[i] - a, 0)
+        rows.append({"first": first, "end": s.end[i] - a, "low": 0, "window": texts[s.row[i]][a - t : a - t + 72]})
+    x = secret_scan._inputs(rows)
+    assert np.abs(net.probability(x) - net.probability_at(s.symbol, low, s.first[which], s.end[which])).max() < 1e-5
+    assert len(set(s.keys(which, low).tolist())) == len({v.tobytes() for v in x})
+
+
 def test_the_network_on_held_out_findings():
     r = random.Random(1)
     make = lambda a, n: "".join(r.choice(a) for _ in range(n))
