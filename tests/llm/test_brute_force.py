@@ -400,6 +400,10 @@ def test_long_candidates_are_judged_whole():
     assert network_spans(texts, "Q") == [[(5, 126)], [(0, 121)], [(0, 120)], [(0, 121)], [(0, 241)], []]
 
 
+def test_every_token_run_is_a_candidate():
+    assert network_spans(["say correctQhorse now", "shortQ x", "ab1cdefQ"], "Q") == [[(4, 17)], [], [(0, 8)]]
+
+
 def test_shared_convolution_and_keys_equal_the_plain_windows():
     texts = [t for _, t in documents()[:40]] + ["x" * 500 + " ü abcdefgh", "", None, "abcdefgh", "0123456789" * 12]
     s, net = secret_scan._Slice(pa.array(texts, pa.string())), secret_scan.CharNet.new()
