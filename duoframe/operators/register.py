@@ -320,6 +320,8 @@ def robust_homography(
     per_chunk = hyps.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).drop("n_matches", "_different")
 
     def vote(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if b.empty:  # a pair of fewer than four matches has no hypotheses
+            return pd.DataFrame([], columns=[*keys, "i", "n"])
         out = {**{k: [v] * len(b) for k, v in zip(keys, group)}, "i": b["i"]}
         if len(a) and len(b):
             h = np.stack(b["h"].to_numpy())

@@ -188,15 +188,13 @@ def new_tasks(t):
 def _runs(t):
     from ..fixtures import v_px
 
-    px = v_px(t).filter("v >= 40").select(F.col("sample"), F.lit("DAPI").alias("dye"), "kind", "r", "c", "v")
+    px = v_px(t).select(F.col("sample"), F.lit("DAPI").alias("dye"), "kind", "r", "c", "v")
     frames = px.select("sample", "dye", "kind").distinct().select("*", F.lit(128).alias("height"), F.lit(128).alias("width"))
     return px, frames
 
 
-# quick settings: one candidate, thin rings, small margin
-QUICK = dict(
-    pad=16, rotation_search=False, scale_search=False, boundary_width=3, boundary_smooth=2, down_scale=4.0, interior_ecc=False, multiscale=False,
-)
+# sizes that fit frames of 128 x 128; every stage and the whole search run as by default
+SMALL = dict(pad=16, boundary_width=3, boundary_smooth=2, down_scale=4.0)
 
 
 @query("run_batch", "I8 I9")
@@ -207,7 +205,7 @@ def run_batch(t):
 
     px, frames = _runs(t)
     path = f"{work_dir(t.spark)}/run-{uuid.uuid4().hex}"
-    out = run(px, frames, px.select("sample", "dye").distinct(), path, {**QUICK, "manual_scale": 1.5})
+    out = run(px, frames, px.select("sample", "dye").distinct(), path, {**SMALL, "manual_scale": 1.5})
     return out.select("sample", "dye", r6("scale_estimate", 3).alias("scale_estimate"), "manual_scale", "status")
 
 
@@ -219,5 +217,5 @@ def sweep_runs(t):
 
     px, frames = _runs(t)
     path = f"{work_dir(t.spark)}/run-{uuid.uuid4().hex}"
-    out = sweep(px, frames, px.select("sample", "dye").distinct(), path, "manual_scale", [1.0, 2.0], QUICK)
+    out = sweep(px, frames, px.select("sample", "dye").distinct(), path, "manual_scale", [1.0, 2.0], SMALL)
     return out.select("sample", "dye", "parameter", "value", "manual_scale", "status")

@@ -288,3 +288,21 @@ def test_a_black_frame_does_not_end_the_others(spark):
     df = spark.createDataFrame([("a", 0, 0, 0.0), ("b", 0, 0, 2.0), ("b", 0, 1, 4.0)], "k string, r int, c int, v double")
     got = {(r["k"], r["c"]): r["v"] for r in pixels.normalize(df, ["k"]).collect()}
     assert got == {("a", 0): None, ("b", 0): 0.5, ("b", 1): 1.0}
+
+
+def test_a_pair_of_few_matches_leaves_the_others_their_homography(spark):
+    from duoframe.operators.register import robust_homography
+
+    rows = [("few", float(i), 1.0, float(i), 1.0) for i in range(3)]
+    rows += [("many", float(i % 5), float(i // 5), float(i % 5) + 1, float(i // 5)) for i in range(25)]
+    got = robust_homography(spark.createDataFrame(rows, "k string, x double, y double, u double, w double"), ["k"], n_hypotheses=50)
+    assert {r["k"]: r["n_inliers"] for r in got.select("k", "n_inliers").collect()} == {"few": 0, "many": 25}
+
+
+def test_the_registered_batch_runs_the_whole_search_on_all_pixels(spark):
+    from duoframe.fixtures import Tables, v_px
+    from duoframe.queries import parameters as Q
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert Q._runs(t)[0].count() == v_px(t).count()
+    assert not {"multiscale", "interior_ecc", "rotation_search", "scale_search"} & set(Q.SMALL)
