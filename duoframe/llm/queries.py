@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity
+from . import codebooks, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -172,3 +172,41 @@ def op10(spark, folder):
     decided = index.ingest(table(spark, folder, "documents")).drop("n_chars")
     index.close()
     return decided
+
+
+VEC_PARTS, VEC_ENTRIES, VEC_ROUNDS = 8, 16, 6
+FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _codebook_rounds() -> str:
+    """One assignment and one update of the codebooks per round, as named steps."""
+    steps = []
+    for k in range(VEC_ROUNDS + 1):
+        steps.append(f"""a{k} as materialized (
+  select vec_id, part, arg_min(entry, struct_pack(d, entry)) as entry, min(d) as d
+  from (select vec_id, part, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from parts join b{k} using (part))
+  group by 1, 2)""")
+        if k < VEC_ROUNDS:
+            steps.append(f"""b{k + 1} as materialized (
+  select part, entry, coalesce(m.c, b.c) as c from b{k} b left join (
+    select part, entry, list(((s - (s % n + n) % n) // n)::bigint order by j) as c from (
+      select part, entry, j, sum(v[j])::bigint as s, count(*) as n from a{k} join parts using (vec_id, part), (select unnest(range(1, width + 1)) as j from dims) group by 1, 2, 3)
+    group by 1, 2) m using (part, entry))""")
+    return ",\n".join(steps)
+
+
+@query("op13_pivot_codes", f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 4096)::bigint) as units from embeddings where {FINITE}),
+dims as (select (any_value(len(units)) // {VEC_PARTS})::bigint as width from kept),
+parts as materialized (select vec_id, p as part, units[p * width + 1 : (p + 1) * width] as v from kept, dims, (select unnest(range({VEC_PARTS})) as p)),
+first_ as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept order by vec_id limit {VEC_ENTRIES}),
+b0 as materialized (select part, entry, v as c from parts join first_ using (vec_id)),
+{_codebook_rounds()},
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as h from b{VEC_ROUNDS}),
+codes as (select vec_id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' order by part) as code, sum(d)::bigint as error from a{VEC_ROUNDS} group by 1)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256
+from codes join kept using (vec_id), books
+""")
+def op13(spark, folder):
+    coded = codebooks.encode_vectors(table(spark, folder, "embeddings"), VEC_PARTS, VEC_ENTRIES, VEC_ROUNDS)
+    return coded.drop("label")
