@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import codebooks, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity
+from . import codebooks, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity, vectors
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -210,3 +210,23 @@ from codes join kept using (vec_id), books
 def op13(spark, folder):
     coded = codebooks.encode_vectors(table(spark, folder, "embeddings"), VEC_PARTS, VEC_ENTRIES, VEC_ROUNDS)
     return coded.drop("label")
+
+
+# vectors without a direction have no cosine; the links are few, the pairs of a label are all compared here
+@query("op11_stable_hash_links", f"""
+with recursive v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and {FINITE} and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach as (select a as vec_id, b as other from links union select reach.vec_id, links.b from reach join links on reach.other = links.a),
+lowest as (select vec_id, min(other) as low from reach group by 1),
+counts as (select a as vec_id, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, least(vec_id, coalesce(low, vec_id)) = vec_id as kept
+from embeddings left join lowest using (vec_id) left join counts using (vec_id)
+""")
+def op11(spark, folder):
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
