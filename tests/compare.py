@@ -30,7 +30,7 @@ def connect(folder: str):
 
 def _cells(df: pd.DataFrame) -> list[tuple]:
     def text(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return "NULL"
         if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
@@ -54,7 +54,7 @@ def differences(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
         sa, sb = set(a), set(b)
         only_a, only_b = sorted(sa - sb)[:3], sorted(sb - sa)[:3]
         return f"{len(sa - sb)} of {len(a)} rows differ\n   spark  {only_a}\n   oracle {only_b}"
-    kinds = lambda d: {c: d[c].dtype.kind for c in d.columns}
+    kinds = lambda d: {c: "f" if d[c].isna().any() else d[c].dtype.kind for c in d.columns}  # integers with nulls come in several types
     ka, kb = kinds(spark_df), kinds(oracle_df)
     odd = {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]}
     return f"types {odd}" if odd and len(a) else None
