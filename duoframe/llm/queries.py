@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import codebooks, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, toxicity, vectors
+from . import codebooks, contamination, exact, near, packing, repeats, revisits, runs, secret_scan, sharding, tokenfile, toxicity, vectors
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -230,3 +230,26 @@ from embeddings left join lowest using (vec_id) left join counts using (vec_id)
 """)
 def op11(spark, folder):
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op12_maximal_pair_runs", """
+with crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+        xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(doc_id::varchar, '.'), lambda c: ascii(c)::bigint), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as h from documents, crc),
+e as (select doc_id, w, len(w) as n, h, h // 10 as g from d),
+f as (select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from e),
+x as materialized (select doc_id, n, case when h % 10 = 0 and n > 0 then w[1 : a] || list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1]) else w end as w from f),
+words as materialized (select doc_id, n, i, w[i + 1] as word from (select *, unnest(range(n)) as i from x)),
+same as (select u.doc_id, u.i, v.i - u.i as q from words u join words v on u.doc_id = v.doc_id and u.word = v.word and v.i > u.i and 3 * (v.i - u.i) <= u.n),
+stretch as (select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as isle from same) group by doc_id, q, isle),
+run as materialized (select doc_id, start, length, min(q) as period from stretch where length >= greatest(24, 3 * q) group by 1, 2, 3),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+kept as (select doc_id, string_agg(word, ' ' order by i) as s from words anti join gone using (doc_id, i) group by 1),
+listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as s,
+             arg_max(struct_pack(start, length, period), struct_pack(e := length::double / period, s := -start, p := -period)) as best from run group by 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period, (1000 * best.length // best.period)::bigint as exponent_milli,
+       sha256(coalesce(listed.s, '')) as runs_sha256, sha256(coalesce(kept.s, '')) as collapsed_sha256
+from x left join listed using (doc_id) left join kept using (doc_id)
+""")
+def op12(spark, folder):
+    return runs.detect_runs(table(spark, folder, "documents"), plant=True, with_text=False)
