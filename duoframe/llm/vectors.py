@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..session import is_empty, pin
 from .codebooks import _floats
 from .near import components
-from .textbytes import mix, release
+from .textbytes import mix, ragged, release
 
 BLOCK = 1024  # vectors of a bucket that one task compares with as many others
+FEW = 32  # vectors of a bucket whose pairs are listed; those of a larger one are a product
 CELL = 8.0  # width of a hash cell, in units of the distance at the threshold
 
 
@@ -85,37 +86,67 @@ def _hashed(batches: Iterator[pa.RecordBatch], per_table: int, tables: int, cell
     release()
 
 
-def _block(table: pa.Table, least: float) -> pa.Table:
-    """Per vector of a block with links: how many rows it is linked with here, and the smallest node it is connected with.
-
-    A pair that shares several buckets counts in the first of its tables only.
+def _pairs(points: np.ndarray, first: np.ndarray, end: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows inside the given ranges of rows: small ranges all at once, each other one by a product."""
+    i, j = [], []
+    size = end - first
+    few = size <= FEW
+    row = ragged(first[few], size[few])
+    more = np.repeat(end[few], size[few]) - row - 1
+    a, b = np.repeat(row, more), ragged(row + 1, more)
+    for k in range(0, len(a), 1 << 16):
+        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        linked = np.einsum("nd,nd->n", points[x], points[y]) >= least
+        i.append(x[linked])
+        j.append(y[linked])
+    for low, high in zip(first[~few].tolist(), end[~few].tolist()):
+        x, y = np.nonzero(np.triu(points[low:high] @ points[low:high].T >= least, 1))
+        i.append(x + low)
+        j.append(y + low)
+    return np.concatenate([np.zeros(0, np.int64), *i]), np.concatenate([np.zeros(0, np.int64), *j])
+
+
+def _task(table: pa.Table, least: float) -> pa.Table:
+    """Links inside some whole buckets (side 0), or between two blocks of one bucket (sides 1 and 2).
+
+    Per row with links: how many rows it is linked with here, and the smallest node it is
+    connected with. A pair that shares several buckets counts in the first of its tables only.
     """
-    node, copies, side = (table.column(c).to_numpy() for c in ("node", "copies", "side"))
-    buckets = np.array(table.column("buckets").to_pylist(), np.int64).reshape(len(node), -1)
-    here = table.column("bucket")[0].as_py()
+    table = table.sort_by([("length", "ascending"), ("bucket", "ascending"), ("side", "ascending"), ("node", "ascending")])
+    node, copies, side, bucket, length = (table.column(c).to_numpy() for c in ("node", "copies", "side", "bucket", "length"))
+    buckets = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     flat, at, _ = unit(table.column("vec").combine_chunks())
-    points = flat.reshape(len(node), -1)
-    order = np.argsort(node, kind="stable")
-    left, right = order[(side[order] & 1) > 0], order[(side[order] & 2) > 0]
-    linked = points[left] @ points[right].T >= least
-    linked &= node[left][:, None] < node[right][None, :] if np.array_equal(left, right) else True
-    i, j = np.nonzero(linked)
-    i, j = left[i], right[j]
-    for t in range(buckets.shape[1]):  # tables before this one that the pair shares
-        if (buckets[:, t] == here).all():
-            break
-        fresh = buckets[i, t] != buckets[j, t]
-        i, j = i[fresh], j[fresh]
+    i, j = [], []
+    for dim in np.unique(length).tolist():  # vectors of one length share buckets with each other only
+        own = np.flatnonzero(length == dim)
+        low, high = int(own[0]), int(own[-1]) + 1
+        points = flat[at[low] : at[high]].reshape(-1, dim)
+        if side[low]:
+            other = low + int(np.searchsorted(side[low:high], 2))
+            a, b = np.nonzero(points[: other - low] @ points[other - low :].T >= least)
+            b = b + (other - low)
+        else:
+            first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[low:high]) != 0]))
+            a, b = _pairs(points, first, np.append(first[1:], high - low), least)
+        i.append(a + low)
+        j.append(b + low)
+    i, j = np.concatenate(i), np.concatenate(j)
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        first = np.argmax(buckets[x] == buckets[y], axis=1)
+        keep[k : k + (1 << 16)] = buckets[x, first] == bucket[x]
+    i, j = i[keep], j[keep]
     n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-    root = np.arange(len(node))
+    order = np.argsort(node, kind="stable")
     rank = np.empty(len(node), np.int64)
     rank[order] = np.arange(len(node))
-    a, b = rank[i], rank[j]
+    root, a, b = np.arange(len(node)), rank[i], rank[j]
     while len(a):
-        low = np.minimum(root[a], root[b])
+        least_ = np.minimum(root[a], root[b])
         new = root.copy()
-        for end in (root[a], root[b], a, b):
-            np.minimum.at(new, end, low)
+        for ends in (root[a], root[b], a, b):
+            np.minimum.at(new, ends, least_)
         new = new[new]
         if np.array_equal(new, root):
             break
@@ -166,17 +197,20 @@ def near_vectors(
     buckets = hashed.select("node", F.explode("buckets").alias("bucket"))
     members = pin(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket"))
 
-    # a bucket of m vectors has ceil(m / BLOCK) blocks; every two of them, and each with itself, are a task
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks).withColumn("own", own)
+    # buckets of up to BLOCK vectors are dealt whole to tasks of about 2 * BLOCK rows; a larger one has
+    # ceil(m / BLOCK) blocks, and every two of them (sides 1 and 2), and each with itself (side 0), are a task
+    whole = F.col("blocks") == 1
+    sized = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    tasks = 1 + sized.filter(whole).count() // (2 * BLOCK)
+    small = sized.filter(whole).select(F.pmod(F.xxhash64("bucket"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "bucket", "node", F.lit(0).alias("side"))
+    large = (
+        sized.filter(~whole).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+        .select(F.col("bucket").alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "bucket", "node",
+                F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     )
-    loaded = dealt.join(texts.select("node", "copies", "vec"), "node").join(hashed, "node")
-    met = pin(loaded.groupBy("bucket", "i", "j").applyInArrow(lambda t: _block(t, least), "node long, low long, n long"))
+    loaded = small.unionByName(large).join(texts.select("node", "copies", "vec", F.size("vec").alias("length")), "node").join(hashed, "node")
+    met = pin(loaded.groupBy("task", "i", "j").applyInArrow(lambda t: _task(t, least), "node long, low long, n long"))
 
     counts = met.groupBy("node").agg(F.sum("n").alias("n"))
     links = met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))

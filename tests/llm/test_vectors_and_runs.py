@@ -72,6 +72,7 @@ def brute_links(rows, least=0.98):
 @pytest.mark.parametrize("block", [1024, 7])
 def test_links(spark, block, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "FEW", block // 2)
     rows = clustered() + ODD_VECTORS + [(2000 + i, v, x) for i, v, x in clustered()[:20]]  # equal vectors
     got = vectors.near_vectors(table(spark, rows)).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == brute_links(rows)
