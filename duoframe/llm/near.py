@@ -208,6 +208,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     rest = named.join(gone, key, "left_anti")
     if is_empty(copied):
         return rest.drop(key)
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.isnull(id_col), F.col(id_col)))
+    first = F.min_by(F.struct(*[docs[f"`{c}`"] for c in docs.columns]), F.struct(F.isnull(id_col), F.col(id_col)))
     one = rest.join(copied, key, "left_semi").groupBy(key).agg(first.alias("row")).select("row.*")
     return rest.join(copied, key, "left_anti").drop(key).unionByName(one)

@@ -169,7 +169,7 @@ from d window w as (partition by h order by n desc, doc_id)
 """)
 def op10(spark, folder):
     index = exact.DigestIndex(spark)
-    decided = index.ingest(table(spark, folder, "documents")).drop("n_chars")
+    decided = index.ingest_table(table(spark, folder, "documents")).drop("n_chars")
     index.close()
     return decided
 

@@ -160,7 +160,36 @@ def test_digest_index(spark, odd, none, tmp_path):
     replay = {r["doc_id"]: r["kept"] for r in again.ingest(later).collect()}
     assert replay == {100: False, 101: False, 102: True}
     assert again.ingest(none).count() == 0
+    again.compact()
+    assert {r["doc_id"]: r["kept"] for r in again.ingest(later).collect()} == replay
     again.close()
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, "bigint", f"{tmp_path}/index", 5)
+
+
+def test_digest_index_knows_its_buckets(spark, tmp_path):
+    """The index recognises all it holds, whatever the session's settings are."""
+    docs = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            index = exact.DigestIndex(spark, path=f"{tmp_path}/index")
+            assert index.buckets == 8 and index.ingest(docs.selectExpr("doc_id + 5000 as doc_id", "text") if n != 8 else docs).filter("kept").count() == (1000 if n == 8 else 0)
+            index.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_batches_decide_as_one(spark, odd, none):
+    r = random.Random(12)
+    rows = ODD + [(50 + i, " " * r.randint(0, 6) + r.choice(["a b", "ab", "c", "long text here"]) + " " * r.randint(0, 6)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    decide = lambda f: sorted(map(str, f(exact.DigestIndex(spark)).drop("kept").collect()))
+    assert decide(lambda i: i.ingest(docs)) == decide(lambda i: i.ingest_table(docs, 2)) == decide(lambda i: i.ingest_table(docs, 5))
+    got = exact.DigestIndex(spark).ingest_table(docs, 3)
+    assert got.filter("kept").count() == got.select("text_sha256").distinct().count()
+    assert exact.DigestIndex(spark).ingest_table(none).count() == 0 and exact.DigestIndex(spark).dedup(none).count() == 0
 
 
 def test_dedup_keeps_one_row_of_each_text(spark, odd):
@@ -236,6 +265,9 @@ def test_near_classes(spark, odd, none, monkeypatch):
         assert got["class_id"].tolist() == want
     kept = [r["doc_id"] for r in near.drop_near_duplicates(df).collect()]
     assert sorted(kept) == sorted(set(want))
+    dotted = df.unionByName(df).withColumn("a.b", df["doc_id"])  # repeated rows, and a name with a dot
+    assert sorted(r["doc_id"] for r in near.drop_near_duplicates(dotted).collect()) == sorted(set(want))
+    assert near.drop_near_duplicates(none).columns == odd.columns and near.drop_near_duplicates(none).count() == 0
     got = near.near_classes(odd).toPandas()
     assert len(got) == len(ODD) and near.near_classes(none).count() == 0
     one = {i: c for i, c in zip(got["doc_id"], got["class_id"]) if i == i}
