@@ -1,4 +1,4 @@
-"""Registration of pre onto post: coarse search, interior features, composition."""
+"""Registration of pre onto post: coarse search, interior features, composition."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from .histograms import match_histograms
 from .masks import outer_contour_of_largest, pixels_to_runs
 from .matching import ratio_test, two_nearest
 from .percentiles import percentiles
+from .phase import CELLS, phase_shift
 from .pixels import stretch_to_8bit
 from .points import centroid, even_subsample, iterate_closest_points, sanity_gate
 from .rings import boundary_ring
@@ -73,20 +74,6 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
 
-def phase_shift(px: DataFrame, keys: Sequence[str], shape: tuple[int, int]) -> DataFrame:
-    """keys, dx, dy, response with pre(x + d) ~ post(x); px is a coarse frame pair."""
-    keys = list(keys)
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _frames_of(pdf, shape)
-        dx, dy, resp = _correlate(np.fft.rfft2(f["post"]), f["pre"])
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, group)}, "dx": [dx], "dy": [dy], "response": [resp]})
-
-    return px.select(*keys, "kind", "r", "c", "v").groupBy(*keys).applyInPandas(
-        run, _ddl(px, keys) + "dx double, dy double, response double"
-    )
-
-
 def search_candidates(
     rotation_search: bool = True, angle_range: float = 20, angle_step: float = 1,
     scale_search: bool = True, scale_min: float = 0.85, scale_max: float = 1.15, scale_step: float = 0.05,
@@ -177,9 +164,9 @@ def register_outline(
     ))
 
 
-def prealign_translation(px: DataFrame, keys: Sequence[str], shape: tuple[int, int]) -> DataFrame:
-    """pre image moved by the phase shift (keys, r, c, v)."""
-    t = phase_shift(px, keys, shape).select(*keys, M.translation(F.col("dx"), F.col("dy")).alias("m"))
+def prealign_translation(px: DataFrame, keys: Sequence[str], shape, cells: int = CELLS) -> DataFrame:
+    """pre image moved by the phase shift (keys, r, c, v); no frame is held by one task."""
+    t = phase_shift(px, keys, shape, cells).select(*keys, M.translation(F.col("dx"), F.col("dy")).alias("m"))
     return warp_bilinear(px.filter("kind = 'pre'").select(*keys, "r", "c", "v"), keys, shape, t)
 
 

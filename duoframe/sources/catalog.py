@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_tiff, stem
-from ..session import attach
+from ..session import attach, pin
 
 
 def list_raw_files(spark: SparkSession, root: str) -> DataFrame:
@@ -190,13 +190,23 @@ def enforce(resolved: DataFrame, strict: bool = True, shown: int = 20) -> DataFr
     return resolved.filter("status = 'present'").select("sample", "dye")
 
 
-def load_pairs(spark: SparkSession, tasks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A10: pixels of exactly one pre and one post file per task, tagged by kind."""
+def load_pairs_and_frames(spark: SparkSession, tasks: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A10: pixels (sample, dye, kind, r, c, v) of exactly one pre and one post file per task, and their frames.
+
+    frames: sample, dye, kind, path, height, width, error; with px it is what run_batch takes. A file that cannot
+    be read has an error and no pixels, the others are not affected.
+    """
     from .rasters import decode_frames
 
     ok = pair_state(pairs).filter("state = 'ok'").join(tasks, ["sample", "dye"], "left_semi")
-    paths = ok.select("sample", "dye", F.explode(F.array(
+    paths = pin(ok.select("sample", "dye", F.explode(F.array(
         F.struct(F.lit("pre").alias("kind"), F.col("pre_path").alias("path")),
         F.struct(F.lit("post").alias("kind"), F.col("post_path").alias("path")),
-    )).alias("f")).select("sample", "dye", "f.kind", "f.path")
-    return attach(decode_frames(spark, paths), paths, ["path"], "inner").drop("path")
+    )).alias("f")).select("sample", "dye", "f.kind", "f.path"))
+    px, frames = decode_frames(spark, paths)
+    return attach(px, paths, ["path"], "inner").drop("path"), paths.join(frames, "path")
+
+
+def load_pairs(spark: SparkSession, tasks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A10: the pixels alone."""
+    return load_pairs_and_frames(spark, tasks, pairs)[0]

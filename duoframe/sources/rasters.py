@@ -10,36 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach, pin, size_columns
+from . import tiff
 
-PIXELS = "path string, height int, width int, r int, c int, ch string, v int"
+IMAGE_PIXELS = "path string, height int, width int, r int, c int, ch string, v int"
 ROWS_PER_BATCH = 64
 
 
-def _images(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    img = spark.read.format("image").option("dropInvalid", "false").load(path)
-    # local paths in the form the file listing uses
-    origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
-    return img.select(origin, "image.height", "image.width", "image.nChannels", "image.data")
+def _listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Paths of the files; their content is not read. Spark's listing leaves out files of length 0."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
 def raster_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A3: one row per file: path, height, width, channels, error; black frames have their size, damaged files an error."""
-    bad = F.col("height") <= 0
-    size = lambda n, to: F.when(~bad, F.col(n)).alias(to)
-    return _images(spark, path).select(
-        F.col("origin").alias("path"), size("height", "height"), size("width", "width"), size("nChannels", "channels"),
-        F.when(bad, "unreadable raster").alias("error"),
-    )
+    return tiff.raster_sizes(_listed(spark, path))
 
 
-def decode_raster(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A3: pixels of 8-bit gray or RGB images, one row per pixel and channel, zeros left out.
+def read_raster(spark: SparkSession, path: str | list[str], piece: int = tiff.PIECE) -> DataFrame:
+    """A3: pixels of 8-bit gray or RGB TIFF files of any size, one row per pixel and channel, zeros left out, and errors.
 
-    The image source decodes one file per task; the bytes are turned into rows a few
-    image lines at a time. Files that cannot be read have no pixels here and an error row
-    in raster_frames().
+    A file is read by byte ranges in strips or tiles, each by its own task if there are enough
+    (uncompressed strips in pieces of `piece` bytes). A strip that cannot be read is one row
+    with its first row number and an error, a file with an unreadable header one row with an
+    error only; pixels have the error null.
     """
-    return _images(spark, path).filter("height > 0").mapInPandas(_explode_bytes, PIXELS)
+    return tiff.pixels_of(tiff.segments_of(_listed(spark, path), piece))
+
+
+def decode_raster(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A3: the pixels alone."""
+    return read_raster(spark, path).filter("error is null").drop("error")
+
+
+def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Pixels of whole images of any format that Spark's image source reads, one file a record."""
+    img = spark.read.format("image").option("dropInvalid", "true").load(path)
+    # local paths in the form the file listing uses
+    origin = F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin")
+    return img.select(origin, "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(_explode_bytes, IMAGE_PIXELS)
 
 
 def _explode_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,12 +66,20 @@ def _explode_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 })
 
 
-def decode_frames(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Gray pixel rows of the listed files: path, r, c, v after the channel pick."""
-    names = [r["path"] for r in paths.select("path").distinct().toLocalIterator()]
-    rgb = decode_raster(spark, names)
-    frames = pin(raster_frames(spark, names).filter("error is null").select("path", "height", "width"))
-    return pick_signal_channel(rgb.select("path", "r", "c", "ch", "v"), ["path"], frames)
+def decode_frames(spark: SparkSession, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gray pixel rows of the listed files (path, r, c, v after the channel pick), and their frames (path, height, width, error).
+
+    The list stays a table; every file is decoded once. A file with damaged strips has an
+    error in its frame and no pixels.
+    """
+    segments = pin(tiff.segments_of(paths.select("path").distinct()))
+    decoded = pin(tiff.pixels_of(segments))
+    sizes = segments.groupBy("path").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    errors = decoded.filter("error is not null").groupBy("path").agg(F.concat(F.min("error"), F.lit(": "), F.count("*").cast("string")).alias("error"))
+    frames = pin(sizes.join(errors, "path", "left"))
+    good = frames.filter("error is null").select("path", "height", "width")
+    rgb = attach(decoded.filter("error is null").select("path", "r", "c", "ch", "v"), good.select("path"), ["path"], "left_semi")
+    return pick_signal_channel(rgb, ["path"], good), frames
 
 
 def channel_survey(px_rgb: DataFrame, keys: Sequence[str], shape, crop_size: int = 1000) -> DataFrame:
