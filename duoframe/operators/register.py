@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..session import attach, pin
-from .diagnostics import top_rows
-from .filters import _along, area_downsample, downsampled_shape, gaussian_weights
+from .features import interior_keypoints
+from .filters import area_downsample, downsampled_shape
 from .histograms import match_histograms
 from .masks import outer_contour_of_largest, pixels_to_runs
 from .matching import ratio_test, two_nearest
@@ -21,7 +21,6 @@ from .phase import CELLS, phase_shift
 from .pixels import stretch_to_8bit
 from .points import centroid, even_subsample, iterate_closest_points, sanity_gate
 from .rings import boundary_ring
-from .tiles import tile_rows
 from .warp import warp_bilinear
 
 # ---- coarse search on whole coarse frames ---------------------------------------------------
@@ -179,69 +178,6 @@ def work_scale(longest: Column) -> Column:
     return F.when(longest * half < 2000, F.least(F.lit(1.0), 2000 / longest)).otherwise(half)
 
 
-SIGMAS = (1.6, 2.263, 3.2, 4.525, 6.4)
-PATCH = 8
-
-
-def _keypoints(min_contrast: float):
-    weights = [gaussian_weights(s) for s in SIGMAS]
-
-    def rows_of(a: np.ndarray, inside: np.ndarray) -> dict:
-        blurred = np.stack([_along(_along(a, w, 0), w, 1) for w in weights])
-        dog = np.diff(blurred, axis=0)
-        pad = np.pad(dog, ((0, 0), (1, 1), (1, 1)))
-        halo = KEYPOINT_HALO
-        found = []
-        for s in range(1, len(dog) - 1):
-            around = np.stack([
-                pad[s + k, 1 + i: 1 + i + a.shape[0], 1 + j: 1 + j + a.shape[1]]
-                for k in (-1, 0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1) if (k, i, j) != (0, 0, 0)
-            ])
-            v = dog[s]
-            peak = (np.abs(v) > min_contrast) & inside & ((v > around.max(0)) | (v < around.min(0)))
-            core = np.zeros_like(peak)
-            core[halo: a.shape[0] - halo, halo: a.shape[1] - halo] = True
-            r, c = np.nonzero(peak & core)
-            gy, gx = np.gradient(blurred[s])
-            mag, ang = np.hypot(gx, gy), np.mod(np.arctan2(gy, gx), 2 * np.pi)
-            found.append((r - halo, c - halo, np.abs(v[r, c]), np.full(len(r), s), _descriptors(mag, ang, r, c)))
-        cols = [np.concatenate(x) for x in zip(*found)]
-        return {**dict(zip(("r", "c", "response", "level"), cols)), "vec": pd.Series(list(cols[4]), dtype=object)}
-
-    return rows_of
-
-
-def _descriptors(mag: np.ndarray, ang: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """4 x 4 cells of 8 orientation bins of the gradient around each (r, c), unit length, one row each."""
-    yy, xx = np.mgrid[0: 2 * PATCH, 0: 2 * PATCH]
-    rows, cols = r[:, None, None] + yy - PATCH, c[:, None, None] + xx - PATCH
-    w = mag[rows, cols] * np.exp(-((yy - PATCH + 0.5) ** 2 + (xx - PATCH + 0.5) ** 2) / (2.0 * PATCH**2))
-    turn = np.floor(ang[rows, cols] / (2 * np.pi) * 8).astype(int) % 8
-    slot = np.arange(len(r))[:, None, None] * 128 + ((yy // 4) * 4 + xx // 4) * 8 + turn
-    hist = np.bincount(slot.ravel(), w.ravel(), 128 * len(r)).reshape(len(r), 128)
-    hist = np.minimum(hist / np.maximum(np.linalg.norm(hist, axis=1, keepdims=True), 1e-12), 0.2)
-    return (hist / np.maximum(np.linalg.norm(hist, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-
-
-KEYPOINT_HALO = int(4 * SIGMAS[-1] + 0.5) + PATCH + 1
-
-
-def interior_keypoints(
-    px: DataFrame, keys: Sequence[str], shape, n_best: int = 5000, min_contrast: float = 1.0, tile: int = 512
-) -> DataFrame:
-    """difference-of-Gaussian extrema with gradient descriptors, the n_best strongest per frame.
-
-    Keypoints are found inside haloed tiles; n_best is the size of the feature set itself.
-    """
-    keys = list(keys)
-    schema = _ddl(px, keys) + "r int, c int, response double, level int, vec array<float>"
-    pts = pin(tile_rows(px, keys, shape, KEYPOINT_HALO, _keypoints(min_contrast), schema, tile=tile, mode="mirror"))
-    # one feature per cell: the strongest level wins
-    one = pts.groupBy(*keys, "r", "c").agg(F.max_by(F.struct("response", "vec"), F.struct("response", "level")).alias("b"))
-    one = one.select(*keys, "r", "c", "b.response", "b.vec")
-    return top_rows(one, keys, n_best, "response").withColumn("kp_id", F.shiftleft(F.col("r").cast("bigint"), 32) + F.col("c"))
-
-
 # ---- robust homography ----------------------------------------------------------------------
 
 
@@ -426,8 +362,8 @@ def refine_interior(
     soft = pin(gaussian_blur(small, side, small_shape, sigma, "mirror", coarse_kernel_size(sigma)))
     bytes_ = stretch_to_8bit(soft, side, levels=levels).select(*side, "r", "c", F.col("v8").cast("double").alias("v"))
     kp = pin(interior_keypoints(bytes_, side, small_shape, min_contrast=min_contrast))
-    a = kp.filter("kind = 'post'").select(*keys, F.col("kp_id").alias("q_id"), "vec", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
-    b = kp.filter("kind = 'pre'").select(*keys, F.col("kp_id").alias("t_id"), "vec", F.col("c").cast("double").alias("u"), F.col("r").cast("double").alias("w"))
+    a = kp.filter("kind = 'post'").select(*keys, F.col("kp_id").alias("q_id"), "vec", "x", "y")
+    b = kp.filter("kind = 'pre'").select(*keys, F.col("kp_id").alias("t_id"), "vec", F.col("x").alias("u"), F.col("y").alias("w"))
     good = ratio_test(two_nearest(a.select(*keys, "q_id", "vec"), b.select(*keys, "t_id", "vec"), keys), ratio)
     matches = pin(good.join(a.drop("vec"), [*keys, "q_id"]).join(b.drop("vec"), [*keys, "t_id"]).select(
         *keys, F.col("u").alias("x"), F.col("w").alias("y"), F.col("x").alias("u"), F.col("y").alias("w")))  # from pre to post

@@ -47,6 +47,30 @@ def _planted(t):
     return pin(post.withColumn("kind", F.lit("post")).unionByName(pre.withColumn("kind", F.lit("pre"))))
 
 
+# a turn by 4 degrees and a scale of 1.05 about the centre, then the shift; positions of three points in the pre frame
+TURNED = """
+select sample || '-' || kind as sample, {} round(96 + 1.05 * (cos(radians(a)) * (x - 96) - sin(radians(a)) * (y - 96)) + 4, 3) as x, round(96 + 1.05 * (sin(radians(a)) * (x - 96) + cos(radians(a)) * (y - 96)) - 3, 3) as y, k
+from (select distinct sample, kind from v_px) f, (values (0, 64, 64), (1, 128, 64), (2, 96, 128)) p(k, x, y), (select -4.0::double as a) t"""
+POINTS = [(0, 64.0, 64.0), (1, 128.0, 64.0), (2, 96.0, 128.0)]
+
+
+def _turned(t):
+    """Every frame as the post frame of a pair of its own, and the same frame turned, scaled and moved as pre; and the map from post to pre."""
+    post = pin(shift_pixels(v_px(t), 32, 32).withColumn("sample", F.concat("sample", F.lit("-"), "kind")).drop("kind"))
+    forward = M.compose(M.translation(4, -3), M.rotation_about(F.lit(4.0), F.lit(1.05), F.lit(96.0), F.lit(96.0)))
+    maps = post.select("sample").distinct().select("sample", M.invert(forward).alias("m"))
+    pre = warp_bilinear(post, ["sample"], (192, 192), maps)
+    return pin(post.withColumn("kind", F.lit("post")).unionByName(pre.withColumn("kind", F.lit("pre")))), forward
+
+
+def _positions(df, forward, tolerance, *more):
+    """Positions of the points under the map m: as planted where they are within the tolerance of that, else as measured."""
+    spread = df.withColumn("truth", forward).withColumn("p", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in POINTS])))
+    (x, y), (u, w) = (M.project(F.col(c), F.col("p.x"), F.col("p.y")) for c in ("m", "truth"))
+    snap = lambda a, b: r6(F.when(F.abs(a - b) < tolerance, b).otherwise(a), 3)
+    return spread.select("sample", *more, snap(x, u).alias("x"), snap(y, w).alias("y"), F.col("p.k").alias("k"))
+
+
 PLANTED = "select distinct sample || '-' || kind as sample, {} from v_px"
 SHIFT = "4.0::double as dx, -3.0::double as dy, 1.0::double as response"
 
@@ -205,9 +229,27 @@ def work_scale(t):
 
 @query("interior_keypoints", "F15")
 def interior_keypoints(t):
-    px = v_px(t)
-    out = R.interior_keypoints(px, SK, PX_SHAPE, n_best=5000, min_contrast=4.0, tile=64)
-    return out.select(*SK, "r", "c", r6("response", 3).alias("response"))
+    out = R.interior_keypoints(v_px(t), SK, PX_SHAPE)
+    return out.select(*SK, *[r6(n, 3).alias(n) for n in ("y", "x", "sigma", "response")])
+
+
+# one blob for each supplier, 25 to a frame of 5 x 5 fields of 48 cells, of width 3 or 6 by turns
+@query("keypoints_of_blobs", "F15", """
+select s_suppkey, (s_suppkey % 25 // 5 * 48 + 24)::double as y, (s_suppkey % 5 * 48 + 24)::double as x, (s_suppkey % 2)::double as octave from supplier""")
+def keypoints_of_blobs(t):
+    k = F.col("s_suppkey")
+    reach = F.sequence(F.lit(-23), F.lit(23))
+    spread = t("supplier").select(k, F.explode(reach).alias("i")).withColumn("j", F.explode(reach))
+    width = 3.0 * F.pow(F.lit(2.0), k % 2)
+    height = 100 + k % 100
+    px = spread.select(
+        F.floor(k / 25).alias("frame"), (F.floor(k % 25 / 5) * 48 + 24 + F.col("i")).cast("int").alias("r"), (k % 5 * 48 + 24 + F.col("j")).cast("int").alias("c"),
+        (height * F.exp(-(F.col("i") * F.col("i") + F.col("j") * F.col("j")) / (2 * width * width))).alias("v"))
+    found = R.interior_keypoints(pin(px), ["frame"], (240, 240))
+    inner = lambda n: F.floor(F.least(F.col(n), F.lit(239)) / 48)
+    field = inner("r") * 5 + inner("c")
+    best = found.groupBy((F.col("frame") * 25 + field).alias("s_suppkey")).agg(F.max_by(F.struct("y", "x", "sigma"), "response").alias("b"))
+    return best.select("s_suppkey", r6("b.y", 0).alias("y"), r6("b.x", 0).alias("x"), r6(F.log2(F.col("b.sigma") / 3), 0).alias("octave"))
 
 
 def _embeddings(t):
@@ -261,18 +303,17 @@ def accuracy(t):
     return out.select("pair_id", r6("estimated_accuracy_px").alias("estimated_accuracy_px"))
 
 
-@query("register_outline", "F20")
+@query("register_outline", "F20", TURNED.format(""))
 def register_outline(t):
-    out = R.register_outline(_planted(t), ["sample"], (192, 192), down_scale=4.0, boundary_width=4, boundary_smooth=2.0)
-    return out.select("sample", "outcome", *[r6(M.at(F.col("m"), i, j), 2).alias(f"m{i}{j}") for i in range(2) for j in range(3)])
+    px, forward = _turned(t)
+    out = R.register_outline(px, ["sample"], (192, 192), down_scale=4.0, boundary_width=4, boundary_smooth=2.0)
+    return _positions(out, forward, 2.5)
 
 
-@query("refine_interior", "F21", PLANTED.format("true as success, 1::int as levels_completed, '' as failure_reason, true as matched, -1.0::double as dx_correction, 1.0::double as dy_correction"))
+@query("refine_interior", "F21", TURNED.format("true as success, 1::int as levels_completed, '' as failure_reason, true as matched,"))
 def refine_interior(t):
-    px = _planted(t)
+    px, forward = _turned(t)
     start = px.select("sample").distinct().select("sample", M.translation(3, -2).alias("m"))
-    out = R.refine_interior(px, start, ["sample"], (192, 192), min_contrast=4.0)
-    return out.select(
-        "sample", "success", "levels_completed", F.coalesce("failure_reason", F.lit("")).alias("failure_reason"),
-        (F.col("n_matches") >= 10).alias("matched"), r6("dx_correction", 1).alias("dx_correction"), r6("dy_correction", 1).alias("dy_correction"),
-    )
+    out = R.refine_interior(px, start, ["sample"], (192, 192))
+    matched = (F.col("n_matches") >= 10).alias("matched")
+    return _positions(out, forward, 1.0, "success", "levels_completed", F.coalesce("failure_reason", F.lit("")).alias("failure_reason"), matched)
