@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_empty, pin, running_total
+from ..session import is_empty, pin
 
-# Up to this many distinct values a group's value->count map is small enough for
-# the built-in percentile aggregate (its buffer holds one entry per distinct value).
-MAX_LEVELS = 20_000
-# Rank error of the first-pass sketch is at most 1/ACCURACY of the group.
-ACCURACY = 5_000
+# Parts into which a round cuts the range that holds a wanted rank.
+BINS = 4096
 
 
 def percentiles(
@@ -26,35 +23,18 @@ def percentiles(
     """One row per group with one exact percentile column per entry of ps (name -> p in 0..1).
 
     levels is a proven bound on the distinct values of a group, such as 256 for
-    8-bit frames. With it (or when a first pass finds few distinct values) the
-    built-in aggregate does the work in one map-side combined pass. Otherwise a
-    sketch brackets each rank, and only the values inside the narrow brackets are
-    shuffled: no group is ever gathered whole.
+    8-bit frames. With it the built-in aggregate does the work in one map-side combined pass.
+    Otherwise every rank is narrowed down by counts: first by sign and binary exponent,
+    then by equal parts of the range that is left, until that range is one value. Only
+    counts, minima and maxima per part are shuffled, at most BINS rows per rank and task, and
+    every further round divides the range by BINS, so about five passes settle any data.
+    Nulls are left out; NaN counts as the largest value.
     """
     keys = list(keys)
     vals = df.select(*keys, _as_col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if levels is not None and levels <= MAX_LEVELS:
+    if levels is not None:
         return _builtin(vals, keys, ps)
-
-    eps = 2.0 / ACCURACY
-    marks: list[float] = []
-    for p in ps.values():
-        marks += [max(p - eps, 0.0), min(p + eps, 1.0)]
-    sketch = pin(
-        vals.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            F.approx_count_distinct("_v").alias("_nd"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx("_v", marks, ACCURACY).alias("_q"),
-        )
-    )
-    if is_empty(sketch.filter(F.col("_nd") > MAX_LEVELS)):
-        return _builtin(vals, keys, ps)
-    picked = _select(vals, keys, ps, sketch, bracketed=True)
-    if not is_empty(picked.filter(~F.col("_ok"))):
-        picked = _select(vals, keys, ps, sketch, bracketed=False)
-    return picked.drop("_ok")
+    return _refined(vals, keys, ps)
 
 
 def _as_col(value: str | Column) -> Column:
@@ -68,52 +48,44 @@ def _builtin(vals: DataFrame, keys: list[str], ps: Mapping[str, float]) -> DataF
     )
 
 
-def _select(
-    vals: DataFrame, keys: list[str], ps: Mapping[str, float], sketch: DataFrame, bracketed: bool
-) -> DataFrame:
-    """Exact order statistics from the value counts inside each bracket.
+def _exponent(v: Column) -> Column:
+    """A number that never falls as v grows: by sign and binary exponent."""
+    size = F.floor(F.log2(F.abs(v))).cast("double") + 2000.0
+    return F.when(F.isnan(v), 1e6).when(F.abs(v) == float("inf"), F.signum(v) * 1e5).when(v == 0, 0.0).otherwise(F.signum(v) * size)
 
-    Values below a bracket collapse to one counted row (NULL value), values above
-    are dropped before the shuffle.
+
+def _narrowed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the parts of each rank the one that holds it, with the rows below it and the smallest value above it.
+
+    counts: keys, _i, _k (rank), _below, _next, _bin, _c, _lo, _hi. A rank has BINS parts at most.
     """
-    names = list(ps)
-    brackets = []
-    for i, p in enumerate(ps.values()):
-        low, high = F.col("_q")[2 * i], F.col("_q")[2 * i + 1]
-        if not bracketed or p - 2.0 / ACCURACY <= 0:
-            low = F.col("_min")
-        if not bracketed or p + 2.0 / ACCURACY >= 1:
-            high = F.col("_max")
-        brackets.append(F.struct(F.lit(i).alias("i"), low.alias("lo"), high.alias("hi")))
-    ranks = sketch.select(*keys, "_n", F.array(*brackets).alias("_b"))
-    inside = (
-        vals.join(ranks.drop("_n"), keys)
-        .select(*keys, "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_b"))
-        .groupBy(*keys, F.col("_b.i").alias("_i"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    p_of = F.element_at(F.array(*[F.lit(float(p)) for p in ps.values()]), F.col("_i") + 1)
-    ranked = (
-        running_total(inside, [*keys, "_i"], [F.col("_v").asc_nulls_first()], "_c", "_cum")
-        .join(ranks.drop("_b"), keys)
-        .withColumn("_k", p_of * (F.col("_n") - 1))
-        .groupBy(*keys, "_i")
-        .agg(
-            F.max("_k").alias("_k"),
-            F.max(F.when(F.col("_v").isNull(), F.col("_c"))).alias("_below"),
-            F.max("_cum").alias("_upto"),
-            F.min(F.when(F.col("_cum") > F.floor("_k"), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.ceil("_k"), F.col("_v"))).alias("_z"),
-        )
-        .withColumn(
-            "_ok",
-            (F.floor("_k") >= F.coalesce("_below", F.lit(0))) & (F.ceil("_k") < F.col("_upto")),
-        )
-        .withColumn("_x", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_k") - F.floor("_k")))
-    )
-    return pin(
-        ranked.groupBy(*keys).agg(
-            *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)],
-            F.every("_ok").alias("_ok"),
-        )
+    order = Window.partitionBy(*keys, "_i").orderBy("_bin")
+    cum = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_below")
+    seen = counts.withColumn("_cum", cum).withColumn("_next", F.coalesce(F.lead("_lo").over(order), "_next"))
+    here = (F.col("_cum") > F.floor("_k")) & (F.col("_cum") - F.col("_c") <= F.floor("_k"))
+    return seen.filter(here).select(*keys, "_i", "_k", (F.col("_cum") - F.col("_c")).alias("_below"), "_next", F.col("_c").alias("_in"), "_lo", "_hi")
+
+
+def _refined(vals: DataFrame, keys: list[str], ps: Mapping[str, float]) -> DataFrame:
+    part = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first = vals.groupBy(*keys, _exponent(F.col("_v")).alias("_bin")).agg(*part)
+    n = F.sum("_c").over(Window.partitionBy(*keys))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(ps.values())]))
+    asked = first.withColumn("_n", n).withColumn("_r", ranks).select(
+        "*", F.col("_r.i").alias("_i"), (F.col("_r.p") * (F.col("_n") - 1)).alias("_k"),
+        F.lit(0).cast("bigint").alias("_below"), F.lit(None).cast("double").alias("_next"),
     )
+    state = pin(_narrowed(asked, keys))
+    while not is_empty(state.filter("_lo < _hi")):
+        wide = state.filter("_lo < _hi")
+        # few rows: every value is a part of its own
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
+        cut = F.when(F.col("_in") <= BINS, F.col("_v")).otherwise(F.least(F.floor(share).cast("double"), F.lit(BINS - 1.0)))
+        near = vals.join(wide, keys) if keys else vals.crossJoin(wide)  # without keys: a row per entry of ps
+        counts = near.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).groupBy(*keys, "_i", cut.alias("_bin")).agg(*part)
+        counts = counts.join(wide.select(*keys, "_i", "_k", "_below", "_next"), [*keys, "_i"])
+        state = pin(state.filter("not (_lo < _hi)").unionByName(_narrowed(counts, keys)))
+    upper = F.when(F.ceil("_k") < F.col("_below") + F.col("_in"), F.col("_lo")).otherwise(F.col("_next"))
+    share = F.col("_k") - F.floor("_k")
+    x = F.when(share == 0, F.col("_lo")).otherwise(F.col("_lo") + (upper - F.col("_lo")) * share)
+    return pin(state.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, x)).alias(name) for i, name in enumerate(ps)]))

@@ -120,14 +120,26 @@ def test_warp_identity_and_round_trip(spark):
     assert np.allclose(to_array(back, a.shape), a)
 
 
-def test_bracketed_percentiles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "MAX_LEVELS", 10)
-    x = np.r_[RNG.lognormal(size=20_000), np.full(9_000, 1.5)]
-    df = spark.createDataFrame(pd.DataFrame({"k": np.where(np.arange(len(x)) % 3, "hot", "cold"), "v": x}))
-    ps = {"a": 0.0, "b": 0.005, "c": 0.5, "d": 0.991, "e": 1.0}
+@pytest.mark.parametrize("bins", [4096, 5])
+def test_narrowed_percentiles_are_exact(spark, monkeypatch, bins):
+    """Heavy tails, both signs, ties, one value, extremes; with few parts a round, many rounds are needed."""
+    monkeypatch.setattr(percentiles, "BINS", bins)
+    rng = np.random.default_rng(5)
+    groups = {
+        "normal": rng.normal(0, 3, 6000), "tail": np.exp(rng.normal(0, 20, 6000)) * rng.choice([-1, 1], 6000), "ties": rng.integers(-3, 4, 500).astype(float),
+        "one": np.full(7, 2.5), "single": np.array([-1e-300]), "far": np.array([-1.7e308, 5e-324, -5e-324, 0.0, -0.0, 1.7e308, 1.0, 1.0 + 2**-52]), "near": 1 + np.arange(20) * 2.0**-52,
+    }
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in groups.items()])).repartition(5)
+    df = df.unionByName(df.limit(1).selectExpr("'normal' as k", "cast(null as double) as v"))
+    ps = {"lo": 0.0, "a": 0.013, "m": 0.5, "b": 0.987, "hi": 1.0}
     got = percentiles.percentiles(df, ["k"], "v", ps).toPandas().set_index("k")
-    for k, part in df.toPandas().groupby("k"):
-        assert np.allclose(got.loc[k, list(ps)].astype(float), np.percentile(part["v"], [100 * p for p in ps.values()]))
+    for k, v in groups.items():
+        s, n = np.sort(v), len(v) - 1
+        want = [s[int(p * n)] + (s[int(np.ceil(p * n))] - s[int(p * n)]) * (p * n - int(p * n)) for p in ps.values()]
+        assert np.allclose(got.loc[k, list(ps)].astype(float), want, rtol=1e-12, atol=0), k
+    assert len(got) == len(groups)
+    whole = percentiles.percentiles(df.filter("k = 'tail'"), [], "v", {"m": 0.5}).first()["m"]
+    assert np.isclose(whole, np.median(groups["tail"]), rtol=1e-12, atol=0)
 
 
 def test_top_rows_with_ties(spark):
