@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .discs import dilate_disc, erode_disc
 from ..session import attach, pin, size_columns
 from .components import components
 
@@ -184,16 +185,15 @@ def close_ellipse(
     """D3: dilate, then erode by the same ellipse; cells beyond the frame put no constraint."""
     out = runs
     for _ in range(iterations):
-        out = clip_runs(dilate(out, keys, ellipse(radius)), keys, shape)
+        out = dilate_disc(out, keys, radius, shape)
     for _ in range(iterations):
-        # the erosion reads its input twice
-        out = erode(pin(out), keys, ellipse(radius), shape, outside_counts=False)
+        out = erode_disc(out, keys, radius, shape)
     return out
 
 
 def erode_ellipse(runs: DataFrame, keys: Sequence[str], radius: int, shape) -> DataFrame:
     """D3: erosion by an ellipse; cells beyond the frame put no constraint."""
-    return erode(runs, keys, ellipse(radius), shape, outside_counts=False)
+    return erode_disc(runs, keys, radius, shape)
 
 
 def background_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
