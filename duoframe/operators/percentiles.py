@@ -88,4 +88,4 @@ def _refined(vals: DataFrame, keys: list[str], ps: Mapping[str, float]) -> DataF
     upper = F.when(F.ceil("_k") < F.col("_below") + F.col("_in"), F.col("_lo")).otherwise(F.col("_next"))
     share = F.col("_k") - F.floor("_k")
     x = F.when(share == 0, F.col("_lo")).otherwise(F.col("_lo") + (upper - F.col("_lo")) * share)
-    return pin(state.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, x)).alias(name) for i, name in enumerate(ps)]))
+    return state.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, x)).alias(name) for i, name in enumerate(ps)])

@@ -62,18 +62,18 @@ def complete_dyes(t):
 # raw folders: every sample number modulo 5 is one root; files of some samples lie loose
 TREE = """
 f as (select cast(substr(sample, 2) as bigint) as s, sample, basename from v_files),
-t as (select 'root' || (s % 5) as root, sample, basename, s % 5 = 1 or (s % 5 = 2 and s % 10 = 2) as loose from f where s % 5 <> 3),
+t as (select 'root' || (s % 5) as root, sample, basename, s % 5 = 1 or (s % 5 = 2 and s % 10 = 2) as loose from f),
 e as (select distinct root, case when loose then basename else sample end as name, not loose as is_dir from t),
 n as (select root, count(*) as n_entries, count(*) filter (where is_dir) as n_subdirs,
   count(*) filter (where not is_dir and regexp_matches(lower(name), '[.]tiff?$')) as n_loose from e group by 1),
 g as (select root, count(distinct sample) as n_filled from t where not loose and regexp_matches(lower(basename), '[.]tiff?$')
   and root <> 'root4' group by 1),
-r as (select 'root' || range as root from range(6))"""
+r as (select 'root' || range as root from range(7))"""
 
 
 def _tree(t):
     s = F.substring("sample", 2, 20).cast("bigint")
-    tree = v_files(t).filter(s % 5 != 3).select(
+    tree = v_files(t).select(
         F.concat(F.lit("root"), (s % 5).cast("string")).alias("root"), "sample", "basename",
         ((s % 5 == 1) | ((s % 5 == 2) & (s % 10 == 2))).alias("loose"),
     )
@@ -89,17 +89,17 @@ select r.root, coalesce(n_subdirs, 0) as n_subdirs, coalesce(n_loose, 0) as n_lo
  case when r.root = 'root5' then 'missing' when coalesce(n_entries, 0) = 0 then 'empty'
   when n_loose > 0 and n_subdirs = 0 then 'loose files only' when n_subdirs > 0 and coalesce(n_filled, 0) = 0 then 'no files in subfolders'
   when n_loose > 0 then 'loose files ignored' else 'ok' end as code,
- case when r.root in ('root5', 'root3', 'root1', 'root4') then false else true end as ok
+ case when r.root in ('root5', 'root6', 'root1', 'root4') then false else true end as ok
 from r left join n on r.root = n.root left join g on r.root = g.root""")
 def layout_report(t):
     entries, files = _tree(t)
-    # the roots are the remainders that occur, and one that does not exist
+    # the roots are the remainders that occur, an empty one and one that does not exist
     s = F.substring("sample", 2, 20).cast("bigint")
     roots = v_files(t).select(F.concat(F.lit("root"), (s % 5).cast("string")).alias("root")).distinct().select(
         "root", F.lit(True).alias("exists"), F.lit(True).alias("is_dir")
     )
-    missing = t("region").filter("r_regionkey = 0").select(F.lit("root5").alias("root"), F.lit(False).alias("exists"), F.lit(False).alias("is_dir"))
-    return C.layout_report(roots.unionByName(missing), entries, files)
+    more = t("region").select(F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.lit(e).alias("exists")) for r, e in (("root5", False), ("root6", True))])).alias("x"))
+    return C.layout_report(roots.unionByName(more.select("x.root", "x.exists", F.col("x.exists").alias("is_dir")).distinct()), entries, files)
 
 
 @query("layout_entries", "A7", f"""

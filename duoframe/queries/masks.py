@@ -108,13 +108,13 @@ def tissue_mask(t):
 
 
 @query("clean_tissue_mask", "D8", f"""
-with recursive m as (select sample, kind, r, c from v_px where v > 30), {FILLED},
+with recursive m as (select sample, kind, r, c from v_px where v > 0), {FILLED},
 f as (select k.sample, k.kind, k.r, k.c from v_cells k where not exists
   (select 1 from out_cells o where o.sample = k.sample and o.kind = k.kind and o.r = k.r and o.c = k.c))
 select a.sample, a.r, a.c from f a join f b
 on a.sample = b.sample and a.r = b.r and a.c = b.c and a.kind = 'post' and b.kind = 'pre'""")
 def clean_tissue_mask(t):
-    return M.runs_to_pixels(M.clean_tissue_mask(v_px(t).filter("v > 30"), ["sample"]))
+    return M.runs_to_pixels(M.clean_tissue_mask(v_px(t), ["sample"]))
 
 
 @query("boundary_ring", "D9")

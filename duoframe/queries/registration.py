@@ -15,7 +15,6 @@ from ..session import pin
 from .base import query, r6
 
 SK = ["sample", "kind"]
-BRIGHT = "v >= 90"
 
 
 def _id():
@@ -23,7 +22,7 @@ def _id():
 
 
 def _points(t):
-    px = pin(v_px(t).filter(BRIGHT))
+    px = v_px(t)
     xy = [F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y")]
     pre = px.filter("kind = 'pre'").select("sample", _id().alias("q_id"), *xy)
     post = px.filter("kind = 'post'").select("sample", _id().alias("t_id"), *xy)
@@ -32,10 +31,10 @@ def _points(t):
 
 @query("centroid", "F1", """
 select f.sample, f.kind, coalesce(round(avg(p.c), 6), 64.0) as cx, coalesce(round(avg(p.r), 6), 64.0) as cy
-from (select distinct sample, kind from v_px) f left join v_px p on p.sample = f.sample and p.kind = f.kind and p.v >= 90 group by 1, 2""")
+from (select distinct sample, kind from v_px) f left join v_px p on p.sample = f.sample and p.kind = f.kind group by 1, 2""")
 def centroid(t):
     px = v_px(t)
-    return P.centroid(px.filter(BRIGHT), SK, PX_SHAPE, px).select(*SK, r6("cx").alias("cx"), r6("cy").alias("cy"))
+    return P.centroid(px, SK, PX_SHAPE, px).select(*SK, r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
 def _planted(t):
@@ -126,20 +125,20 @@ def even_subsample(t):
 
 
 NN = """
-nn as (select q.sample, q.r as qr, q.c as qc, t.r as tr, t.c as tc, sqrt((q.r - t.r) ** 2 + (q.c - t.c) ** 2) as dist,
-  row_number() over (partition by q.sample, q.r, q.c order by (q.r - t.r) ** 2 + (q.c - t.c) ** 2, t.r, t.c) as k
-  from v_px q join v_px t on q.sample = t.sample and q.kind = 'pre' and t.kind = 'post' and q.v >= 90 and t.v >= 90)"""
+nn as (select sample, qr, qc, best.r as tr, best.c as tc, sqrt(best.d) as dist from (
+  select q.sample, q.r as qr, q.c as qc, min(struct_pack(d := (q.r - t.r) ** 2 + (q.c - t.c) ** 2, r := t.r, c := t.c)) as best
+  from v_px q join v_px t on q.sample = t.sample and q.kind = 'pre' and t.kind = 'post' group by 1, 2, 3))"""
 
 
 @query("nearest_neighbours", "F6", f"""
-with {NN} select sample, qr::bigint * 4294967296 + qc as q_id, tr::bigint * 4294967296 + tc as t_id, round(dist, 6) as dist from nn where k = 1""")
+with {NN} select sample, qr::bigint * 4294967296 + qc as q_id, tr::bigint * 4294967296 + tc as t_id, round(dist, 6) as dist from nn""")
 def nearest_neighbours(t):
     return P.nearest_neighbours(*_points(t), ["sample"]).select("sample", "q_id", "t_id", r6("dist").alias("dist"))
 
 
 @query("start_threshold", "F7", f"""
 with {NN} select sample, round(quantile_cont(dist, 0.5), 6) as median, round(least(greatest(2 * quantile_cont(dist, 0.5), 5.0), 30.0), 6) as threshold
-from nn where k = 1 group by 1""")
+from nn group by 1""")
 def start_threshold(t):
     out = P.start_threshold(P.nearest_neighbours(*_points(t), ["sample"]), ["sample"])
     return out.select("sample", r6("median").alias("median"), r6("threshold").alias("threshold"))
