@@ -36,7 +36,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     "orphan" without an earlier response. Only agreeing revisits refer to a response; their
     headers are the response's, updated with the permitted ones of the revisit; the others keep
     their own. A null URL or time is an orphan and a null map is empty; of responses at one time
-    the largest record_id counts; repeated revisits are each resolved; other columns are not read.
+    the largest record_id counts, of those with one id the largest entity tag, then date, then
+    headers as text; repeated revisits are each resolved; other columns are not read.
 
     Times of a URL are first reduced to one row each, then ranges of (URL, time) find the latest
     response inside a range and take over the last one of the ranges before, so a URL with a
@@ -66,10 +67,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .otherwise("unchecked")
     )
     judged = revisits.withColumn("outcome", outcome).withColumn("refers_to", F.when(F.col("outcome").isin("etag", "last-modified"), F.col("found.record_id")))
-    full = keyed.filter("kind = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("headers").alias("stored"))
+    # a record id may be repeated with other validators or headers: the validators tell which was found
+    which = lambda at: F.to_json(F.struct(*[F.col(at + n).alias(n) for n in ("record_id", "etag", "last_modified")]))
+    said = F.to_json(F.array_sort(F.map_entries("headers")))
+    full = keyed.filter("kind = 'response'").groupBy(which("").alias("which")).agg(F.max_by("headers", said).alias("stored"))
     allowed = lambda k: k.isin(*PERMITTED)
     own = F.map_filter("headers", lambda k, v: allowed(k))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(own), k)), own)
-    with_head = judged.filter("refers_to is not null").join(full, "refers_to").withColumn("headers", merged)
+    with_head = judged.filter("refers_to is not null").withColumn("which", which("found.")).join(full, "which").withColumn("headers", merged)
     out = ["record_id", "canonical", "ts", "refers_to", "outcome", "headers"]
     return with_head.select(*out).unionByName(judged.filter("refers_to is null").select(*out))

@@ -350,6 +350,9 @@ def test_revisits(spark):
     assert by[3][:2] == ("orphan", None) and by[5][:2] == ("changed", None) and by[6] == ("unchecked", None, {"x": "y"})
     assert by[7][0] == by[8][0] == "orphan" and by[10][:2] == ("last-modified", 9) and by[10][2] == h
     assert revisits.resolve_revisits(df.filter("false")).count() == 0
+    twice = [(20, "http://t/", 1, "response", '"e"', None, {"v": x}) for x in ("1", "3", "2")] + [(20, "http://t/", 1, "response", '"d"', None, {"v": "9"}), (21, "http://t/", 2, "revisit", '"e"', None, {"date": "d"})]
+    clash = spark.createDataFrame(twice, df.schema).repartition(4).selectExpr("*", "1 as canonical", "2 as found", "3 as which", "4 as part", "5 as outcome")
+    assert [(r["refers_to"], r["headers"]) for r in revisits.resolve_revisits(clash).collect()] == [(20, {"v": "3", "date": "d"})]
 
 
 def test_a_hot_url_is_dealt_over_ranges(spark):
