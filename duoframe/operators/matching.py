@@ -2,72 +2,142 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import attach, pin
+from ..session import is_empty, pin, union_all
 
-PIVOTS = 32
 BLOCK = 2048
+LEAF = 1024  # targets of a node that is not split
+FAN = 32  # children of a node
+DEPTH = 11  # levels whose numbers fit a bigint; larger leaves below are visited in blocks
 
 
-def _with_pivots(df: DataFrame, keys: list[str], pivots: np.ndarray) -> DataFrame:
-    """Adds the distances to all pivots (a short array)."""
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", pd array<double>"
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                pdf["pd"] = list(np.sqrt(_squared(x, pivots)))
-                yield pdf
 
-    return df.mapInPandas(run, ddl)
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _meet_children(rows: DataFrame, level: DataFrame, keys: list[str], id_col: str, block: int, pick: Callable, more: str = "", evaluated=None) -> DataFrame:
+    """Hand the rows at the nodes of a level to those children that pick chooses.
+
+    pick(distances, rows, children) returns positions of rows and of children. Rows meet the
+    children of their node in parts of about block rows. Returns the columns of rows with node
+    replaced by the child, and dist if more asks for it.
+    """
+    side = [*keys, "node"]
+    rows = pin(rows)
+    parts = pin(rows.groupBy(*side).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")))
+    a = rows.join(parts, side).withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).drop("_parts")
+    b = level.join(parts, side).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    names = [*rows.columns, *(["dist"] if more else [])]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame([], columns=names)
+        right = right.sort_values("child")
+        d = np.sqrt(_squared(_stack(left["vec"]), _stack(right["pivot"])))
+        if evaluated is not None:
+            evaluated.add(d.size)
+        i, j = pick(d, left, right)
+        out = left.iloc[i].copy()
+        out["node"], out["dist"] = right["child"].to_numpy()[j], d[i, j]
+        return out[names]
 
+    by = [*side, "_part"]
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, _ddl(rows) + more)
 
-def two_nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+
+def _nearest_child(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(len(d)), d.argmin(axis=1)
+
+
+def _children_in_reach(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Children whose ball reaches inside the bound; the slack covers rounding of the distances."""
+    bound = left["bound"].to_numpy()
+    slack = 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0)) + 1e-7 * np.linalg.norm(_stack(left["vec"]), axis=1)
+    return np.nonzero(d - right["radius"].to_numpy()[None, :] <= (bound + slack)[:, None])
+
+
+def _grow(targets: DataFrame, keys: list[str], leaf: int, fan: int, block: int, evaluated=None) -> tuple[DataFrame, list[DataFrame]]:
+    """A tree of pivots per group: the targets with their leaf (node), and the levels.
+
+    A level lists keys, node, child, pivot and the radius of the child. Nodes of more than leaf
+    targets are split between fan of their different vectors, chosen by hash, so the tree
+    deepens only where a group is large.
+    """
+    side = [*keys, "node"]
+    rows, settled, levels = pin(targets.withColumn("node", F.lit(0).cast("bigint"))), [], []
+    for depth in range(DEPTH):
+        large = pin(rows.groupBy(*side).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf).select(*side))
+        if is_empty(large):
+            break
+        settled.append(rows.join(large, side, "left_anti"))
+        open_rows = rows.join(large, side, "left_semi")
+        order = Window.partitionBy(*side).orderBy(F.xxhash64("vec", F.lit(depth)), "t_id")
+        pivots = open_rows.filter("copy = 1").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= fan)
+        pivots = pin(pivots.select(*side, (F.col("node") * fan + F.col("_k")).alias("child"), F.col("vec").alias("pivot")))
+        dealt = pin(_meet_children(open_rows, pivots, keys, "t_id", block, _nearest_child, ", dist double", evaluated))
+        radius = dealt.groupBy(*keys, F.col("node").alias("child")).agg(F.max("dist").alias("radius"))
+        levels.append(pin(pivots.join(radius, [*keys, "child"])))
+        rows = dealt.drop("dist")
+    return union_all(*settled, rows), levels
+
+
+def _descend(rows: DataFrame, levels: list[DataFrame], keys: list[str], block: int, pick: Callable, evaluated=None) -> DataFrame:
+    """Rows at the leaves that they reach from the roots."""
+    side, at_leaf = [*keys, "node"], []
+    rows = rows.withColumn("node", F.lit(0).cast("bigint"))
+    for level in levels:
+        rows = pin(rows)
+        inner = level.select(*side).distinct()
+        at_leaf.append(rows.join(inner, side, "left_anti"))
+        rows = _meet_children(rows.join(inner, side, "left_semi"), level, keys, "q_id", block, pick, evaluated=evaluated)
+    return union_all(*at_leaf, rows)
+
+
+def two_nearest(
+    queries: DataFrame, targets: DataFrame, keys: Sequence[str], block: int = BLOCK, leaf: int = LEAF, fan: int = FAN, evaluated=None
+) -> DataFrame:
     """The two nearest targets of each query inside its group: keys, q_id, t_id, d1, d2.
 
-    queries: keys, q_id, vec; targets: keys, t_id, vec. Exact. Targets belong to the cell of
-    their nearest pivot. A first pass over the own cell bounds the second distance; by the
-    triangle inequality only cells that reach inside the bound are visited after that.
-    Cells are cut into blocks of about block targets and block queries, so a task group
-    stays small however hot a cell is, and each block emits two rows per query.
+    queries: keys, q_id, vec; targets: keys, t_id, vec. Exact; of equal distances the smallest
+    t_id wins. Every group has its own tree of pivots, which grows with the group. A first way
+    down, always to the nearest pivot, gives a bound of the second distance; the second way
+    down visits, by the triangle inequality, only the nodes that reach inside that bound.
+    Nodes and leaves meet their queries in blocks of about block rows on either side, so no
+    task grows with a group, and each block emits two rows per query. Of equal targets only
+    the first two are searched, since no more can be among the answers. A group of one target has no d2; rows
+    without a vector, and queries of groups without targets, have no answer. evaluated: an
+    accumulator that counts the distances.
     """
     keys = list(keys)
-    t0 = targets.select(*keys, "t_id", "vec")
-    # a fixed number of pivots, chosen by hash: the only rows that reach the driver
-    picked = t0.select("vec", F.xxhash64("t_id").alias("_h"), "t_id").orderBy("_h", "t_id").limit(PIVOTS).collect()
-    if not picked:
-        return queries.select(*keys, "q_id", F.lit(None).cast("bigint").alias("t_id"), F.lit(0.0).alias("d1"), F.lit(0.0).alias("d2")).limit(0)
-    pivots = np.array([r["vec"] for r in picked], float)
-    nearest = lambda a: (F.array_position(a, F.array_min(a)) - 1).cast("int")
-    t = _with_pivots(t0, keys, pivots).withColumn("cell", nearest(F.col("pd"))).withColumn("_r", F.array_min("pd")).drop("pd")
-    t = pin(t)
-    cells = pin(t.groupBy(*keys, "cell").agg(F.max("_r").alias("radius"), F.count("*").alias("n_t")))
-    per_group = pin(cells.groupBy(*keys).agg(F.collect_list(F.struct("cell", "radius")).alias("cells")))
-    q = pin(attach(_with_pivots(queries.select(*keys, "q_id", "vec"), keys, pivots), per_group, keys, "inner"))
-    dist = lambda c: F.get("pd", c["cell"])
-    home = F.array_min(F.transform("cells", lambda c: F.struct(dist(c).alias("d"), c["cell"].alias("cell"))))["cell"]
-    first = q.select(*keys, "q_id", "vec", home.alias("cell"))
-    near = pin(_two_per_query(_visit(first, t, cells, keys, block), keys))
-    bound = near.groupBy(*keys, "q_id").agg(
-        F.when(F.count("*") >= 2, F.max("dist")).otherwise(float("inf")).alias("_ub")
-    )
-    others = q.join(bound, [*keys, "q_id"]).withColumn("_home", home).select(
-        *keys, "q_id", "vec",
-        F.explode(F.filter("cells", lambda c: (c["cell"] != F.col("_home")) & (dist(c) - c["radius"] <= F.col("_ub") + 1e-9))).alias("c"),
-    ).select(*keys, "q_id", "vec", "c.cell")
-    both = near.unionByName(_two_per_query(_visit(others, t, cells, keys, block), keys))
-    top = _two_per_query(both, keys).groupBy(*keys, "q_id").agg(
+    copy = F.row_number().over(Window.partitionBy(*keys, "vec").orderBy("t_id"))
+    t0 = targets.filter("vec is not null").select(*keys, "t_id", "vec").withColumn("copy", copy).filter("copy <= 2")
+    t, levels = _grow(t0, keys, leaf, fan, block, evaluated)
+    t = pin(t.drop("copy")) if levels else t.drop("copy")
+    leaves = pin(t.groupBy(*keys, "node").agg(F.count("*").alias("n_t")))
+    q = queries.filter("vec is not null").select(*keys, "q_id", "vec")
+    home = pin(_descend(q, levels, keys, block, _nearest_child, evaluated))
+    found = _two_per_query(_visit(home, t, leaves, keys, block, evaluated), keys)
+    if levels:
+        found = pin(found)
+        bound = found.groupBy(*keys, "q_id").agg(F.when(F.count("*") >= 2, F.max("dist")).otherwise(float("inf")).alias("bound"))
+        reached = _descend(q.join(bound, [*keys, "q_id"]), levels, keys, block, _children_in_reach, evaluated)
+        others = reached.drop("bound").join(home.select(*keys, "q_id", "node"), [*keys, "q_id", "node"], "left_anti")
+        found = _two_per_query(found.unionByName(_two_per_query(_visit(others, t, leaves, keys, block, evaluated), keys)), keys)
+    top = found.groupBy(*keys, "q_id").agg(
         F.min(F.struct("dist", "t_id")).alias("_a"), F.max(F.struct("dist", "t_id")).alias("_b"), F.count("*").alias("_n")
     )
     return top.select(
@@ -80,12 +150,12 @@ def _two_per_query(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k <= 2").drop("_k")
 
 
-def _visit(visits: DataFrame, targets: DataFrame, cells: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Two nearest targets of each visiting query in each block of its cell."""
-    side = [*keys, "cell"]
+def _visit(visits: DataFrame, targets: DataFrame, leaves: DataFrame, keys: list[str], block: int, evaluated=None) -> DataFrame:
+    """Two nearest targets of each visiting query in each block of its leaf."""
+    side = [*keys, "node"]
     visits = pin(visits)
     sizes = pin(
-        cells.join(visits.groupBy(*side).agg(F.count("*").alias("n_q")), side).select(
+        leaves.join(visits.groupBy(*side).agg(F.count("*").alias("n_q")), side).select(
             *side, F.ceil(F.col("n_t") / block).cast("int").alias("_nt"), F.ceil(F.col("n_q") / block).cast("int").alias("_nq")
         )
     )
@@ -93,26 +163,31 @@ def _visit(visits: DataFrame, targets: DataFrame, cells: DataFrame, keys: list[s
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = visits.join(sizes, side).withColumn("_bq", part("q_id", "_nq")).withColumn("_bt", every("_nt"))
     t = targets.join(sizes, side).withColumn("_bt", part("t_id", "_nt")).withColumn("_bq", every("_nq"))
-    key_ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in visits.select(*keys).schema)
+    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in visits.select(*keys).schema)
 
     def run(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "q_id", "t_id", "dist"]
         if a.empty or b.empty:
             return pd.DataFrame([], columns=names)
-        b = b.sort_values("t_id")
-        d = _squared(np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float))
-        pick = np.argsort(d, axis=1, kind="stable")[:, :2]
-        k = pick.shape[1]
+        x, y, ids = _stack(a["vec"]), _stack(b["vec"]), b["t_id"].to_numpy()
+        d = _squared(x, y)
+        if evaluated is not None:
+            evaluated.add(d.size)
+        few = min(4, len(b))  # the likeliest by rounded distances, then exactly
+        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < len(b) else np.tile(np.arange(len(b)), (len(a), 1))
+        exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(axis=2))
+        first = np.lexsort((ids[near], exact), axis=1)[:, :2]
+        k = first.shape[1]
         out = {n: [v] * (len(a) * k) for n, v in zip(keys, group)}
         out["q_id"] = np.repeat(a["q_id"].to_numpy(), k)
-        out["t_id"] = b["t_id"].to_numpy()[pick].ravel()
-        out["dist"] = np.sqrt(np.take_along_axis(d, pick, 1)).ravel()
+        out["t_id"] = ids[np.take_along_axis(near, first, 1)].ravel()
+        out["dist"] = np.take_along_axis(exact, first, 1).ravel()
         return pd.DataFrame(out)[names]
 
-    group_cols = [*keys, "cell", "_bq", "_bt"]
+    by = [*side, "_bq", "_bt"]
     return (
-        q.select(*group_cols, "q_id", "vec").groupBy(*group_cols)
-        .cogroup(t.select(*group_cols, "t_id", "vec").groupBy(*group_cols))
+        q.select(*by, "q_id", "vec").groupBy(*by)
+        .cogroup(t.select(*by, "t_id", "vec").groupBy(*by))
         .applyInPandas(run, f"{key_ddl}q_id bigint, t_id bigint, dist double")
     )
 
