@@ -42,49 +42,54 @@ def nearest_neighbours(
 
     queries: keys, q_id, x, y; targets: keys, t_id, x, y. Points meet by an equi-join on
     grid cells and the best one is kept by a map-side combined minimum. Equal targets
-    are collapsed first. The cell size starts at the mean spacing of the targets and is
-    halved until no cell holds more than max_per_cell different targets, so a hot spot
-    never forms one large group. Queries without a target inside the radius go to another
-    round with three times the radius, unless max_distance ends the search. Queries with a missing coordinate, or of a group without
+    are collapsed first. The cell size of each group starts at the mean spacing of its targets
+    (or at radius) and is halved, several times at once where a cell is very full, until no cell of the group holds more than max_per_cell
+    different targets, so a hot spot never forms one large group and costs the other groups
+    nothing. Queries without a target inside the radius go to another round with three times
+    the radius, unless max_distance ends the search. Queries with a missing coordinate, or of a group without
     targets, have no answer: their t_id, tx, ty and dist are null.
     """
     keys = list(keys)
     t = pin(targets.filter("x is not null and y is not null").groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
     if max_distance is not None:
-        return _within(queries.select(*keys, "q_id", "x", "y"), t, keys, max_distance)
-    if radius is None:
-        box = t.groupBy(*keys).agg(
-            ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1) / F.count("*")).alias("_a")
-        )
-        radius = 1.5 * (box.agg(F.min("_a")).first()[0] or 1.0) ** 0.5
-    while not is_empty(  # different targets part at some size
-        t.groupBy(*keys, F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)).count().filter(F.col("count") > max_per_cell)
-    ):
-        radius /= 2
+        return _within(queries.select(*keys, "q_id", "x", "y"), t, keys, F.lit(float(max_distance)))
+    spacing = F.sqrt((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1) / F.count("*"))
+    cells = pin(t.groupBy(*keys).agg((1.5 * spacing if radius is None else F.lit(float(radius)) + 0 * F.count("*")).alias("_cell")))
+    while True:  # different targets part at some size
+        place = [F.floor(F.col(c) / F.col("_cell")).alias(f"_{c}") for c in ("x", "y")]
+        crowded = t.join(cells, keys).groupBy(*keys, *place).count().filter(F.col("count") > max_per_cell)
+        crowded = pin(crowded.groupBy(*keys).agg(F.max("count").alias("_most")))
+        if is_empty(crowded):
+            break
+        times = F.greatest(F.lit(1.0), F.floor(F.log2(F.col("_most") / max_per_cell) / 2))  # as if the fullest cell were even
+        halved = F.when(F.col("_most") > 0, F.col("_cell") / F.pow(F.lit(2.0), times)).otherwise(F.col("_cell"))
+        cells = pin(cells.join(crowded, keys, "left").select(*keys, halved.alias("_cell")))
+    t = pin(t.join(cells, keys))
     asked = queries.select(*keys, "q_id", "x", "y").withColumn("_ok", F.col("x").isNotNull() & F.col("y").isNotNull())
-    asked = pin(asked.join(t.select(*keys).distinct().withColumn("_has", F.lit(True)), keys, "left"))
-    empty = asked.filter("_has is null or not _ok").select(
+    asked = pin(asked.join(cells, keys, "left"))
+    empty = asked.filter("_cell is null or not _ok").select(
         *keys, "q_id", "x", "y", F.lit(None).cast(t.schema["t_id"].dataType).alias("t_id"), *[F.lit(None).cast("double").alias(n) for n in ("tx", "ty", "dist")])
-    left = asked.filter("_has and _ok").select(*keys, "q_id", "x", "y")
-    found = empty
+    left = asked.filter("_cell is not null and _ok").select(*keys, "q_id", "x", "y", "_cell")
+    found, factor = empty, 1.0
     while True:
-        hits = pin(_within(left, t, keys, radius))
+        hits = pin(_within(left, t, keys, F.col("_cell") * factor))
         found = found.unionByName(hits)
         left = pin(left.join(hits.select(*keys, "q_id"), [*keys, "q_id"], "left_anti"))
         if is_empty(left):
             return found
-        radius *= 3
+        factor *= 3
 
 
-def _within(queries: DataFrame, targets: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Nearest target within radius: cells of that size meet their 3 x 3 neighbourhood."""
+def _within(queries: DataFrame, targets: DataFrame, keys: list[str], radius: Column) -> DataFrame:
+    """Nearest target within radius, a column of both sides: cells of that size meet their 3 x 3 neighbourhood."""
     cell = lambda c, step=0: (F.floor(F.col(c) / radius) + step).cast("bigint")
     grid = targets.select(*keys, cell("x").alias("_cx"), cell("y").alias("_cy"), "t_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
     around = F.explode(F.array(*[F.struct(cell("x", i).alias("cx"), cell("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
     return (
         queries.withColumn("_a", around).withColumn("_cx", F.col("_a.cx")).withColumn("_cy", F.col("_a.cy")).drop("_a")
-        .join(grid, [*keys, "_cx", "_cy"]).withColumn("_d2", d2).filter(F.col("_d2") <= radius * radius)
+        .withColumn("_r", radius)
+        .join(grid, [*keys, "_cx", "_cy"]).withColumn("_d2", d2).filter(F.col("_d2") <= F.col("_r") * F.col("_r"))
         .groupBy(*keys, "q_id").agg(F.min(F.struct("_d2", "t_id", "tx", "ty")).alias("_b"), F.first("x").alias("x"), F.first("y").alias("y"))
         .select(*keys, "q_id", "x", "y", "_b.t_id", "_b.tx", "_b.ty", F.sqrt("_b._d2").alias("dist"))
     )

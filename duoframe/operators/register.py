@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
-from ..session import attach, pin
+from ..session import attach, is_empty, pin
 from .features import interior_keypoints
 from .filters import area_downsample, downsampled_shape
 from .histograms import match_histograms
@@ -181,16 +181,22 @@ def work_scale(longest: Column) -> Column:
 # ---- robust homography ----------------------------------------------------------------------
 
 
-def _solve_points(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Homography with last entry 1 through the point pairs (least squares)."""
-    x, y, u, w = src[:, 0], src[:, 1], dst[:, 0], dst[:, 1]
+def _solve_fours(src: np.ndarray, dst: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Homographies with last entry 1 through the drawn fours of point pairs, and which draws have one."""
+
+    def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean, size = p.mean(axis=0), max(float(p.std()), 1e-9)
+        return (p - mean) / size, np.array([[1 / size, 0, -mean[0] / size], [0, 1 / size, -mean[1] / size], [0, 0, 1]])
+
+    (a, ta), (b, tb) = scaled(src), scaled(dst)
+    x, y, u, w = a[draws, 0], a[draws, 1], b[draws, 0], b[draws, 1]
     z, o = np.zeros_like(x), np.ones_like(x)
-    a = np.r_[np.c_[x, y, o, z, z, z, -u * x, -u * y], np.c_[z, z, z, x, y, o, -w * x, -w * y]]
-    try:
-        h, *_ = np.linalg.lstsq(a, np.r_[u, w], rcond=None)
-    except np.linalg.LinAlgError:
-        return None
-    return np.r_[h, 1.0] if np.all(np.isfinite(h)) else None
+    rows = np.concatenate([np.stack([x, y, o, z, z, z, -u * x, -u * y], -1), np.stack([z, z, z, x, y, o, -w * x, -w * y], -1)], axis=1)
+    able = np.linalg.cond(rows) < 1e9  # three points on a line have no map
+    h = np.linalg.solve(rows[able], np.concatenate([u, w], axis=1)[able][:, :, None])[:, :, 0]
+    full = np.linalg.inv(tb) @ np.c_[h, np.ones(len(h))].reshape(-1, 3, 3) @ ta
+    fine = np.abs(full[:, 2, 2]) > 1e-12
+    return full[fine].reshape(-1, 9) / full[fine][:, 2, 2][:, None], np.flatnonzero(able)[fine]
 
 
 def _errors(h: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
@@ -205,15 +211,19 @@ CHUNK = 20_000
 
 
 def robust_homography(
-    matches: DataFrame, keys: Sequence[str], tolerance: float = 3.0, n_hypotheses: int = 5000, pool: int = 400
+    matches: DataFrame, keys: Sequence[str], tolerance: float = 3.0, n_hypotheses: int = 5000, pool: int = 400,
+    confidence: float = 0.999, first_round: int = 256,
 ) -> DataFrame:
     """keys, m, n_matches, n_inliers, inlier_ratio for matches (x, y) -> (u, w).
 
     Equal matches are collapsed first and vote with their number. Hypotheses come from
-    seeded samples of a pool of different matches, the first ones by hash. Every match votes
-    on every hypothesis in chunks of bounded size, and the winner is fitted again on all its
-    inliers from sums. The result depends neither on the partitioning nor on how often the
-    whole set is repeated.
+    seeded samples of a pool of different matches, the first ones by hash, in rounds of growing
+    size. Every match votes on every hypothesis in chunks of bounded size. A pair is ready when
+    a draw of four inliers has come with the given confidence, judged by its best inlier
+    share so far, or after n_hypotheses draws; only the other pairs see another round. The
+    winner is fitted again on all its inliers from sums. The result depends neither on the
+    partitioning nor on how often the whole set is repeated. Pairs whose matches define no map
+    have a null m.
     """
     keys = list(keys)
     ddl = _ddl(matches, keys)
@@ -223,27 +233,25 @@ def robust_homography(
     sized = pin(attach(rows, counts, keys, "inner"))
     # about 1.5 times pool different matches per pair, by hash, whatever the pair's size
     share = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
-    seeds = sized.filter(share <= 1.5 * pool / F.col("_different"))
-
-    def guess(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "x", "y", "u", "w"]).head(pool)
-        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "w"]].to_numpy(float)
-        rng, out = np.random.default_rng(0), []
-        if len(src) >= 4:
-            for i in range(n_hypotheses):
-                k = rng.choice(len(src), 4, replace=False)
-                h = _solve_points(src[k], dst[k])
-                if h is not None:
-                    out.append((*group, i, h.tolist()))
-        return pd.DataFrame(out, columns=[*keys, "i", "h"])
-
-    hyps = pin(seeds.groupBy(*keys).applyInPandas(guess, ddl + "i int, h array<double>"))
+    seeds = pin(sized.filter(share <= 1.5 * pool / F.col("_different")))
     n_chunks = F.ceil(F.col("_different") / CHUNK).cast("int")
     chunked = sized.withColumn("_chunk", F.pmod(F.col("_h"), n_chunks).cast("int"))
-    per_chunk = hyps.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).drop("n_matches", "_different")
+
+    def guess(first: int, n: int) -> Callable:
+        def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["_h", "x", "y", "u", "w"]).head(pool)
+            src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "w"]].to_numpy(float)
+            out = []
+            if len(src) >= 4:
+                rng = np.random.default_rng([0, first])
+                draws = np.array([rng.choice(len(src), 4, replace=False) for _ in range(n)])
+                out = [(*group, first + int(i), h.tolist()) for h, i in zip(*_solve_fours(src, dst, draws))]
+            return pd.DataFrame(out, columns=[*keys, "i", "h"])
+
+        return run
 
     def vote(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if b.empty:  # a pair of fewer than four matches has no hypotheses
+        if b.empty:  # a pair without hypotheses in this round
             return pd.DataFrame([], columns=[*keys, "i", "n"])
         out = {**{k: [v] * len(b) for k, v in zip(keys, group)}, "i": b["i"]}
         if len(a) and len(b):
@@ -254,19 +262,36 @@ def robust_homography(
             out["n"] = [0] * len(b)
         return pd.DataFrame(out)[[*keys, "i", "n"]]
 
-    votes = (
-        chunked.groupBy(*keys, "_chunk").cogroup(per_chunk.groupBy(*keys, "_chunk")).applyInPandas(vote, ddl + "i int, n bigint")
-        .groupBy(*keys, "i").agg(F.sum("n").alias("n"))
-    )
-    best = votes.groupBy(*keys).agg(F.max_by("i", F.struct(F.col("n"), -F.col("i"))).alias("i"))
-    winner = pin(hyps.join(best, [*keys, "i"], "left_semi").select(*keys, F.col("h").alias("m0")))
+    best, waiting = None, counts.select(*keys)
+    drawn, size = 0, first_round
+    while drawn < n_hypotheses:
+        size = min(size, n_hypotheses - drawn)
+        hyps = pin(seeds.join(waiting, keys, "left_semi").groupBy(*keys).applyInPandas(guess(drawn, size), ddl + "i int, h array<double>"))
+        per_chunk = hyps.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).drop("n_matches", "_different")
+        votes = (
+            chunked.join(waiting, keys, "left_semi").groupBy(*keys, "_chunk").cogroup(per_chunk.groupBy(*keys, "_chunk"))
+            .applyInPandas(vote, ddl + "i int, n bigint").groupBy(*keys, "i").agg(F.sum("n").alias("n"))
+        )
+        tops = votes.groupBy(*keys).agg(F.max_by(F.struct("i", "n"), F.struct(F.col("n"), -F.col("i"))).alias("_t")).select(*keys, "_t.*")
+        tops = tops.join(hyps, [*keys, "i"]).select(*keys, "i", "n", F.col("h").alias("m0"))
+        if best is not None:
+            tops = tops.unionByName(best)
+        best = pin(tops.groupBy(*keys).agg(F.max_by(F.struct("i", "n", "m0"), F.struct(F.col("n"), -F.col("i"))).alias("_t")).select(*keys, "_t.*"))
+        drawn, size = drawn + size, 4 * size
+        four = F.pow(F.coalesce("n", F.lit(0)) / F.col("n_matches"), F.lit(4))  # chance that a draw holds inliers only
+        needed = F.when(four < 1e-12, float("inf")).when(four >= 1 - 1e-12, 0.0).otherwise(float(np.log(1 - confidence)) / F.log1p(-four))
+        judged = counts.join(waiting, keys, "left_semi").join(best, keys, "left").filter("_different >= 4").withColumn("_needed", needed)
+        waiting = pin(judged.filter(F.col("_needed") > drawn).select(*keys))
+        if is_empty(waiting):
+            break
+    winner = best
     px, py = M.project(F.col("m0"), F.col("x"), F.col("y"))
     err = F.sqrt((px - F.col("u")) * (px - F.col("u")) + (py - F.col("w")) * (py - F.col("w")))
-    inliers = pin(attach(sized, winner, keys, "inner").filter(err <= tolerance).select(*keys, "x", "y", "u", "w", "_weight"))
+    inliers = pin(attach(sized, winner.select(*keys, "m0"), keys, "inner").filter(err <= tolerance).select(*keys, "x", "y", "u", "w", "_weight"))
     refit = fit_homography(inliers, keys, "_weight")
     n_in = inliers.groupBy(*keys).agg(F.sum("_weight").alias("n_inliers"))
     return (
-        counts.join(winner, keys, "left").join(refit, keys, "left").join(n_in, keys, "left")
+        counts.join(winner.select(*keys, "m0"), keys, "left").join(refit, keys, "left").join(n_in, keys, "left")
         .select(
             *keys, F.coalesce("m", "m0").alias("m"), "n_matches", F.coalesce("n_inliers", F.lit(0)).alias("n_inliers"),
             (F.coalesce("n_inliers", F.lit(0)) / F.col("n_matches")).alias("inlier_ratio"),

@@ -274,10 +274,26 @@ def descriptor_matches(t):
     return out.select("q_id", "t_id", r6("d1").alias("d1"), r6("d2").alias("d2"))
 
 
-@query("robust_homography", "F17", "select pair_id, count(*) as n_matches, true as found, true as most_agree from v_match group by 1")
+# a planted projective map, missed by the matches of three suppliers in ten
+MAP = (1.02, -0.05, 3.0, 0.04, 0.98, -2.0, 0.0005, 0.0002, 1.0)
+PLANTED = f"""
+p as (select l_returnflag as pair_id, l_suppkey % 10 < 3 as far, count(*) as n from lineitem group by 1, 2)
+select pair_id, sum(n) as n_matches, coalesce(sum(n) filter (where not far), 0) as n_inliers, {", ".join(f"{v} as m{i // 3}{i % 3}" for i, v in enumerate(MAP[:8]))}
+from p group by 1"""
+
+
+@query("robust_homography", "F17", "with " + PLANTED)
 def robust_homography(t):
-    out = R.robust_homography(v_match(t), ["pair_id"], tolerance=0.05)
-    return out.select("pair_id", "n_matches", F.col("m").isNotNull().alias("found"), (F.col("inlier_ratio") > 0.5).alias("most_agree"))
+    x, y, far = F.col("l_quantity").cast("double"), (F.col("l_discount") * 100).cast("double"), F.col("l_suppkey") % 10 < 3
+    d = MAP[6] * x + MAP[7] * y + 1
+    off = F.when(far, 10 + F.col("l_partkey") % 40).otherwise(0)
+    matches = t("lineitem").select(
+        F.col("l_returnflag").alias("pair_id"), x.alias("x"), y.alias("y"),
+        ((MAP[0] * x + MAP[1] * y + MAP[2]) / d + off).alias("u"), ((MAP[3] * x + MAP[4] * y + MAP[5]) / d - off).alias("w"),
+    )
+    out = R.robust_homography(matches, ["pair_id"], tolerance=0.05)
+    entries = [(F.round(F.get("m", F.lit(i)), 6) + 0).alias(f"m{i // 3}{i % 3}") for i in range(8)]
+    return out.select("pair_id", "n_matches", "n_inliers", *entries)
 
 
 @query("inlier_gate", "F18", """

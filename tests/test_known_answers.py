@@ -318,3 +318,33 @@ def test_the_registered_batch_runs_the_whole_search_on_all_pixels(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert Q._runs(t)[0].count() == v_px(t).count()
     assert not {"multiscale", "interior_ecc", "rotation_search", "scale_search"} & set(Q.SMALL)
+
+
+def test_homography_rounds_end_by_confidence(spark):
+    h = np.array([[1.02, -0.05, 7], [0.04, 0.98, -3], [1e-5, -2e-5, 1]])
+    rows = []
+    for name, wrong in (("clean", 10), ("mixed", 180), ("line", 0)):
+        p = RNG.uniform(0, 500, (300, 2))
+        if name == "line":
+            p[:, 1] = 2 * p[:, 0]
+        d = np.c_[p, np.ones(300)] @ h.T
+        u = d[:, :2] / d[:, 2:]
+        u[:wrong] = RNG.uniform(0, 500, (wrong, 2))
+        rows += [(name, *map(float, (*x, *y))) for x, y in zip(p, u)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, u double, w double")
+    soon = {r["k"]: r for r in register.robust_homography(df, ["k"], first_round=64).collect()}
+    whole = {r["k"]: r for r in register.robust_homography(df, ["k"], confidence=1 - 1e-15, n_hypotheses=2000, first_round=2000).collect()}
+    for k in ("clean", "mixed"):
+        assert np.allclose(np.array(soon[k]["m"]).reshape(3, 3), h, atol=1e-3) and soon[k]["n_inliers"] == whole[k]["n_inliers"]
+        assert np.allclose(soon[k]["m"], whole[k]["m"], atol=1e-6)
+    assert soon["line"]["m"] is None and soon["line"]["n_inliers"] == 0
+
+
+def test_neighbours_of_groups_with_their_own_cells(spark):
+    t = [("hot", i, *map(float, p)) for i, p in enumerate(np.r_[5 + RNG.normal(0, 1e-3, (500, 2)), [[9e4, 9e4]]])]
+    t += [("wide", i, *map(float, p)) for i, p in enumerate(RNG.uniform(0, 1e5, (40, 2)))]
+    q = [(g, i, *map(float, p)) for g in ("hot", "wide") for i, p in enumerate(np.r_[RNG.uniform(0, 1e5, (30, 2)), [[5.0, 5.0]]])]
+    qd, td = spark.createDataFrame(q, "k string, q_id bigint, x double, y double"), spark.createDataFrame(t, "k string, t_id bigint, x double, y double")
+    got = nearest_neighbours(qd, td, ["k"], max_per_cell=64).toPandas().set_index(["k", "q_id"])["dist"]
+    for g, i, x, y in q:
+        assert np.isclose(got[g, i], min(np.hypot(x - b, y - c) for k, _, b, c in t if k == g))
