@@ -200,14 +200,13 @@ def iterate_closest_points(
     for i in range(max_iter):
         thr = F.col("start") + (floor_px - F.col("start")) * (i / max(max_iter - 1, 1))
         active = state.filter("end = ''").select(*keys, M.compose(F.col("m"), F.col("before")).alias("m"), thr.alias("_thr"))
-        widest = active.agg(F.max("_thr")).first()[0]
-        if widest is None:
+        if is_empty(active):
             break
         # state is a written table of one row per pair: its joins follow its real size
         x, y = M.project(F.col("m"), F.col("x"), F.col("y"))
-        moved = pre.join(active, keys).select(*keys, F.col("q_id").alias("t_id"), x.alias("x"), y.alias("y"))
-        once = pin(moved.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id")))
-        near = _within(post.join(active.select(*keys), keys), once, keys, float(widest)).join(active.drop("m"), keys).filter(F.col("dist") < F.col("_thr"))
+        moved = pre.join(active, keys).select(*keys, F.col("q_id").alias("t_id"), x.alias("x"), y.alias("y"), "_thr")
+        once = pin(moved.groupBy(*keys, "x", "y").agg(F.min("t_id").alias("t_id"), F.first("_thr").alias("_thr")))
+        near = _within(post.join(active.select(*keys, "_thr"), keys), once, keys, F.col("_thr")).join(active.drop("m"), keys).filter(F.col("dist") < F.col("_thr"))
         fit = affine_from_matches(
             near.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("x").alias("u"), F.col("y").alias("w"), "dist"), keys,
             [F.avg("dist").alias("mean"), *[F.avg(k).alias(f"mean_{k}") for k in ("x", "y", "u", "w")]],

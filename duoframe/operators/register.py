@@ -217,8 +217,8 @@ def robust_homography(
     """keys, m, n_matches, n_inliers, inlier_ratio for matches (x, y) -> (u, w).
 
     Equal matches are collapsed first and vote with their number. Hypotheses come from
-    seeded samples of a pool of different matches, the first ones by hash, in rounds of growing
-    size. Every match votes on every hypothesis in chunks of bounded size. A pair is ready when
+    seeded samples, by how often each match occurs, of a pool of different matches, the first
+    ones by hash, in rounds of growing size. Every match votes on every hypothesis in chunks of bounded size. A pair is ready when
     a draw of four inliers has come with the given confidence, judged by its best inlier
     share so far, or after n_hypotheses draws; only the other pairs see another round. The
     winner is fitted again on all its inliers from sums. The result depends neither on the
@@ -244,7 +244,8 @@ def robust_homography(
             out = []
             if len(src) >= 4:
                 rng = np.random.default_rng([0, first])
-                draws = np.array([rng.choice(len(src), 4, replace=False) for _ in range(n)])
+                often = pdf["_weight"].to_numpy(float)
+                draws = np.array([rng.choice(len(src), 4, replace=False, p=often / often.sum()) for _ in range(n)])
                 out = [(*group, first + int(i), h.tolist()) for h, i in zip(*_solve_fours(src, dst, draws))]
             return pd.DataFrame(out, columns=[*keys, "i", "h"])
 

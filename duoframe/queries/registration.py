@@ -278,7 +278,7 @@ def descriptor_matches(t):
 MAP = (1.02, -0.05, 3.0, 0.04, 0.98, -2.0, 0.0005, 0.0002, 1.0)
 PLANTED = f"""
 p as (select l_returnflag as pair_id, l_suppkey % 10 < 3 as far, count(*) as n from lineitem group by 1, 2)
-select pair_id, sum(n) as n_matches, coalesce(sum(n) filter (where not far), 0) as n_inliers, {", ".join(f"{v} as m{i // 3}{i % 3}" for i, v in enumerate(MAP[:8]))}
+select pair_id, cast(sum(n) as bigint) as n_matches, cast(coalesce(sum(n) filter (where not far), 0) as bigint) as n_inliers, {", ".join(f"{v}::double as m{i // 3}{i % 3}" for i, v in enumerate(MAP[:8]))}
 from p group by 1"""
 
 

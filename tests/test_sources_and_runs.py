@@ -12,7 +12,7 @@ from duoframe.plans.batch import Store, run_batch, run_pair, suffixes
 from duoframe.sources import catalog as C
 from duoframe.sources import rasters as R
 from duoframe.sources import store as S
-from duoframe.streaming.newfiles import follow_new_files, new_tasks, read_catalogue
+from duoframe.streaming.newfiles import current_pairs, follow_new_files, follow_pairs, new_tasks, read_catalogue
 
 
 def write_tiff(path, rgb):
@@ -103,6 +103,25 @@ def test_stream_handles_each_file_once(spark, raw, tmp_path):
     assert [tuple(r) for r in new_tasks(rows, done).collect()] == [("a", "Cy5")]
 
 
+def test_late_files_complete_a_pair_once(spark, raw, tmp_path):
+    events, chk = str(tmp_path / "events"), str(tmp_path / "pairs-chk")
+
+    def run():
+        follow_pairs(spark, str(raw), events, chk).awaitTermination()
+        rows = spark.read.parquet(events)
+        return sorted((r["sample"], r["dye"], r["state"], r["version"]) for r in rows.collect())
+
+    first = run()
+    assert ("a", "Cy5") not in {x[:2] for x in first}
+    write_tiff(raw / "a" / "y_post_Cy5.tif", image(9))
+    assert run() == sorted([*first, ("a", "Cy5", "ok", 1)])  # by the state of the earlier run
+    assert run() == sorted([*first, ("a", "Cy5", "ok", 1)])
+    write_tiff(raw / "a" / "z_post_Cy5.tif", image(9))
+    assert run() == sorted([*first, ("a", "Cy5", "duplicate", 2), ("a", "Cy5", "ok", 1)])
+    last = current_pairs(spark, events).filter("dye = 'Cy5'").first()
+    assert (last["state"], last["n_pre"], last["n_post"]) == ("duplicate", 1, 2)
+
+
 def test_parameters(spark):
     with pytest.raises(ValueError, match="unknown parameter"):
         suffixes(spark, {"paddd": 3})
