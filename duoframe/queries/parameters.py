@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import v_files, v_log, v_manifest, v_params, v_result
+from ..fixtures import Tables, v_files, v_log, v_manifest, v_params, v_result
 from ..functions.text import human_bytes
 from ..plans import params as P
 from ..plans import reports as B
@@ -185,6 +185,28 @@ def new_tasks(t):
     return pending(pairs, done)
 
 
+class _Streamed(Tables):
+    """The same tables as streams."""
+
+    def __call__(self, name):
+        schema = super().__call__(name).schema
+        # a pattern, since a stream takes a folder or a pattern, and a table may be one file
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
+
+
+@query("streamed_pairs", "I10", """
+select sample, dye, case when n_pre > 1 or n_post > 1 then 'duplicate' else 'ok' end as state, n_pre, n_post,
+ split_part(pre_paths, ';', 1) as pre_path, first_post as post_path, 1 as version from v_pairs where n_pre > 0 and n_post > 0""")
+def streamed_pairs(t):
+    from ..session import work_dir
+    from ..streaming.newfiles import current_pairs, write_pair_events
+    import uuid
+
+    path = f"{work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    write_pair_events(C.classify_files(v_files(_Streamed(t.spark, t.folder))), f"{path}/events", f"{path}/checkpoint").awaitTermination()
+    return current_pairs(t.spark, f"{path}/events")
+
+
 def _runs(t):
     from ..fixtures import v_px
 
