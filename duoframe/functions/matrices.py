@@ -33,7 +33,7 @@ def compose(a: Column, b: Column) -> Column:
 
 
 def invert(m: Column) -> Column:
-    """inverse by cofactors, scaled so that the last entry is 1."""
+    """inverse by cofactors, scaled so that the last entry is 1; entries of null where there is none."""
     def cofactors(v: Column) -> Column:
         def minor(i: int, j: int) -> Column:
             r = [x for x in range(3) if x != i]
@@ -42,7 +42,7 @@ def invert(m: Column) -> Column:
 
         return F.array(*[minor(j, i) for i in range(3) for j in range(3)])
 
-    return let(let(m, cofactors), lambda adj: F.transform(adj, lambda x: x / at(adj, 2, 2)))
+    return let(let(m, cofactors), lambda adj: F.transform(adj, lambda x: F.try_divide(x, at(adj, 2, 2))))
 
 
 def rescale(m: Column, factor: Column | float) -> Column:

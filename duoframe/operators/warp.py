@@ -1,69 +1,140 @@
-"""Warping of sparse pixel tables through an inverse map."""
+"""Warping of sparse pixel tables through an inverse map, tile by tile of the output."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..session import attach, size_columns
 
+TILE = 256
+_MAP = [f"_m{i}" for i in range(9)]
 
-def _candidates(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame, reach: float) -> DataFrame:
-    """Each source pixel with the output cells whose source position lies within reach of it.
 
-    The source square around a pixel is taken through the inverse of the map; the
-    output cells in the bounding box of its corners are the only candidates. For a map
-    that is close to a similarity of scale s this is about ((2 * reach + 1) / s)^2 cells.
+def _span(ends: Column, whole: Column, size: str, tile: int) -> Column:
+    """Output tiles of one axis between the ends of a box; none where the box holds no cell of the frame."""
+    last = F.col(size) - 1.0
+    lo = F.when(whole, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.ceil(F.least(F.array_min(ends) - 1e-6, F.col(size) * 1.0))))
+    hi = F.when(whole, last).otherwise(F.least(last, F.floor(F.greatest(F.array_max(ends) + 1e-6, F.lit(-1.0)))))
+    # a missing map has no box
+    return F.when(lo <= hi, F.sequence(F.floor(lo / tile).cast("int"), F.floor(hi / tile).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _routed(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame, reach: float, tile: int) -> DataFrame:
+    """Each source pixel once per output tile with cells whose source position may lie within reach of it.
+
+    The square around a pixel is taken through the inverse of the map. While all its corners lie
+    on one side of the horizon, the cells that sample it are in the bounding box of their images;
+    a square on the horizon goes to every tile of the frame. A pixel that no cell samples, as most
+    where the map shrinks, stops here, so a tile meets little more than four pixels per cell.
     """
     on = [k for k in keys if k in transforms.columns]
-    maps = transforms.select(*on, F.col("m").alias("_m"), M.invert(F.col("m")).alias("_back"))
+    entries = [F.get(F.col("m"), F.lit(i)).alias(n) for i, n in enumerate(_MAP)]
+    maps = transforms.select(*on, *entries, M.invert(F.col("m")).alias("_back"))
     src = attach(size_columns(px, shape, keys), maps, on, "inner")
+    back = lambda i, x, y: M.at(F.col("_back"), i, 0) * x + M.at(F.col("_back"), i, 1) * y + M.at(F.col("_back"), i, 2)
     corners = F.array(*[
-        F.struct(*M.project(F.col("_back"), F.col("c") + dx, F.col("r") + dy))
+        F.struct(*[back(i, F.col("c") + dx, F.col("r") + dy).alias(n) for i, n in enumerate("xyw")])
         for dx in (-reach, reach) for dy in (-reach, reach)
     ])
-    src = src.withColumn("_q", corners)
-    axis = lambda i: F.transform("_q", lambda q: q[f"col{i}"])
-    span = lambda i, size: F.struct(
-        F.greatest(F.lit(0.0), F.ceil(F.array_min(axis(i)) - 1e-6)).cast("int").alias("lo"),
-        F.least(F.col(size) - 1.0, F.floor(F.array_max(axis(i)) + 1e-6)).cast("int").alias("hi"),
-    )
-    cells = lambda s: F.explode(F.when(F.col(s)["lo"] <= F.col(s)["hi"], F.sequence(F.col(s)["lo"], F.col(s)["hi"])))
+    least, most = (f(F.transform("_q", lambda q: q["w"])) for f in (F.array_min, F.array_max))
+    horizon = least * most <= 1e-18
+    ends = lambda n: F.transform("_q", lambda q: F.try_divide(q[n], q["w"]))
     return (
-        src.withColumn("_sx", span(1, "width")).withColumn("_sy", span(2, "height"))
-        .withColumn("_oy", cells("_sy")).withColumn("_ox", cells("_sx"))
+        src.withColumn("_q", corners).withColumn("_tr", F.explode(_span(ends("y"), horizon, "height", tile)))
+        .withColumn("_tc", F.explode(_span(ends("x"), horizon, "width", tile))).drop("_q", "_back")
     )
 
 
-def warp_bilinear(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame) -> DataFrame:
-    """out(x, y) = in(m * (x, y, 1)), bilinear, 0 outside the frame.
+def _positions(pdf: pd.DataFrame, tr: int, tc: int, tile: int) -> tuple[np.ndarray, ...]:
+    """Rows and columns of the cells of an output tile, and the source position of each; -9 for none."""
+    m = [float(pdf[n].iloc[0]) for n in _MAP]
+    height, width = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+    r, c = np.mgrid[tr * tile: min((tr + 1) * tile, height), tc * tile: min((tc + 1) * tile, width)]
+    r, c = r.ravel(), c.ravel()
+    w = m[6] * c + m[7] * r + m[8]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, y = (m[0] * c + m[1] * r + m[2]) / w, (m[3] * c + m[4] * r + m[5]) / w
+    there = (np.abs(x) < 1 << 30) & (np.abs(y) < 1 << 30)
+    return r, c, np.where(there, x, -9.0), np.where(there, y, -9.0)
 
-    transforms has the pair keys and m. Every stored pixel hands its weighted value to
-    the few output cells that sample it, so neither the output grid is generated nor is
-    there a join on coordinates: one map-side combined sum does the resampling.
-    """
-    near = _candidates(px, keys, shape, transforms, 1.0)
-    x, y = M.project(F.col("_m"), F.col("_ox"), F.col("_oy"))
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(x - F.col("c"))) * F.greatest(F.lit(0.0), 1 - F.abs(y - F.col("r")))
-    return (
-        near.withColumn("_w", weight).filter("_w > 0")
-        .groupBy(*keys, F.col("_oy").alias("r"), F.col("_ox").alias("c"))
-        .agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-    )
 
+def _place(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (np.asarray(r, np.int64) << 32) + np.asarray(c, np.int64)
 
-def warp_nearest(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame) -> DataFrame:
-    """The same map with the value of the nearest source pixel (for masks and rings)."""
-    near = _candidates(px, keys, shape, transforms, 0.5)
-    x, y = M.project(F.col("_m"), F.col("_ox"), F.col("_oy"))
-    hit = (F.floor(x + 0.5) == F.col("c")) & (F.floor(y + 0.5) == F.col("r"))
-    return near.filter(hit).select(
-        *keys, F.col("_oy").alias("r"), F.col("_ox").alias("c"),
-        *[k for k in px.columns if k not in (*keys, "r", "c")],
-    )
+
+def _per_tile(routed: DataFrame, keys: list[str], kernel: Callable, columns: Sequence[str]) -> DataFrame:
+    """Rows (r, c, columns) that the kernel makes of the pixels of each output tile."""
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in routed.select(*keys).schema) + "r int, c int"
+    ddl += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in routed.select(*columns).schema)
+
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(pdf, group[-2], group[-1])
+        own = {k: pd.Series([v] * len(out["r"]), dtype=object) for k, v in zip(keys, group)}
+        return pd.DataFrame({**own, **out})
+
+    return routed.groupBy(*keys, "_tr", "_tc").applyInPandas(run, ddl)
+
+
+def warp_bilinear(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame, tile: int = TILE) -> DataFrame:
+    """out(x, y) = in(m * (x, y, 1)), bilinear, 0 outside the frame.
+
+    transforms has the pair keys and m. A stored pixel goes to the output tiles that sample it,
+    for most maps to one; each tile is then sampled as arrays. Neither the output grid is
+    generated as rows, nor is there a join on coordinates or a sum per cell. Repeated pixels
+    count together, a missing value not at all; a pair without a map has no output.
+    """
+    keys = list(keys)
+    stored = px.filter("v is not null").select(*keys, "r", "c", F.col("v").cast("double").alias("v"))
+    routed = _routed(stored, keys, shape, transforms, 1.0, tile)
+
+    def kernel(pdf: pd.DataFrame, tr: int, tc: int) -> dict:
+        r, c, x, y = _positions(pdf, tr, tc, tile)
+        at, which = np.unique(_place(pdf["r"], pdf["c"]), return_inverse=True)
+        v = np.bincount(which, pdf["v"].to_numpy(float))
+        x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+        fx, fy = x - x0, y - y0
+        out, any_ = np.zeros(len(r)), np.zeros(len(r), bool)
+        for i, wy in ((0, 1 - fy), (1, fy)):
+            for j, wx in ((0, 1 - fx), (1, fx)):
+                want = _place(y0 + i, x0 + j)
+                pos = np.minimum(np.searchsorted(at, want), len(at) - 1)
+                hit = (at[pos] == want) & (wx * wy > 0)
+                out[hit] += (wx * wy)[hit] * v[pos[hit]]
+                any_ |= hit
+        return {"r": r[any_], "c": c[any_], "v": out[any_]}
+
+    return _per_tile(routed, keys, kernel, ["v"])
+
+
+def warp_nearest(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame, tile: int = TILE) -> DataFrame:
+    """The same map with all columns of the nearest source pixel (for masks and rings).
+
+    Rows of a tile are picked by number, so further columns keep their types; repeated pixels
+    are repeated in the output.
+    """
+    keys = list(keys)
+    more = [k for k in px.columns if k not in (*keys, "r", "c")]
+    routed = _routed(px, keys, shape, transforms, 0.5, tile)
+
+    def kernel(pdf: pd.DataFrame, tr: int, tc: int) -> dict:
+        r, c, x, y = _positions(pdf, tr, tc, tile)
+        at = _place(pdf["r"], pdf["c"])
+        order = np.argsort(at, kind="stable")
+        want = _place(np.floor(y + 0.5), np.floor(x + 0.5))
+        first, last = np.searchsorted(at[order], want, "left"), np.searchsorted(at[order], want, "right")
+        n = last - first  # repeated pixels are repeated in the output
+        cell = np.repeat(np.arange(len(r)), n)
+        row = order[first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)]
+        picked = pdf[more].iloc[row].reset_index(drop=True)
+        return {"r": r[cell], "c": c[cell], **{k: picked[k] for k in more}}
+
+    return _per_tile(routed, keys, kernel, more)
 
 
 def shift_image(px: DataFrame, keys: Sequence[str], shape, offsets: DataFrame) -> DataFrame:

@@ -120,6 +120,36 @@ def test_warp_identity_and_round_trip(spark):
     assert np.allclose(to_array(back, a.shape), a)
 
 
+@pytest.mark.parametrize("m", [
+    [1, 0, 0, 0, 1, 0, 0, 0, 1], [0.2, 0.05, 3, -0.04, 0.3, 8, 0, 0, 1], [9.0, 0.4, 1, -0.3, 7.0, 2, 0, 0, 1],
+    [1.0, 0.1, 2, 0.05, 0.9, 4, 0.02, 0.03, -1.0],  # the horizon crosses the frame
+    [0.6, -0.8, 20, 0.8, 0.6, -9, 0.004, -0.006, 1.0],
+])
+def test_warp_by_tiles_equals_brute_force(spark, m):
+    h, w = 50, 37
+    a = np.where(RNG.random((h, w)) < 0.7, RNG.integers(1, 200, (h, w)), 0).astype(float)
+    px = spark.createDataFrame([("a", int(r), int(c), float(a[r, c]), f"{r}/{c}") for r, c in zip(*np.nonzero(a))], "f string, r int, c int, v double, t string")
+    maps = spark.createDataFrame([("a", [float(x) for x in m]), ("none", None)], "f string, m array<double>")
+    r, c = np.mgrid[:h, :w].astype(float)
+    d = m[6] * c + m[7] * r + m[8]
+    with np.errstate(all="ignore"):
+        x, y = (m[0] * c + m[1] * r + m[2]) / d, (m[3] * c + m[4] * r + m[5]) / d
+    want, near = np.zeros((h, w)), {}
+    for i, j in np.ndindex(h, w):
+        if not (abs(x[i, j]) < 1e6 and abs(y[i, j]) < 1e6):
+            continue
+        for p in range(int(np.floor(y[i, j])), int(np.floor(y[i, j])) + 2):
+            for q in range(int(np.floor(x[i, j])), int(np.floor(x[i, j])) + 2):
+                if 0 <= p < h and 0 <= q < w:
+                    want[i, j] += a[p, q] * max(0, 1 - abs(x[i, j] - q)) * max(0, 1 - abs(y[i, j] - p))
+        p, q = int(np.floor(y[i, j] + 0.5)), int(np.floor(x[i, j] + 0.5))
+        if 0 <= p < h and 0 <= q < w and a[p, q]:
+            near[i, j] = f"{p}/{q}"
+    for tile in (16, 256):
+        assert np.allclose(to_array(warp.warp_bilinear(px, ["f"], (h, w), maps, tile).drop("t"), (h, w)), want)
+        assert {(g["r"], g["c"]): g["t"] for g in warp.warp_nearest(px, ["f"], (h, w), maps, tile).collect()} == near
+
+
 @pytest.mark.parametrize("bins", [4096, 5])
 def test_narrowed_percentiles_are_exact(spark, monkeypatch, bins):
     """Heavy tails, both signs, ties, one value, extremes; with few parts a round, many rounds are needed."""
