@@ -6,48 +6,42 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..session import attach, size_columns
 
 TILE = 256
-_MAP = [f"_m{i}" for i in range(9)]
-
-
-def _span(ends: Column, whole: Column, size: str, tile: int) -> Column:
-    """Output tiles of one axis between the ends of a box; none where the box holds no cell of the frame."""
-    last = F.col(size) - 1.0
-    lo = F.when(whole, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.ceil(F.least(F.array_min(ends) - 1e-6, F.col(size) * 1.0))))
-    hi = F.when(whole, last).otherwise(F.least(last, F.floor(F.greatest(F.array_max(ends) + 1e-6, F.lit(-1.0)))))
-    # a missing map has no box
-    return F.when(lo <= hi, F.sequence(F.floor(lo / tile).cast("int"), F.floor(hi / tile).cast("int"))).otherwise(F.array().cast("array<int>"))
+_MAP, _BACK = ([f"{name}{i}" for i in range(9)] for name in ("_map", "_back"))
 
 
 def _routed(px: DataFrame, keys: Sequence[str], shape, transforms: DataFrame, reach: float, tile: int) -> DataFrame:
     """Each source pixel once per output tile with cells whose source position may lie within reach of it.
 
-    The square around a pixel is taken through the inverse of the map. While all its corners lie
-    on one side of the horizon, the cells that sample it are in the bounding box of their images;
-    a square on the horizon goes to every tile of the frame. A pixel that no cell samples, as most
-    where the map shrinks, stops here, so a tile meets little more than four pixels per cell.
+    Cells are looked for around the image of the pixel under the inverse of the map. While the square
+    of the pixel lies on one side of the horizon, its image ends at most du and dv away; a square on
+    the horizon goes to every tile of the frame. A pixel that no cell samples, as most where the map
+    shrinks, stops here, so a tile meets little more than four pixels per cell.
     """
     on = [k for k in keys if k in transforms.columns]
-    entries = [F.get(F.col("m"), F.lit(i)).alias(n) for i, n in enumerate(_MAP)]
-    maps = transforms.select(*on, *entries, M.invert(F.col("m")).alias("_back"))
-    src = attach(size_columns(px, shape, keys), maps, on, "inner")
-    back = lambda i, x, y: M.at(F.col("_back"), i, 0) * x + M.at(F.col("_back"), i, 1) * y + M.at(F.col("_back"), i, 2)
-    corners = F.array(*[
-        F.struct(*[back(i, F.col("c") + dx, F.col("r") + dy).alias(n) for i, n in enumerate("xyw")])
-        for dx in (-reach, reach) for dy in (-reach, reach)
-    ])
-    least, most = (f(F.transform("_q", lambda q: q["w"])) for f in (F.array_min, F.array_max))
-    horizon = least * most <= 1e-18
-    ends = lambda n: F.transform("_q", lambda q: F.try_divide(q[n], q["w"]))
+    entry = lambda m, names: [F.get(m, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    maps = transforms.withColumn("_back", M.invert(F.col("m"))).select(*on, *entry(F.col("m"), _MAP), *entry(F.col("_back"), _BACK))
+    src = attach(size_columns(px, shape, keys), maps.filter(F.col(_BACK[8]).isNotNull()), on, "inner")
+    a, b, e, c, d, f, g, h, i = (F.col(n) for n in _BACK)
+    src = src.withColumn("_w", g * F.col("c") + h * F.col("r") + i)
+    src = src.withColumn("_least", F.abs("_w") - reach * (F.abs(g) + F.abs(h))).withColumn("_beyond", F.col("_least") < 1e-9)
+    w = F.when(~F.col("_beyond"), F.col("_w"))
+    src = src.withColumn("_u", (a * F.col("c") + b * F.col("r") + e) / w).withColumn("_v", (c * F.col("c") + d * F.col("r") + f) / w)
+    wide = lambda at, p, q: reach * (F.abs(p - F.col(at) * g) + F.abs(q - F.col(at) * h)) / F.greatest("_least", F.lit(1e-9)) + 1e-6
+    src = src.withColumn("_du", wide("_u", a, b)).withColumn("_dv", wide("_v", c, d))
+    lo = lambda at, size: F.when(F.col("_beyond"), 0.0).otherwise(F.least(F.greatest(F.ceil(F.col(f"_{at}") - F.col(f"_d{at}")), F.lit(0.0)), F.col(size) * 1.0))
+    hi = lambda at, size: F.when(F.col("_beyond"), F.col(size) - 1.0).otherwise(F.greatest(F.least(F.floor(F.col(f"_{at}") + F.col(f"_d{at}")), F.col(size) - 1.0), F.lit(-1.0)))
+    src = src.select(*px.columns, "height", "width", *_MAP, lo("u", "width").alias("_left"), hi("u", "width").alias("_right"), lo("v", "height").alias("_top"), hi("v", "height").alias("_bottom"))
+    tiles = lambda first, last: F.explode(F.sequence(*[F.floor(F.col(n) / tile).cast("int") for n in (first, last)]))
     return (
-        src.withColumn("_q", corners).withColumn("_tr", F.explode(_span(ends("y"), horizon, "height", tile)))
-        .withColumn("_tc", F.explode(_span(ends("x"), horizon, "width", tile))).drop("_q", "_back")
+        src.filter("_left <= _right and _top <= _bottom").withColumn("_tr", tiles("_top", "_bottom")).withColumn("_tc", tiles("_left", "_right"))
+        .drop("_left", "_right", "_top", "_bottom")
     )
 
 
