@@ -73,6 +73,21 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
 
+def guarded(step: Callable, keys: Sequence[str], columns: Sequence[str]) -> Callable:
+    """The grouped step with a column error: a group whose data it cannot handle gives one row of its keys and the message.
+
+    Only errors of the data count; a lost worker or a lack of memory still ends the task, and Spark runs it again.
+    """
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return step(group, pdf).assign(error=None)
+        except (ArithmeticError, LookupError, ValueError) as e:
+            row = {**dict.fromkeys(columns), **dict(zip(keys, group)), "error": f"{type(e).__name__}: {e}"[:200]}
+            return pd.DataFrame([row], columns=[*columns, "error"], dtype=object)
+
+    return run
+
+
 def search_candidates(
     rotation_search: bool = True, angle_range: float = 20, angle_step: float = 1,
     scale_search: bool = True, scale_min: float = 0.85, scale_max: float = 1.15, scale_step: float = 0.05,
@@ -89,10 +104,11 @@ def coarse_search(
     rings: DataFrame, keys: Sequence[str], shape: tuple[int, int], candidates: list[tuple[float, float]] | None = None,
     per_task: int = 16,
 ) -> DataFrame:
-    """response of every candidate: keys, i, scale, angle, cx, cy, dx, dy, response.
+    """response of every candidate: keys, i, scale, angle, cx, cy, dx, dy, response, error.
 
     rings: keys, kind, r, c, v on the coarse grid. The candidates of a pair are spread over
-    many tasks, per_task each; a task holds two coarse frames.
+    many tasks, per_task each; a task holds two coarse frames. A task that cannot handle its
+    frames gives one row with an error and no candidate; those of other pairs are not affected.
     """
     keys, cand = list(keys), candidates or search_candidates()
     pivot = centroid(rings.filter("kind = 'pre' and v > 0"), keys, shape, rings)
@@ -110,19 +126,21 @@ def coarse_search(
             s, a = cand[i]
             turned = f["pre"] if s == 1.0 and a == 0.0 else _turned(f["pre"], a, s, cx, cy)
             rows.append((*group[:-1], i, s, a, cx, cy, *_correlate(post, turned)))
-        return pd.DataFrame(rows, columns=[*keys, "i", "scale", "angle", "cx", "cy", "dx", "dy", "response"])
+        return pd.DataFrame(rows, columns=columns)
 
+    columns = [*keys, "i", "scale", "angle", "cx", "cy", "dx", "dy", "response"]
     return spread.groupBy(*keys, "_task").applyInPandas(
-        run, _ddl(rings, keys) + "i int, scale double, angle double, cx double, cy double, dx double, dy double, response double"
+        guarded(run, keys, columns),
+        _ddl(rings, keys) + "i int, scale double, angle double, cx double, cy double, dx double, dy double, response double, error string",
     )
 
 
 def best_candidate(responses: DataFrame, keys: Sequence[str], by_scale: bool = False) -> DataFrame:
     """candidate with the highest response per pair (or per pair and scale), the first on a tie."""
     group = [*keys, "scale"] if by_scale else list(keys)
-    cols = [c for c in responses.columns if c not in group]
+    cols = [c for c in responses.columns if c not in (*group, "error")]
     best = F.max_by(F.struct(*cols), F.struct(F.col("response"), -F.col("i")))
-    return responses.groupBy(*group).agg(best.alias("b")).select(*group, "b.*")
+    return responses.filter("response is not null").groupBy(*group).agg(best.alias("b")).select(*group, "b.*")
 
 
 def register_outline(
@@ -133,18 +151,21 @@ def register_outline(
     """inverse map m per pair from outline search and closest points, with diagnostics.
 
     px: keys, kind, r, c, v at full resolution. Without multiscale the identity is returned.
-    The point step is dropped where its correction fails the sanity gate.
+    The point step is dropped where its correction fails the sanity gate. Every pair of px has a
+    row; one without an outline, or whose search met an error, has no map and the reason in error.
     """
     keys = list(keys)
     if not multiscale:
-        return px.select(*keys).distinct().select(*keys, M.identity().alias("m"), F.lit("identity").alias("outcome"))
+        return px.select(*keys).distinct().select(*keys, M.identity().alias("m"), F.lit("identity").alias("outcome"), F.lit(None).cast("string").alias("error"))
     coarse = min(max(down_scale * 0.25, 0.02), 1.0)
     small_shape = downsampled_shape(*shape, 1 / coarse)
     side = [*keys, "kind"]
     small = pin(area_downsample(px, side, shape, 1 / coarse))
     eq = match_histograms(small, keys, levels=levels).select(*side, "r", "c", F.col("matched").alias("v"))
     rings = pin(boundary_ring(eq, side, small_shape, boundary_width, boundary_smooth))
-    hit = pin(best_candidate(coarse_search(rings, keys, small_shape, candidates), keys))
+    responses = pin(coarse_search(rings, keys, small_shape, candidates))
+    wrong = pin(responses.filter("error is not null").groupBy(*keys).agg(F.max("error").alias("error")))
+    hit = pin(best_candidate(responses.join(wrong, keys, "left_anti"), keys))
     found = [F.col(n) for n in ("angle", "scale", "cx", "cy", "dx", "dy")]
     first = pin(hit.select(*keys, "angle", "scale", "response", M.similarity_inverse_map(*found, 1.0).alias("m_coarse"), M.similarity_inverse_map(*found, coarse).alias("m0")))
     # outer contours of the hard rings; distances below are in cells of the coarse grid
@@ -157,10 +178,12 @@ def register_outline(
     whole = first.join(icp, keys, "left").withColumn("m", lifted(F.col("m"))).withColumn("before", lifted(F.col("before")))
     checked = sanity_gate(whole, **(gate or {}))
     final = F.when(F.col("accepted"), M.compose(F.col("m0"), M.compose(M.invert(F.col("before")), M.invert(F.col("m"))))).otherwise(F.col("m0"))
-    return pin(checked.select(
+    fine = checked.select(
         *keys, final.alias("m"), F.when(F.col("accepted"), "refined").otherwise("coarse only").alias("outcome"),
         "angle", "scale", "response", (F.col("mean_distance") / coarse).alias("mean_distance"), "rounds", F.array_join("reasons", "; ").alias("reasons"),
-    ))
+    )
+    every = small.select(*keys).distinct().join(wrong, keys, "left").join(fine, keys, "left")
+    return pin(every.select(*fine.columns, F.when(F.col("m").isNull(), F.coalesce("error", F.lit("no outline to search with"))).alias("error")))
 
 
 def prealign_translation(px: DataFrame, keys: Sequence[str], shape, cells: int = CELLS) -> DataFrame:

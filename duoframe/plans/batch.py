@@ -101,7 +101,9 @@ def run_batch(
 
     px: sample, dye, kind, r, c, v (gray raw pixels); frames: sample, dye, kind, height, width.
     Every stage is one grouped job over the tasks that still need it. A task that cannot
-    go on gets an error status and leaves the others alone. The last stage also writes the
+    go on gets an error status and leaves the others alone: one whose file could not be read
+    (column error of frames, if there is one), without frame size, with pixels outside its frame or
+    values that are not finite, without signal on a side, or whose outline search failed. The last stage also writes the
     tables of the diagnostics, stage 3 those of the interior fits.
     """
     spark = px.sparkSession
@@ -116,11 +118,24 @@ def run_batch(
         planned = plan_stages(tasks, store.manifest(suf), first, last, force)
         return pin(planned.filter((F.col("stage") == stage) & F.col("run")).select(*KEYS).join(ready, KEYS, "left_semi"))
 
-    # a task needs signal on both sides
-    sides = pin(px.filter("v > 0").join(tasks, KEYS, "left_semi").groupBy(*KEYS).agg(
-        F.count_if(F.col("kind") == "post").alias("n_post"), F.count_if(F.col("kind") == "pre").alias("n_pre")
+    # what a task has, and what keeps it from running, in one pass over the pixels
+    listed = frames.join(tasks, KEYS, "left_semi")
+    text = F.col("error") if "error" in frames.columns else F.lit(None).cast("string")
+    unread = pin(listed.groupBy(*KEYS).agg(F.max(text).alias("unread")).filter("unread is not null"))
+    size = listed.groupBy(*KEYS, "kind").agg(F.max("height").alias("_height"), F.max("width").alias("_width"))
+    within = F.col("r").between(0, F.col("_height") - 1) & F.col("c").between(0, F.col("_width") - 1)
+    v = F.col("v").cast("double")
+    fault = (
+        F.when(F.col("_height").isNull() | F.col("_width").isNull(), "no frame size")
+        .when(~F.coalesce(within, F.lit(False)), "pixels outside the frame")
+        .when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "values that are not finite")
+    )
+    sides = pin(attach(px.join(tasks, KEYS, "left_semi"), size, [*KEYS, "kind"]).groupBy(*KEYS).agg(
+        F.count_if((F.col("kind") == "post") & (v > 0)).alias("n_post"), F.count_if((F.col("kind") == "pre") & (v > 0)).alias("n_pre"),
+        F.max(fault).alias("fault"),
     ))
-    ready = pin(sides.filter("n_post > 0 and n_pre > 0").select(*KEYS))
+    ready = pin(sides.filter("n_post > 0 and n_pre > 0 and fault is null").select(*KEYS).join(unread, KEYS, "left_anti"))
+    failed = []
     canvas = pin(pad_to_common_canvas(frames.join(tasks, KEYS, "left_semi"), KEYS, given["pad"]).select(*KEYS, "height", "width").distinct())
     # pairs of one canvas size run together; scanners produce few sizes
     shapes = [(r["height"], r["width"]) for r in canvas.join(ready, KEYS, "left_semi").select("height", "width").distinct().toLocalIterator()]
@@ -148,6 +163,8 @@ def run_batch(
                 both(part, 1, suf[1]), KEYS, s, given["down_scale"], given["boundary_width"], given["boundary_smooth"],
                 cand, given["multiscale"], gate,
             )
+            failed.append(maps.filter("m is null").select(*KEYS, F.concat(F.lit("error: outline: "), "error").alias("failure")))
+            maps = maps.filter("m is not null")
             store.write_transforms(maps, 2, suf[2])
             write_stage(warp_bilinear(store.raster(part, 1, "pre", suf[1]), KEYS, s, maps), store.rasters, 2, "pre", suf[2])
     if last >= 3:
@@ -180,7 +197,9 @@ def run_batch(
                 write_stage(diff.filter(F.col("label") == label), store.rasters, 4, name, suf[4])
             if diagnostics:
                 write_diagnostics(store, pin(aligned.join(new, KEYS, "left_semi")), canvas, scales, suf[4])
-    done = tasks.join(sides, KEYS, "left")
+    done = tasks.join(sides, KEYS, "left").join(unread, KEYS, "left")
+    none = spark.createDataFrame([], done.select(*KEYS).schema).withColumn("failure", F.lit(None).cast("string"))
+    done = done.join(union_all(none, *failed), KEYS, "left")
     if scales is None:
         scales = spark.createDataFrame([], "sample string, dye string, label string, scale double")
     pick = lambda cond: F.max(F.when(cond, F.col("scale")))
@@ -190,9 +209,10 @@ def run_batch(
         pick(F.col("label") == "manual").alias("manual_scale"),
     )
     status = (
-        F.when(F.col("n_post").isNull(), "error: no raw pixels")
+        F.when(F.col("unread").isNotNull(), F.concat(F.lit("error: "), "unread"))
+        .when(F.col("n_post").isNull(), "error: no raw pixels").when(F.col("fault").isNotNull(), F.concat(F.lit("error: "), "fault"))
         .when(F.col("n_post") == 0, "error: post frame has no signal").when(F.col("n_pre") == 0, "error: pre frame has no signal")
-        .when(F.lit(last < P.MAX_STAGE), "stopped early")
+        .when(F.col("failure").isNotNull(), F.col("failure")).when(F.lit(last < P.MAX_STAGE), "stopped early")
         .when(F.col("scale_estimate").isNull(), "error: no overlap of post and pre").otherwise("complete")
     )
     return done.join(per_task, KEYS, "left").select(*KEYS, "scale_estimate", "scale_percentile_value", "manual_scale", status.alias("status"))

@@ -156,8 +156,12 @@ def planted(spark, shift=(3, -2)):
     pre = np.roll(base, shift, (0, 1))
     post = np.rint(1.3 * base)
     rows = [("s1", "DAPI", k, int(i), int(j), float(a[i, j])) for k, a in (("post", post), ("pre", pre)) for i, j in zip(*np.nonzero(a))]
+    # pairs that cannot run: a pixel outside the frame, values that are no numbers, no frame, a file that could not be read
+    rows += [("out", "DAPI", k, 96, 3, 7.0) for k in ("post", "pre")] + [("nan", "DAPI", k, 4, 3, float("nan")) for k in ("post", "pre")]
+    rows += [(s, "DAPI", k, 4, 3, 7.0) for s in ("sizeless", "torn") for k in ("post", "pre")]
     px = spark.createDataFrame(rows + [("s2", "DAPI", "post", 1, 1, 5.0)], "sample string, dye string, kind string, r int, c int, v double")
     frames = px.select("sample", "dye", "kind").distinct().withColumn("height", F.lit(96)).withColumn("width", F.lit(96))
+    frames = frames.filter("sample <> 'sizeless'").withColumn("error", F.when((F.col("sample") == "torn") & (F.col("kind") == "pre"), "strip 3 is damaged"))
     return px, frames
 
 
@@ -166,12 +170,14 @@ OPTIONS = dict(pad=16, rotation_search=False, scale_search=False, boundary_width
 
 def test_batch_aligns_scales_and_resumes(spark, tmp_path):
     px, frames = planted(spark)
-    tasks = spark.createDataFrame([("s1", "DAPI"), ("s2", "DAPI"), ("s3", "DAPI")], "sample string, dye string")
+    tasks = spark.createDataFrame([(s, "DAPI") for s in ("s1", "s2", "s3", "out", "nan", "sizeless", "torn")], "sample string, dye string")
     path = str(tmp_path / "out")
     res = {r["sample"]: r for r in run_batch(px, frames, tasks, path, OPTIONS).collect()}
     assert res["s1"]["status"] == "complete" and abs(res["s1"]["scale_estimate"] - 1.3) < 0.1
     assert res["s2"]["status"] == "error: pre frame has no signal"
     assert res["s3"]["status"] == "error: no raw pixels"
+    errors = {"out": "pixels outside the frame", "nan": "values that are not finite", "sizeless": "no frame size", "torn": "strip 3 is damaged"}
+    assert {s: res[s]["status"] for s in errors} == {s: f"error: {e}" for s, e in errors.items()}
     store, suf = Store(spark, path), suffixes(spark, OPTIONS)
     m = store.transforms(tasks, 3, suf[3]).first()["m"]
     assert abs(m[2] + 2) < 0.7 and abs(m[5] - 3) < 0.7
@@ -185,3 +191,14 @@ def test_batch_aligns_scales_and_resumes(spark, tmp_path):
         run_batch(px, frames, tasks, path, {**OPTIONS, "fine_ecc": True})
     again = run_pair(px, frames, "s1", "DAPI", path, params=OPTIONS).first()
     assert again["scale_estimate"] == res["s1"]["scale_estimate"]
+
+
+def test_a_pair_that_raises_in_the_search_leaves_the_others(spark):
+    from duoframe.operators.register import best_candidate, coarse_search
+
+    rows = [(s, k, r, 5 + r % 3 + (k == "pre"), 1.0) for s in ("good", "bad") for k in ("post", "pre") for r in range(4, 20)]
+    rows.append(("bad", "pre", 40, 2, 1.0))  # beyond the frame
+    rings = spark.createDataFrame(rows, "s string, kind string, r int, c int, v double")
+    got = coarse_search(rings, ["s"], (24, 24), [(1.0, 0.0), (1.0, 1.0)])
+    assert {r["s"]: (r["error"] or "")[:10] for r in got.collect()} == {"good": "", "bad": "IndexError"}
+    assert [(r["s"], round(r["dx"])) for r in best_candidate(got, ["s"]).collect()] == [("good", 1)]
