@@ -174,10 +174,24 @@ def _contours(t):
 
 @query("iterate_closest_points", "F10")
 def iterate_closest_points(t):
-    out = P.iterate_closest_points(*_contours(t), ["sample"], max_iter=6)
+    out = P.iterate_closest_points(*_contours(t), ["sample"])
     return out.select("sample", r6("mean_distance", 3).alias("mean_distance"), "rounds", "n_pairs", "ended_by")
 
 
+@query("closest_points_planted", "F10", """
+select sample, kind, round(64 + 1.01 * (cos(radians(a)) * (x - 64) - sin(radians(a)) * (y - 64)) + 0.5, 3) as x,
+ round(64 + 1.01 * (sin(radians(a)) * (x - 64) + cos(radians(a)) * (y - 64)) - 0.3, 3) as y, k
+from (select distinct sample, kind from v_px) f, (values (0, 64, 64), (1, 128, 64), (2, 96, 128)) p(k, x, y), (select -0.5::double as a) t""")
+def closest_points_planted(t):
+    """Points spread over every frame, and the same points turned, scaled and moved: the map between them comes back."""
+    post = pin(P.even_subsample(v_px(t), SK, 800).select(*SK, _id().alias("t_id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y")))
+    forward = M.compose(M.translation(0.5, -0.3), M.rotation_about(F.lit(0.5), F.lit(1.01), F.lit(64.0), F.lit(64.0)))
+    x, y = M.project(forward, F.col("x"), F.col("y"))
+    pre = post.select(*SK, F.col("t_id").alias("q_id"), x.alias("x"), y.alias("y"))
+    found = P.iterate_closest_points(pre, post, SK).select(*SK, M.invert(M.compose(F.col("m"), F.col("before"))).alias("m"))
+    return _positions(found, forward, 0.1, "kind")
+
+
 @query("decompose_matrix", "F11", f"""
 with {FIT} select pair_id, round(degrees(atan2(c, a)), 6) + 0 as angle, round(sqrt(a * a + c * c), 6) as scale_x, round(sqrt(b * b + d * d), 6) as scale_y,
  round((a * b + c * d) / (sqrt(a * a + c * c) * sqrt(b * b + d * d)), 6) + 0 as shear, 0.0::double as perspective, round(e, 6) + 0 as dx, round(h, 6) + 0 as dy from g""")
