@@ -391,6 +391,43 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert toxicity.grade_toxicity(odd, empty).filter("rejected or severity > 0").count() == 0
 
 
+def plain_name(word, size):
+    """The name of a word's first bytes, in whole numbers; the whole word and a start of the same bytes differ."""
+    full = 1 << 64
+    step = pow(int(0x9E3779B97F4A7C15), -1, full)
+    x = (sum((b + 1) * pow(step, i, full) for i, b in enumerate(word[:size])) + 2 * size + (size == len(word))) % full
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % full
+    return x ^ (x >> 32)
+
+
+def test_toxicity_equals_a_plain_scorer(spark, odd):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    weight = {int(n): float(w) for n, w in zip(model.names, model.weights)}
+    assert weight and (np.diff(model.cuts) > 0).all()
+    names = {}
+    both = docs.select("doc_id", "text").unionByName(odd.selectExpr("cast(doc_id + 1000000000 as bigint) as doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    got = toxicity.grade_toxicity(both, model).toPandas().set_index("doc_id")
+    seen = set()
+    for r in both.collect():
+        count = Counter()
+        for word in (w.encode() for w in words_of(r["text"])):
+            for size in [len(word)] + [k for k in (4, 6) if len(word) >= k]:
+                key = (word[:size], size == len(word))
+                if key not in names:
+                    names[key] = plain_name(word, size)
+                count[names[key]] += 1
+        score = sum(weight[f] * np.log1p(n) for f, n in count.items() if f in weight)
+        above = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        mass = [a - b for a, b in zip([1, *above], [*above, 0])]
+        row = got.loc[r["doc_id"]]
+        assert abs(row["severity"] - sum(above)) < 2e-6 and row["grade"] == int(np.argmax(mass))
+        assert row["rejected"] == (above[0] >= model.reject)
+        seen.add(row["grade"])
+    assert len(got) == both.count() and len(seen) > 1
+
+
 # -- secrets
 
 def brute_secrets(text):
