@@ -175,7 +175,8 @@ def local_zscore(
         return np.where(known, (d - mean) / spread, np.nan)
 
     z = tile_map(
-        diff, keys, shape, len(w) // 2, kernel, value="d", outputs=("z",), tile=tile, mode="reflect", absent=math.nan
+        diff, keys, shape, len(w) // 2, kernel, value="d", outputs=("z",), tile=tile, mode="reflect", absent=math.nan,
+        drop_zero=False,  # a listed cell at its local mean has z = 0 and keeps its row
     )
     return z.filter(F.col("z").isNotNull() & ~F.isnan("z"))
 

@@ -378,3 +378,10 @@ def test_neighbours_of_groups_with_their_own_cells(spark):
     got = nearest_neighbours(qd, td, ["k"], max_per_cell=64).toPandas().set_index(["k", "q_id"])["dist"]
     for g, i, x, y in q:
         assert np.isclose(got[g, i], min(np.hypot(x - b, y - c) for k, _, b, c in t if k == g))
+
+
+def test_local_zscore_keeps_cells_at_their_mean(spark):
+    """A flat difference, as between saturated frames, has z = 0 in every listed cell and no row elsewhere."""
+    flat = spark.createDataFrame([("a", r, c, 0.0) for r in range(12) for c in range(12) if (r, c) != (3, 4)], "f string, r int, c int, d double")
+    got = filters.local_zscore(flat, ["f"], (12, 12), 2.0, tile=8).toPandas()
+    assert len(got) == 143 and (got["z"] == 0).all() and not ((got["r"] == 3) & (got["c"] == 4)).any()
