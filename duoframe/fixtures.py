@@ -80,7 +80,8 @@ def v_rgb(t: Tables) -> DataFrame:
             (F.col("l_partkey") % 64).cast("int").alias("c"),
             F.when(k == 0, "R").when(k == 1, "G").otherwise("B").alias("ch"),
         )
-        .agg(F.least(F.lit(255), F.floor(F.sum(gain)).cast("int")).alias("v"))
+        # as decimals, since a sum of doubles next to a whole number would depend on the order of the rows
+        .agg(F.least(F.lit(255), F.floor(F.sum(gain.cast("decimal(18,6)"))).cast("int")).alias("v"))
     )
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duoframe.functions import fits
+from duoframe.fixtures import Tables, v_rgb
 from duoframe.functions import matrices as X
 from duoframe.operators import filters, masks, percentiles, pixels, register, scale, warp
 from duoframe.operators.components import components
@@ -385,3 +386,14 @@ def test_local_zscore_keeps_cells_at_their_mean(spark):
     flat = spark.createDataFrame([("a", r, c, 0.0) for r in range(12) for c in range(12) if (r, c) != (3, 4)], "f string, r int, c int, d double")
     got = filters.local_zscore(flat, ["f"], (12, 12), 2.0, tile=8).toPandas()
     assert len(got) == 143 and (got["z"] == 0).all() and not ((got["r"] == 3) & (got["c"] == 4)).any()
+
+
+def test_colour_frames_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Discounts that add up to a whole number do so in any order; sums of these doubles are 0.9999999999999999, 1 or 1.0000000000000002."""
+    for i, gains in enumerate(itertools.permutations([0.1, 0.2, 0.3, 0.4])):
+        rows = [("A", "F", 0, 0, 2, 5.0, x) for x in gains] + [("A", "F", 1, 0, 2, 5.0, x) for x in [0.1] * 10]
+        df = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert [r.v for r in v_rgb(Tables(spark, f"{tmp_path}/{i}")).collect()] == [1, 1]
+        if i == 3:
+            break
