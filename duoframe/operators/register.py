@@ -17,7 +17,7 @@ from .histograms import match_histograms
 from .masks import outer_contour_of_largest, pixels_to_runs
 from .matching import ratio_test, two_nearest
 from .percentiles import percentiles
-from .phase import CELLS, phase_shift
+from .phase import CELLS, full_response, phase_shift, window_of_known
 from .pixels import stretch_to_8bit
 from .points import centroid, even_subsample, iterate_closest_points, sanity_gate
 from .rings import boundary_ring
@@ -27,7 +27,7 @@ from .warp import warp_bilinear
 
 
 def _correlate(fa: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Displacement (dx, dy) of b against a, whose transform is fa, and the peak strength."""
+    """Displacement (dx, dy) of b against a, whose transform is fa, and the peak strength as a share of that of a against itself."""
     cross = np.conj(fa) * np.fft.rfft2(b)
     size = np.abs(cross)
     # only phases count, so neither frame needs a common brightness; what is nothing but rounding stays out
@@ -41,7 +41,9 @@ def _correlate(fa: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
         return 0.0, 0.0, 0.0
     y, x = float((w.sum(1) * rows).sum() / total), float((w.sum(0) * cols).sum() / total)
     wrap = lambda v, n: v - n if v > n / 2 else v
-    return wrap(x, b.shape[1]), wrap(y, b.shape[0]), float(total)
+    own = np.abs(fa) ** 2
+    full = full_response(window_of_known((own > max(1e-15 * own.max(), 1e-300)).astype(float), *b.shape))
+    return wrap(x, b.shape[1]), wrap(y, b.shape[0]), float(total) / full
 
 
 def _turned(im: np.ndarray, angle: float, scale: float, cx: float, cy: float) -> np.ndarray:

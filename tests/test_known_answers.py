@@ -397,3 +397,11 @@ def test_colour_frames_do_not_depend_on_the_order_of_rows(spark, tmp_path):
         assert [r.v for r in v_rgb(Tables(spark, f"{tmp_path}/{i}")).collect()] == [1, 1]
         if i == 3:
             break
+
+
+def test_coarse_response_of_a_plain_square_is_full(spark):
+    """Phases that a plain square does not have take nothing from the response of its shift."""
+    post = np.zeros((48, 48))
+    post[8:40, 8:40] = 255.0
+    dx, dy, response = register._correlate(np.fft.rfft2(post), np.roll(post, (-3, 4), (0, 1)))
+    assert np.allclose([dx, dy, response], [4, -3, 1], atol=1e-6)
