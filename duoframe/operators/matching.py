@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..session import is_empty, pin, union_all
 
-BLOCK = 2048
-LEAF = 1024  # targets of a node that is not split
-FAN = 32  # children of a node
+BLOCK = 1 << 15  # rows of either side that one task meets
+WORK = 1 << 27  # distances of a task
+LEAF = 1 << 15  # targets of a node that is not split
+FAN = 32  # children of a node, at most
+MEET = 4096  # rows that meet the children of their node at once
+ROWS, CELL, CELLS = 2048, 256, 64  # inside a task: rows at a time, targets of a cell on average, and cells at most
 DEPTH = 11  # levels whose numbers fit a bigint; larger leaves below are visited in blocks
 
 
@@ -38,7 +41,7 @@ def _meet_children(rows: DataFrame, level: DataFrame, keys: list[str], id_col: s
     """
     side = [*keys, "node"]
     rows = pin(rows)
-    parts = pin(rows.groupBy(*side).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")))
+    parts = pin(rows.groupBy(*side).agg(F.ceil(F.count("*") / min(block, MEET)).cast("int").alias("_parts")))
     a = rows.join(parts, side).withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).drop("_parts")
     b = level.join(parts, side).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     names = [*rows.columns, *(["dist"] if more else [])]
@@ -63,11 +66,58 @@ def _nearest_child(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tu
     return np.arange(len(d)), d.argmin(axis=1)
 
 
+def _with_slack(bound: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bounds of the vectors x that also cover the rounding of distances."""
+    return bound + 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0)) + 1e-7 * np.linalg.norm(x, axis=1)
+
+
 def _children_in_reach(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Children whose ball reaches inside the bound; the slack covers rounding of the distances."""
-    bound = left["bound"].to_numpy()
-    slack = 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0)) + 1e-7 * np.linalg.norm(_stack(left["vec"]), axis=1)
-    return np.nonzero(d - right["radius"].to_numpy()[None, :] <= (bound + slack)[:, None])
+    """Children whose ball reaches inside the bound."""
+    reach = _with_slack(left["bound"].to_numpy(), _stack(left["vec"]))
+    return np.nonzero(d - right["radius"].to_numpy()[None, :] <= reach[:, None])
+
+
+def _cells(y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Pivots among the vectors of a block, the positions nearest to each of them, and the radius of each cell."""
+    n = min(CELLS, max(1, len(y) // CELL))
+    pivots = y[np.argsort(ids, kind="stable")[np.linspace(0, len(y) - 1, n).astype(int)]]
+    d = np.sqrt(_squared(y, pivots))
+    own = d.argmin(axis=1)
+    members = [np.flatnonzero(own == k) for k in range(n)]
+    kept = [k for k in range(n) if len(members[k])]
+    return pivots[kept], [members[k] for k in kept], np.array([d[members[k], k].max() for k in kept])
+
+
+def _two_closest(x: np.ndarray, bound: np.ndarray, y: np.ndarray, ids: np.ndarray, evaluated=None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the two nearest targets of each row, by distance and id; infinite distance where the bound leaves none."""
+    pivots, members, radius = _cells(y, ids)
+    d, t = np.full((len(x), 2), np.inf), np.zeros((len(x), 2), ids.dtype)
+    counted = len(y) * len(pivots)
+    for first in range(0, len(x), ROWS):
+        part = slice(first, first + ROWS)
+        xs, limit, best_d, best_t = x[part], bound[part].copy(), d[part], t[part]
+        away = np.sqrt(_squared(xs, pivots))
+        home = away.argmin(axis=1)
+        counted += away.size
+        for at_home in (True, False):  # the nearest cell of a row gives the bound for its other cells
+            for k, own in enumerate(members):
+                rows = np.flatnonzero(home == k) if at_home else np.flatnonzero((home != k) & (away[:, k] - radius[k] <= _with_slack(limit, xs)))
+                if not len(rows):
+                    continue
+                square = _squared(xs[rows], y[own])
+                counted += square.size
+                near = np.sqrt(square.min(axis=1)) <= _with_slack(limit[rows], xs[rows])
+                rows, square = rows[near], square[near]
+                few = min(4, len(own))  # the likeliest by rounded distances, then exactly
+                who = own[np.argpartition(square, few - 1, axis=1)[:, :few]]
+                exact = np.sqrt(((xs[rows][:, None, :] - y[who]) ** 2).sum(axis=2))
+                every_d, every_t = np.c_[best_d[rows], exact], np.c_[best_t[rows], ids[who]]
+                order = np.lexsort((every_t, every_d), axis=1)[:, :2]
+                best_d[rows], best_t[rows] = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_t, order, 1)
+                limit[rows] = np.minimum(limit[rows], best_d[rows, 1])
+    if evaluated is not None:
+        evaluated.add(counted)
+    return t, d
 
 
 def _grow(targets: DataFrame, keys: list[str], leaf: int, fan: int, block: int, evaluated=None) -> tuple[DataFrame, list[DataFrame]]:
@@ -80,15 +130,17 @@ def _grow(targets: DataFrame, keys: list[str], leaf: int, fan: int, block: int,
     side = [*keys, "node"]
     rows, settled, levels = pin(targets.withColumn("node", F.lit(0).cast("bigint"))), [], []
     for depth in range(DEPTH):
-        large = pin(rows.groupBy(*side).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf).select(*side))
+        large = pin(rows.groupBy(*side).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf))
         if is_empty(large):
             break
         settled.append(rows.join(large, side, "left_anti"))
-        open_rows = rows.join(large, side, "left_semi")
+        open_rows = rows.join(large, side)
+        # no more children than leaves of half the size need, since a row may be handed to each of them
+        many = F.least(F.lit(fan), F.ceil(2 * F.col("_n") / leaf))
         order = Window.partitionBy(*side).orderBy(F.xxhash64("vec", F.lit(depth)), "t_id")
-        pivots = open_rows.filter("copy = 1").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= fan)
+        pivots = open_rows.filter("copy = 1").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= fan).filter(F.col("_k") <= many)
         pivots = pin(pivots.select(*side, (F.col("node") * fan + F.col("_k")).alias("child"), F.col("vec").alias("pivot")))
-        dealt = pin(_meet_children(open_rows, pivots, keys, "t_id", block, _nearest_child, ", dist double", evaluated))
+        dealt = pin(_meet_children(open_rows.drop("_n"), pivots, keys, "t_id", block, _nearest_child, ", dist double", evaluated))
         radius = dealt.groupBy(*keys, F.col("node").alias("child")).agg(F.max("dist").alias("radius"))
         levels.append(pin(pivots.join(radius, [*keys, "child"])))
         rows = dealt.drop("dist")
@@ -116,8 +168,10 @@ def two_nearest(
     t_id wins. Every group has its own tree of pivots, which grows with the group. A first way
     down, always to the nearest pivot, gives a bound of the second distance; the second way
     down visits, by the triangle inequality, only the nodes that reach inside that bound.
-    Nodes and leaves meet their queries in blocks of about block rows on either side, so no
-    task grows with a group, and each block emits two rows per query. Of equal targets only
+    Leaves are large, because every query is sent to each leaf that it visits: they meet their
+    queries in blocks of at most about block rows on either side and WORK distances, so no task
+    grows with a group. Inside a block the same bound is used on cells of its targets, and each
+    block emits at most two rows per query. Of equal targets only
     the first two are searched, since no more can be among the answers. A group of one target has no d2; rows
     without a vector, and queries of groups without targets, have no answer. evaluated: an
     accumulator that counts the distances.
@@ -135,7 +189,7 @@ def two_nearest(
         found = pin(found)
         bound = found.groupBy(*keys, "q_id").agg(F.when(F.count("*") >= 2, F.max("dist")).otherwise(float("inf")).alias("bound"))
         reached = _descend(q.join(bound, [*keys, "q_id"]), levels, keys, block, _children_in_reach, evaluated)
-        others = reached.drop("bound").join(home.select(*keys, "q_id", "node"), [*keys, "q_id", "node"], "left_anti")
+        others = reached.join(home.select(*keys, "q_id", "node"), [*keys, "q_id", "node"], "left_anti")
         found = _two_per_query(found.unionByName(_two_per_query(_visit(others, t, leaves, keys, block, evaluated), keys)), keys)
     top = found.groupBy(*keys, "q_id").agg(
         F.min(F.struct("dist", "t_id")).alias("_a"), F.max(F.struct("dist", "t_id")).alias("_b"), F.count("*").alias("_n")
@@ -151,12 +205,13 @@ def _two_per_query(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _visit(visits: DataFrame, targets: DataFrame, leaves: DataFrame, keys: list[str], block: int, evaluated=None) -> DataFrame:
-    """Two nearest targets of each visiting query in each block of its leaf."""
+    """Two nearest targets of each visiting query in each block of its leaf; with a column bound, only those within it."""
     side = [*keys, "node"]
-    visits = pin(visits)
+    visits = pin(visits if "bound" in visits.columns else visits.withColumn("bound", F.lit(float("inf"))))
+    n_q, n_t = F.col("n_q"), F.col("n_t")
     sizes = pin(
         leaves.join(visits.groupBy(*side).agg(F.count("*").alias("n_q")), side).select(
-            *side, F.ceil(F.col("n_t") / block).cast("int").alias("_nt"), F.ceil(F.col("n_q") / block).cast("int").alias("_nq")
+            *side, F.ceil(n_t / block).cast("int").alias("_nt"), F.ceil(F.greatest(n_q / block, n_q * F.least(n_t, F.lit(block)) / WORK)).cast("int").alias("_nq")
         )
     )
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -169,24 +224,14 @@ def _visit(visits: DataFrame, targets: DataFrame, leaves: DataFrame, keys: list[
         names = [*keys, "q_id", "t_id", "dist"]
         if a.empty or b.empty:
             return pd.DataFrame([], columns=names)
-        x, y, ids = _stack(a["vec"]), _stack(b["vec"]), b["t_id"].to_numpy()
-        d = _squared(x, y)
-        if evaluated is not None:
-            evaluated.add(d.size)
-        few = min(4, len(b))  # the likeliest by rounded distances, then exactly
-        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < len(b) else np.tile(np.arange(len(b)), (len(a), 1))
-        exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(axis=2))
-        first = np.lexsort((ids[near], exact), axis=1)[:, :2]
-        k = first.shape[1]
-        out = {n: [v] * (len(a) * k) for n, v in zip(keys, group)}
-        out["q_id"] = np.repeat(a["q_id"].to_numpy(), k)
-        out["t_id"] = ids[np.take_along_axis(near, first, 1)].ravel()
-        out["dist"] = np.take_along_axis(exact, first, 1).ravel()
-        return pd.DataFrame(out)[names]
+        t_id, dist = _two_closest(_stack(a["vec"]), a["bound"].to_numpy(float), _stack(b["vec"]), b["t_id"].to_numpy(), evaluated)
+        row, k = np.nonzero(np.isfinite(dist))
+        out = {n: pd.Series([v] * len(row), dtype=object) for n, v in zip(keys, group)}
+        return pd.DataFrame({**out, "q_id": a["q_id"].to_numpy()[row], "t_id": t_id[row, k], "dist": dist[row, k]})[names]
 
     by = [*side, "_bq", "_bt"]
     return (
-        q.select(*by, "q_id", "vec").groupBy(*by)
+        q.select(*by, "q_id", "vec", "bound").groupBy(*by)
         .cogroup(t.select(*by, "t_id", "vec").groupBy(*by))
         .applyInPandas(run, f"{key_ddl}q_id bigint, t_id bigint, dist double")
     )

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from duoframe.operators import matching
 from duoframe.operators.matching import two_nearest
 
 SIDE = "g string, {} bigint, vec array<double>"
@@ -59,3 +60,32 @@ def test_clustered_vectors_need_few_distances(spark):
 def test_empty_sides(spark):
     q, t = _frames(spark, {"a": np.ones((2, 3))}, {"a": np.ones((2, 3))})
     assert two_nearest(q.limit(0), t, ["g"]).count() == 0 and two_nearest(q, t.limit(0), ["g"]).count() == 0
+
+
+def test_vectors_without_clusters_are_sent_to_few_leaves(spark, monkeypatch):
+    """Where every ball reaches every bound a query visits all leaves, so they must be few: no copy of it for each thousand targets."""
+    r = np.random.default_rng(5)
+    q, t = r.normal(0, 1, (3000, 32)), r.normal(0, 1, (4000, 32))
+    sent, visit = [], matching._visit
+    monkeypatch.setattr(matching, "_visit", lambda visits, *more: (sent.append(visits.count()), visit(visits, *more))[1])
+    got = two_nearest(*_frames(spark, {"a": q}, {"a": t}), ["g"]).toPandas()
+    _check(got[got.q_id < 100], "a", q[:100], t)
+    assert len(got) == 3000 and sum(sent) <= 2 * 3000
+
+
+def test_cells_of_a_block_give_the_exact_two():
+    r = np.random.default_rng(6)
+    for spread in (0.1, 10):  # the cells are skipped, or all met
+        centres = r.normal(0, 3, (20, 8))
+        y, x = (centres[r.integers(0, 20, n)] + r.normal(0, spread, (n, 8)) for n in (3000, 500))
+        y[1500:1510] = x[:10]  # equal distances of 0 beside the copies
+        y[1510:1520] = x[:10]
+        ids = r.permutation(9000)[:3000]
+        d = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(axis=2))
+        first = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :2]
+        want = np.take_along_axis(d, first, 1)
+        t, dist = matching._two_closest(x, np.full(500, np.inf), y, ids)
+        assert (t == ids[first]).all() and np.allclose(dist, want)
+        near = want[:, 1] * 1.01 > r.random(500) * 2 * want[:, 1].max()  # some bounds leave both, others none
+        t, dist = matching._two_closest(x, np.where(near, want[:, 1], -1.0), y, ids)
+        assert (t[near] == ids[first][near]).all() and np.isinf(dist[~near & (want[:, 0] > 0.1)]).all()
