@@ -158,6 +158,22 @@ HALF_SIGMA = 0.8
 HALF_HALO = int(4 * HALF_SIGMA + 0.5)
 
 
+def _of_tile_and_half(least: float):
+    """The features of a tile, and its cells of the next octave as rows without vec: the pixels are sent and read once for both."""
+    features, cut = _of_tile(least), HALO - HALF_HALO
+
+    def rows_of(a: np.ndarray, inside: np.ndarray) -> dict:
+        found, half = features(a, inside), _half(a[cut : a.shape[0] - cut, cut : a.shape[1] - cut], inside[cut : a.shape[0] - cut, cut : a.shape[1] - cut])
+        n, m = len(found["r"]), len(half["r"])
+        own = {k: np.concatenate([found[k], np.full(m, np.nan)]) for k in found if k not in ("r", "c", "vec")}
+        place = {k: np.concatenate([found[k], half[k]]).astype(int) for k in ("r", "c")}
+        vec = np.empty(n + m, dtype=object)
+        vec[:n] = list(found["vec"])
+        return {**place, **own, "vec": pd.Series(vec, dtype=object), "v": np.concatenate([np.full(n, np.nan), half["v"]])}
+
+    return rows_of
+
+
 def interior_keypoints(
     px: DataFrame, keys: Sequence[str], shape, n_best: int = 5000, min_contrast: float = 1.0, tile: int = 512, octaves: int = 4,
 ) -> DataFrame:
@@ -173,24 +189,32 @@ def interior_keypoints(
     """
     keys = list(keys)
     ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in px.select(*keys).schema)
-    sizes = pin(size_columns(px.select(*keys).distinct(), shape, keys))
+    varied = isinstance(shape, DataFrame)
+    sizes = pin(size_columns(px.select(*keys).distinct(), shape, keys)) if varied else (int(shape[0]), int(shape[1]))
     now, found = px.select(*keys, "r", "c", F.col("v").cast("double").alias("v")), None
     for k in range(octaves):
         if k:
-            sizes = sizes.withColumn("height", F.ceil(F.col("height") / 2).cast("int")).withColumn("width", F.ceil(F.col("width") / 2).cast("int"))
-            now = pin(now.select(*keys, (F.col("r") / 2).cast("int").alias("r"), (F.col("c") / 2).cast("int").alias("c"), "v"))
+            now = now.select(*keys, (F.col("r") / 2).cast("int").alias("r"), (F.col("c") / 2).cast("int").alias("c"), "v")
         # a frame smaller than a descriptor has no features
-        large = sizes.filter((F.col("height") >= 2 * SAMPLES) & (F.col("width") >= 2 * SAMPLES))
-        own = now.join(large.select(*keys), keys, "left_semi")
-        pts = tile_rows(own, keys, large, HALO, _of_tile(min_contrast), ddl + "r int, c int, dy double, dx double, response double, level double, angle double, vec array<float>", tile=tile, mode="mirror")
+        if varied:
+            sizes = sizes if k == 0 else sizes.withColumn("height", F.ceil(F.col("height") / 2).cast("int")).withColumn("width", F.ceil(F.col("width") / 2).cast("int"))
+            large = sizes.filter((F.col("height") >= 2 * SAMPLES) & (F.col("width") >= 2 * SAMPLES))
+            own = now.join(large.select(*keys), keys, "left_semi")
+        else:
+            large = sizes if k == 0 else (-(-large[0] // 2), -(-large[1] // 2))
+            own = now if min(large) >= 2 * SAMPLES else now.limit(0)
+        schema = ddl + "r int, c int, dy double, dx double, response double, level double, angle double, vec array<float>"
+        if k + 1 < octaves:
+            both = pin(tile_rows(own, keys, large, HALO, _of_tile_and_half(min_contrast), schema + ", v double", tile=tile, mode="mirror"))
+            pts, now = both.filter("vec is not null"), both.filter("vec is null").select(*keys, "r", "c", "v")
+        else:
+            pts = tile_rows(own, keys, large, HALO, _of_tile(min_contrast), schema, tile=tile, mode="mirror")
         scale = float(1 << k)
         part = pts.select(
             *keys, ((F.col("r") + F.col("dy")) * scale).alias("y"), ((F.col("c") + F.col("dx")) * scale).alias("x"),
             (F.pow(F.lit(2.0), F.col("level") / PER_OCTAVE) * (BASE_SIGMA * scale)).alias("sigma"), "angle", "response", "vec",
         )
         found = part if found is None else found.unionByName(part)
-        if k + 1 < octaves:
-            now = tile_rows(own, keys, large, HALF_HALO, _half, ddl + "r int, c int, v double", tile=tile, mode="mirror")
     cell = lambda n: F.greatest(F.lit(0), F.floor(F.col(n) + 0.5)).cast("int")
     rows = pin(found.select(*keys, cell("y").alias("r"), cell("x").alias("c"), "y", "x", "sigma", "angle", "response", "vec"))
     return top_rows(rows, keys, n_best, "response").withColumn("kp_id", F.xxhash64("y", "x", "sigma", "angle"))

@@ -61,6 +61,7 @@ def tile_rows(
 ) -> DataFrame:
     """Rows that rows_of finds in each haloed tile; its r and c count from the tile corner without halo."""
     keys = list(keys)
+    fixed = None if isinstance(shape, DataFrame) else (int(shape[0]), int(shape[1]))  # one size is not sent with each pixel
     sized = size_columns(px.select(*keys, "r", "c", F.col(value).cast("double").alias("_v")), shape, keys)
     near = lambda x, size: F.explode(
         F.sequence(
@@ -69,9 +70,11 @@ def tile_rows(
         )
     )
     routed = sized.withColumn("_tr", near("r", "height")).withColumn("_tc", near("c", "width"))
+    if fixed:
+        routed = routed.drop("height", "width")
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        height, width = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+        height, width = fixed or (int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]))
         tr, tc = group[-2], group[-1]
         top, left = tr * tile - halo, tc * tile - halo
         # only the cells up to the frame edge plus halo are needed

@@ -252,13 +252,15 @@ select s_suppkey, (s_suppkey % 25 // 5 * 48 + 24)::double as y, (s_suppkey % 5 *
 def keypoints_of_blobs(t):
     k = F.col("s_suppkey")
     reach = F.sequence(F.lit(-23), F.lit(23))
-    spread = t("supplier").select(k, F.explode(reach).alias("i")).withColumn("j", F.explode(reach))
+    # whole frames to a partition: a supplier becomes 2,209 pixels, so the few rows of a file are too many for one task
+    dealt = t("supplier").select(k).repartition(max(1, t("supplier").count() // 1000), F.floor(k / 25))
+    spread = dealt.select(k, F.explode(reach).alias("i")).withColumn("j", F.explode(reach))
     width = 3.0 * F.pow(F.lit(2.0), k % 2)
     height = 100 + k % 100
     px = spread.select(
         F.floor(k / 25).alias("frame"), (F.floor(k % 25 / 5) * 48 + 24 + F.col("i")).cast("int").alias("r"), (k % 5 * 48 + 24 + F.col("j")).cast("int").alias("c"),
         (height * F.exp(-(F.col("i") * F.col("i") + F.col("j") * F.col("j")) / (2 * width * width))).alias("v"))
-    found = R.interior_keypoints(pin(px), ["frame"], (240, 240))
+    found = R.interior_keypoints(px, ["frame"], (240, 240))
     inner = lambda n: F.floor(F.least(F.col(n), F.lit(239)) / 48)
     field = inner("r") * 5 + inner("c")
     best = found.groupBy((F.col("frame") * 25 + field).alias("s_suppkey")).agg(F.max_by(F.struct("y", "x", "sigma"), "response").alias("b"))

@@ -84,3 +84,21 @@ def test_matches_survive_turn_and_scale(spark, turn, size):
     want = size * p @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
     right = np.hypot(*(want - q).T) < 1.5
     assert right.sum() >= 60 and right.mean() > 0.9
+
+
+def test_pixels_are_read_once(spark):
+    """The first octave's features and its cells for the next one come from one pass over the pixels."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    y, x = np.mgrid[0:72, 0:72]
+    v = 200 * np.exp(-((y - 36) ** 2 + (x - 30) ** 2) / (2 * 3.0**2))
+    rows = pd.DataFrame({"f": "a", "r": y.ravel(), "c": x.ravel(), "v": v.ravel()})
+    px = spark.createDataFrame(rows, "f string, r int, c int, v double").mapInPandas(counted, "f string, r int, c int, v double")
+    got = interior_keypoints(px, ["f"], (72, 72)).toPandas()
+    best = got.loc[got["response"].idxmax()]
+    assert abs(best.y - 36) < 0.3 and abs(best.x - 30) < 0.3 and read.value == 72 * 72
