@@ -54,6 +54,11 @@ def v_px(t: Tables) -> DataFrame:
     )
 
 
+def v_px_wrapped(t: Tables) -> DataFrame:
+    """The frames of v_px with sums that start again at 256: they keep their detail where v_px is 255 in every cell."""
+    return pin(_px_rows(t).groupBy("sample", "kind", "r", "c").agg(F.pmod(F.sum("q"), F.lit(256.0)).alias("v")))
+
+
 def v_grid(t: Tables) -> DataFrame:
     return t("embeddings").select(
         "vec_id", F.posexplode("embedding").alias("pos", "e")

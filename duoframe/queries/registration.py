@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..fixtures import LEVELS, PX_SHAPE, v_match, v_px
+from ..fixtures import LEVELS, PX_SHAPE, v_match, v_px, v_px_wrapped
 from ..functions import matrices as M
 from ..operators import points as P
 from ..operators import register as R
@@ -53,9 +53,12 @@ from (select distinct sample, kind from v_px) f, (values (0, 64, 64), (1, 128, 6
 POINTS = [(0, 64.0, 64.0), (1, 128.0, 64.0), (2, 96.0, 128.0)]
 
 
-def _turned(t):
-    """Every frame as the post frame of a pair of its own, and the same frame turned, scaled and moved as pre; and the map from post to pre."""
-    post = pin(shift_pixels(v_px(t), 32, 32).withColumn("sample", F.concat("sample", F.lit("-"), "kind")).drop("kind"))
+def _turned(t, frames=v_px_wrapped):
+    """Every frame as the post frame of a pair of its own, and the same frame turned, scaled and moved as pre; and the map from post to pre.
+
+    Interior features need frames that are not of one value, so by default the brightness wraps instead of ending at 255.
+    """
+    post = pin(shift_pixels(frames(t), 32, 32).withColumn("sample", F.concat("sample", F.lit("-"), "kind")).drop("kind"))
     forward = M.compose(M.translation(4, -3), M.rotation_about(F.lit(4.0), F.lit(1.05), F.lit(96.0), F.lit(96.0)))
     maps = post.select("sample").distinct().select("sample", M.invert(forward).alias("m"))
     pre = warp_bilinear(post, ["sample"], (192, 192), maps)
@@ -336,7 +339,7 @@ def accuracy(t):
 
 @query("register_outline", "F20", TURNED.format(""))
 def register_outline(t):
-    px, forward = _turned(t)
+    px, forward = _turned(t, v_px)
     out = R.register_outline(px, ["sample"], (192, 192), down_scale=4.0, boundary_width=4, boundary_smooth=2.0)
     return _positions(out, forward, 2.5)
 

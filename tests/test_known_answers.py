@@ -16,6 +16,7 @@ from duoframe.operators.components import components
 from duoframe.operators.diagnostics import top_rows
 from duoframe.operators.matching import two_nearest
 from duoframe.operators.points import iterate_closest_points, nearest_neighbours
+from duoframe.queries import registration
 
 RNG = np.random.default_rng(7)
 
@@ -405,3 +406,13 @@ def test_coarse_response_of_a_plain_square_is_full(spark):
     post[8:40, 8:40] = 255.0
     dx, dy, response = register._correlate(np.fft.rfft2(post), np.roll(post, (-3, 4), (0, 1)))
     assert np.allclose([dx, dy, response], [4, -3, 1], atol=1e-6)
+
+
+def test_wrapped_frames_keep_their_detail(spark, tmp_path):
+    """Cells of several hundred are all 255 in v_px; planted turns need frames that differ from cell to cell."""
+    rows = [("A", "F", i % 128, i // 128 % 128, 0, 300.0 + i % 97) for i in range(128 * 128)]
+    df = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    px, _ = registration._turned(Tables(spark, str(tmp_path)))
+    post = px.filter("kind = 'post'").toPandas()
+    assert len(post) == 128 * 128 and post["v"].nunique() > 50 and post["v"].between(0, 255).all()
