@@ -26,12 +26,17 @@ from .warp import warp_bilinear
 # ---- coarse search on whole coarse frames ---------------------------------------------------
 
 
+# share of the strongest product below which a phase does not count: each frame is then below 1e-4 of its strongest
+# coefficient, where interpolation and the cut-off of the blur outweigh what turned and softened frames have in common
+WEAK = 1e-8
+
+
 def _correlate(fa: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """Displacement (dx, dy) of b against a, whose transform is fa, and the peak strength as a share of that of a against itself."""
     cross = np.conj(fa) * np.fft.rfft2(b)
     size = np.abs(cross)
-    # only phases count, so neither frame needs a common brightness; what is nothing but rounding stays out
-    least = max(1e-15 * size.max(), 1e-300)
+    # only phases count, so neither frame needs a common brightness; what is too weak to have one stays out
+    least = max(WEAK * size.max(), 1e-300)
     surface = np.fft.irfft2(np.where(size > least, cross / np.maximum(size, least), 0), b.shape)
     py, px = np.unravel_index(np.argmax(surface), surface.shape)
     rows, cols = np.arange(py - 2, py + 3), np.arange(px - 2, px + 3)
@@ -42,7 +47,7 @@ def _correlate(fa: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     y, x = float((w.sum(1) * rows).sum() / total), float((w.sum(0) * cols).sum() / total)
     wrap = lambda v, n: v - n if v > n / 2 else v
     own = np.abs(fa) ** 2
-    full = full_response(window_of_known((own > max(1e-15 * own.max(), 1e-300)).astype(float), *b.shape))
+    full = full_response(window_of_known((own > max(WEAK * own.max(), 1e-300)).astype(float), *b.shape))
     return wrap(x, b.shape[1]), wrap(y, b.shape[0]), float(total) / full
 
 

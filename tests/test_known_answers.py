@@ -416,3 +416,26 @@ def test_wrapped_frames_keep_their_detail(spark, tmp_path):
     px, _ = registration._turned(Tables(spark, str(tmp_path)))
     post = px.filter("kind = 'post'").toPandas()
     assert len(post) == 128 * 128 and post["v"].nunique() > 50 and post["v"].between(0, 255).all()
+
+
+def test_coarse_search_of_a_soft_outline_cut_by_the_frame():
+    """Where softened outlines have next to no signal, the phases of their interpolation must not outvote the rest."""
+    n, w = 192, filters.gaussian_weights(2.0, size=filters.coarse_kernel_size(2.0))
+    y, x = np.mgrid[0:n, 0:n] - n / 2 + 0.5
+
+    def ring(mask):
+        p, inner = np.pad(mask, 4, constant_values=True), mask.copy()
+        for i, j in itertools.product(range(9), range(9)):
+            if (i - 4) ** 2 + (j - 4) ** 2 <= 16:
+                inner &= p[i : i + n, j : j + n]
+        return filters._along(filters._along((mask & ~inner).astype(float), w, 0), w, 1)
+
+    square = lambda a, b: np.maximum(np.abs(a), np.abs(b)) < 64
+    t = np.radians(4)
+    u, v = (np.cos(t) * (x - 4) - np.sin(t) * (y + 3)) / 1.05, (np.sin(t) * (x - 4) + np.cos(t) * (y + 3)) / 1.05
+    # the turned square reaches the upper and the right edge of the frame
+    pre = ring(square(u, v) | ((y < 0) & (np.abs(x - 20) < 40)) | ((x > 0) & (np.abs(y) < 50)))
+    r, c = np.nonzero(pre)
+    fa = np.fft.rfft2(ring(square(x, y)))
+    found = [(register._correlate(fa, register._turned(pre, a, s, c.mean(), r.mean()))[2], s, a) for s, a in register.search_candidates()]
+    assert np.allclose(max(found)[1:], [0.95, -4])
