@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .textbytes import ragged
+
 WINDOW, SYMBOLS, SIZE, WIDTH, FILTERS = 72, 98, 8, 5, 24
-SPAN = 1 << 15  # places whose convolution is held at a time
+SPAN = 1 << 14  # places whose convolution is held at a time
+SPACE = 2  # the symbol of a space
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
@@ -33,6 +36,7 @@ class CharNet:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 2.0
+    least: float = np.inf  # the logit of the threshold
 
     @staticmethod
     def new(seed: int = 7) -> CharNet:
@@ -52,88 +56,154 @@ class CharNet:
         return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -40, 40)))
+        return self.chance(self.logit(x))
+
+    def chance(self, logit: np.ndarray) -> np.ndarray:
+        """Calibrated probability."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -40, 40)))
 
     def probability_at(self, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """`probability` of the windows at `low` of a row of symbols, marked from `first` to `end`.
+        """`probability` of the windows at `low` of a row of symbols, marked from `first` to `end`."""
+        return self.chance(self.logit_at(symbol, low, first, end))
 
-        Windows overlap, so the convolution of the unmarked symbols is made once per place. In
-        single precision.
+    def logit_at(self, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray, bare: np.ndarray | None = None) -> np.ndarray:
+        """`logit` of such windows, in single precision; bare: those with spaces for what is before the mark.
+
+        Windows overlap, so the convolution of the unmarked symbols is made once per place. Only the
+        places that touch its mark are a window's own. The others are a range on its left and one on
+        its right, whose maximum comes from a table of maxima over 1, 2, 4, ... places; the mean
+        enters the logit as a sum of one number a place.
         """
         p = {k: v.astype(np.float32) for k, v in self.parts.items()}
-        letters, places = p["symbol"] + p["inside"][0], WINDOW - WIDTH + 1
-        # what the marks add to a place: by which of its WIDTH symbols are marked
-        marked = np.array([[c >> j & 1 for j in range(WIDTH)] for c in range(1 << WIDTH)], np.float32)
-        marks = marked @ ((p["inside"][1] - p["inside"][0]) @ p["kernel"].reshape(WIDTH, SIZE, FILTERS))
+        kernel, places = p["kernel"].reshape(WIDTH, SIZE, FILTERS), WINDOW - WIDTH + 1
+        of_most, of_mean = p["out"][:FILTERS], p["out"][FILTERS:] / places
+        taps = (p["symbol"] + p["inside"][0]) @ kernel
+        taps[0] += p["bias"]
+        # what the marks add: to a place whose symbols from the i-th up to the j-th are marked
+        by_tap = np.concatenate([np.zeros((1, FILTERS), np.float32), np.cumsum((p["inside"][1] - p["inside"][0]) @ kernel, axis=0)])
+        marks = (by_tap[None] - by_tap[:, None]).reshape(-1, FILTERS)
+        blank = np.maximum(taps[:, SPACE].sum(axis=0), 0)
+        bare = np.zeros(len(low), bool) if bare is None else bare
         out = np.zeros(len(low))
         order = np.argsort(low, kind="stable")
-        cuts = np.flatnonzero(np.diff(low[order] // SPAN)) + 1
-        for part in np.split(order, cuts) if len(order) else ():
+        for part in np.split(order, np.flatnonzero(np.diff(low[order] // SPAN)) + 1) if len(order) else ():
             base = int(low[part[0]])
-            own = letters[symbol[base : int(low[part[-1]]) + WINDOW]]
-            patches = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own.reshape(-1), WIDTH * SIZE)[::SIZE])
-            plane = patches @ p["kernel"] + p["bias"]
-            view = np.lib.stride_tricks.sliding_window_view(plane, places, axis=0).transpose(0, 2, 1)
-            for k in range(0, len(part), 64):
-                i = part[k : k + 64]
-                at = low[i, None] + np.arange(WINDOW)
-                on = (at >= first[i, None]) & (at < end[i, None])
-                code = sum(on[:, j : j + places].astype(np.int8) << j for j in range(WIDTH))
-                h = np.ascontiguousarray(view[low[i] - base])
-                n, spot = np.nonzero(code)
-                h[n, spot] += marks[code[n, spot]]
-                np.maximum(h, 0, out=h)
-                most, mean = h, np.einsum("npf->nf", h) / places
-                while most.shape[1] > 1:  # halves, which numpy compares much faster than along an axis
-                    half = most.shape[1] // 2
-                    most = np.maximum(most[:, : most.shape[1] - half], most[:, -(most.shape[1] - half) :])
-                out[i] = np.concatenate([most[:, 0], mean], axis=1) @ p["out"] + p["base"][0]
-        return 1 / (1 + np.exp(-np.clip(self.scale * out + self.shift, -40, 40)))
+            own, start, head, tail, plain = symbol[base : int(low[part[-1]]) + WINDOW], low[part] - base, first[part] - base, end[part] - base, ~bare[part]
+            n = len(own) - WIDTH + 1
+            plane = taps[0].take(own[:n], axis=0)
+            for j in range(1, WIDTH):
+                plane += taps[j].take(own[j : j + n], axis=0)
+            levels = [np.maximum(plane, 0)]
+            running = np.concatenate([[0], np.cumsum(levels[0] @ of_mean, dtype=float)])
+            a, b, stop = np.maximum(head - WIDTH + 1, start), np.minimum(tail, start + places), start + places
+            for k in range(int(max((a - start).max(), (stop - b).max())).bit_length() - 1):
+                levels.append(np.maximum(levels[-1][: -(1 << k)], levels[-1][1 << k :]))
+            size = b - a
+            place, of = ragged(a, size), np.repeat(np.arange(len(part)), size)
+            before = head[of] - place
+            met = plane.take(place, axis=0)
+            met += marks.take(np.maximum(before, 0) * (WIDTH + 1) + np.minimum(tail[of] - place, WIDTH), axis=0)
+            blanked = np.flatnonzero((before > 0) & bare[part][of])
+            for j in range(WIDTH - 1):
+                row = blanked[before[blanked] > j]
+                met[row] += (taps[j, SPACE] - taps[j]).take(own[place[row] + j], axis=0)
+            np.maximum(met, 0, out=met)
+            at = np.cumsum(size) - size
+            most = np.maximum.reduceat(met, at, axis=0)
+            total = running[stop] - running[b] + np.add.reduceat(met @ of_mean, at, dtype=float)
+            total += np.where(plain, running[a] - running[start], (a - start) * float(blank @ of_mean))
+            left = np.flatnonzero(~plain & (a > start))
+            most[left] = np.maximum(most[left], blank)
+            for low_, high, some in ((start, a, plain & (a > start)), (b, stop, stop > b)):
+                level = np.frexp(high - low_)[1] - 1
+                for k in np.unique(level[some]).tolist():
+                    i = np.flatnonzero(some & (level == k))
+                    both = np.maximum(levels[k].take(low_[i], axis=0), levels[k].take(high[i] - (1 << k), axis=0))
+                    most[i] = np.maximum(most[i], both)
+            out[part] = most @ of_most + total + p["base"][0]
+        return out
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        forward = self._forward(x)
+        return self._back(x, weight * (1 / (1 + np.exp(-np.clip(forward[3], -40, 40))) - y) / len(x), forward)
+
+    def _back(self, x: np.ndarray, d: np.ndarray, forward: tuple | None = None) -> dict[str, np.ndarray]:
+        """Gradient of the parts, from that of the logits of x."""
         p = self.parts
-        patches, h, pooled, z = self._forward(x)
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(x)
+        patches, h, pooled, _ = forward or self._forward(x)
         g = {"out": pooled.T @ d, "base": np.array([d.sum()])}
         dh = np.repeat((d[:, None] * p["out"][None, FILTERS:])[:, None, :] / h.shape[1], h.shape[1], axis=1)
         i, k = np.ogrid[: len(x), :FILTERS]
         dh[i, h.argmax(axis=1), k] += d[:, None] * p["out"][None, :FILTERS]
         dh *= h > 0
-        g["kernel"] = np.einsum("npa,npf->af", patches, dh)
+        g["kernel"] = patches.reshape(-1, WIDTH * SIZE).T @ dh.reshape(-1, FILTERS)
         g["bias"] = dh.sum(axis=(0, 1))
         back = (dh @ p["kernel"].T).reshape(len(x), -1, WIDTH, SIZE)
-        de = np.zeros((len(x), WINDOW, SIZE))
+        de = np.zeros((len(x), WINDOW, SIZE), back.dtype)
         for j in range(WIDTH):
             de[:, j : j + back.shape[1]] += back[:, :, j]
         for name, c in (("symbol", 0), ("inside", 1)):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], x[:, :, c].reshape(-1), de.reshape(-1, SIZE))
+            at = x[:, :, c].reshape(-1)
+            g[name] = np.stack([np.bincount(at, de[:, :, k].reshape(-1), len(p[name])) for k in range(SIZE)], axis=1)
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 7) -> None:
         """Adam on shuffled batches; both classes weigh the same."""
         r = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-        m = {k: np.zeros_like(v) for k, v in self.parts.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.parts.items()}
-        t = 0
+        adam = Adam(self.parts)
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), 64):
-                t += 1
                 own = order[i : i + 64]
-                for k, g in self._gradient(x[own], y[own], weight[own]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v2[k] = 0.999 * v2[k] + 0.001 * g * g
-                    self.parts[k] -= 0.005 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-8)
+                adam.step(self._gradient(x[own], y[own], weight[own]))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt scaling on held-out findings, and the highest threshold that keeps `recall` of them."""
-        z = self.logit(x)
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        for _ in range(2000):
-            q = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
-            self.scale -= 0.05 * np.mean((q - target) * z)
-            self.shift -= 0.05 * np.mean(q - target)
-        found = np.sort(self.probability(x)[y > 0])
-        self.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+        self.calibrate_counts(self.logit(x), y, np.ones(len(y)), recall)
+
+    def calibrate_counts(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """The same from logits z of either side (y) that were seen n times."""
+        yes, no = n[y > 0].sum(), n[y <= 0].sum()
+        target = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
+
+        def loss(scale, shift):
+            t = scale * z + shift
+            return float(n @ (np.logaddexp(0, t) - target * t))
+
+        at, best = (1.0, 0.0), loss(1.0, 0.0)
+        for _ in range(100):  # Newton's method, with shorter steps where a whole one does not help
+            q = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
+            d, w = n * (q - target), n * q * (1 - q)
+            g = np.array([d @ z, d.sum()])
+            step = np.linalg.solve(np.array([[w @ (z * z), w @ z], [w @ z, w.sum()]]) + 1e-9 * (1 + n.sum()) * np.eye(2), g)
+            for half in range(30):
+                new = (at[0] - step[0] / 2**half, at[1] - step[1] / 2**half)
+                if new[0] > 0 and loss(*new) < best:
+                    break
+            else:
+                break
+            at, last, best = new, best, loss(*new)
+            if last - best < 1e-12 * abs(last):
+                break
+        self.scale, self.shift = at
+        order = np.argsort(z[y > 0], kind="stable")
+        found, below = z[y > 0][order], np.cumsum(n[y > 0][order])
+        self.least = float(found[int(np.searchsorted(below, np.floor((1 - recall) * yes), "right"))])
+        self.threshold = float(self.chance(np.array(self.least)))
+
+
+class Adam:
+    """Steps that change the parts in place."""
+
+    def __init__(self, parts: dict[str, np.ndarray], rate: float = 0.005):
+        self.parts, self.rate, self.t = parts, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in parts.items()}
+        self.v = {k: np.zeros_like(v) for k, v in parts.items()}
+
+    def step(self, gradient: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in gradient.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+            self.parts[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)

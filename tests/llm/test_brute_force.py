@@ -515,6 +515,63 @@ def test_the_network_on_held_out_findings():
         net.parts[part][at] = was
 
 
+def secret_texts(n):
+    """Texts of words, hosts and keys; the keys after `token: ` are findings of the base, the others must come from the network."""
+    r = random.Random(8)
+    make = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    out = []
+    for i in range(n):
+        words = [r.choice(["running", "sometimes", "10.20.30.41", "example.org", "whatever", "1999-12-31"]) for _ in range(12)]
+        words.insert(r.randint(0, 12), f"token: {make('0123456789ABCDEFGHJKLMNPQRSTUVWXYZ', 24)}" if i % 2 else "settlement")
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_the_network_is_fitted_and_calibrated_on_all_windows(spark, monkeypatch):
+    """Every window of every text is fitted on or held out, none is left out of the counts, also beyond 2,000 of a side."""
+    rows = secret_texts(900)
+    w = secret_scan._Labelled(pa.array([t for _, t in rows]))
+    secrets, others = int(w.secret.sum()), int((~w.secret).sum())
+    assert others > 3 * 2000 and secrets > 400
+    fitted, counted = [], []
+    average, calibrate = secret_scan._average, secret_scan.CharNet.calibrate_counts
+    monkeypatch.setattr(secret_scan, "ENOUGH", 1)
+    monkeypatch.setattr(secret_scan, "_average", lambda taught, net: (fitted.extend(taught.collect()), average(taught, net))[1])
+    monkeypatch.setattr(secret_scan.CharNet, "calibrate_counts", lambda net, z, y, n, recall: (counted.append((y, n)), calibrate(net, z, y, n, recall))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = secret_scan.find_secrets(docs).toPandas().set_index("doc_id")["spans"]
+    (y, n), = counted
+    # a held-out window is counted in both forms
+    assert sum(r["secrets"] for r in fitted) + n[y > 0].sum() / 2 == secrets
+    assert sum(r["others"] for r in fitted) + n[y <= 0].sum() / 2 == others
+    assert n[y > 0].sum() and n[y <= 0].sum()
+    for i, t in rows:
+        assert [(s["first"], s["kind"], s["end"]) for s in got[i] if s["kind"] < 3] == brute_secrets(t)
+
+
+def test_spans_of_the_one_pass_are_those_of_a_second_one(spark, monkeypatch):
+    """Keys that no pattern meets are found by the network, with the same spans where the threshold needs another pass."""
+    rows = secret_texts(400)
+    key = "7KQ2ZP94MWX0C5TJ8RV1LD6B"
+    rows += [(1000, f"running {key} sometimes"), (1001, None), (1002, "whatever example.org settlement")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = secret_scan.find_secrets(docs).toPandas().set_index("doc_id")["spans"]
+    monkeypatch.setattr(secret_scan, "LEAST", 1e9)
+    twice = secret_scan.find_secrets(docs).toPandas().set_index("doc_id")["spans"]
+    assert all(list(once[i]) == list(twice[i]) for i, _ in rows)
+    assert [(s["kind"], s["first"], s["end"]) for s in once[1000]] == [(3, 8, 32)] and not len(once[1001]) and not len(once[1002])
+
+
+def test_forms_of_a_window_by_the_shared_convolution():
+    """Without the context before the candidate, too, the shared convolution gives the logits of the plain windows."""
+    texts = [t for _, t in documents()[:40]] + ["x" * 500 + " ü abcdefgh", "abcdefgh", "0123456789" * 12 + " q " + "abcdefgh " * 9]
+    w, net = secret_scan._Labelled(pa.array(texts, pa.string())), secret_scan.CharNet.new()
+    z = w.logits(net, np.arange(len(w.low)))
+    for form, got in zip((False, True), np.split(z, 2)):
+        x = secret_scan._network_inputs(*w.rows(np.arange(len(w.low))), np.full(len(w.low), form))
+        assert np.abs(net.logit(x) - got).max() < 1e-5
+
+
 # -- decontamination
 
 def brute_hits(text, items):
