@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..session import is_empty, pin, union_all
 
 BLOCK = 1 << 15  # rows of either side that one task meets
-WORK = 1 << 27  # distances of a task
-LEAF = 1 << 15  # targets of a node that is not split
+LEAST, TASKS = 4096, 32  # rows of either side that a task meets at least, while there are so many tasks
+LEAF = 1 << 16  # targets of a node that is not split; twice a block, since a split gives leaves of half of it
 FAN = 32  # children of a node, at most
 MEET = 4096  # rows that meet the children of their node at once
-ROWS, CELL, CELLS = 2048, 256, 64  # inside a task: rows at a time, targets of a cell on average, and cells at most
+ROWS, CELL, CELLS = 2048, 256, 32  # inside a task: rows at a time, targets of a cell on average, and cells at most
+PAIRS = 1 << 18  # pairs of a task whose exact distances are made at a time
 DEPTH = 11  # levels whose numbers fit a bigint; larger leaves below are visited in blocks
 
 
@@ -66,14 +67,14 @@ def _nearest_child(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tu
     return np.arange(len(d)), d.argmin(axis=1)
 
 
-def _with_slack(bound: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Bounds of the vectors x that also cover the rounding of distances."""
-    return bound + 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0)) + 1e-7 * np.linalg.norm(x, axis=1)
+def _with_slack(bound: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Bounds of vectors of these norms that also cover the rounding of distances."""
+    return bound + 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0)) + 1e-7 * norm
 
 
 def _children_in_reach(d: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Children whose ball reaches inside the bound."""
-    reach = _with_slack(left["bound"].to_numpy(), _stack(left["vec"]))
+    reach = _with_slack(left["bound"].to_numpy(), np.linalg.norm(_stack(left["vec"]), axis=1))
     return np.nonzero(d - right["radius"].to_numpy()[None, :] <= reach[:, None])
 
 
@@ -88,32 +89,65 @@ def _cells(y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]
     return pivots[kept], [members[k] for k in kept], np.array([d[members[k], k].max() for k in kept])
 
 
+def _merge(best_d: np.ndarray, best_t: np.ndarray, xs: np.ndarray, y: np.ndarray, ids: np.ndarray, row: np.ndarray, who: np.ndarray) -> None:
+    """Take some pairs of rows and targets, by their exact distances, into the two best of the rows."""
+    for first in range(0, len(row), PAIRS):
+        r, w = row[first : first + PAIRS], who[first : first + PAIRS]
+        own = np.unique(r)
+        every_r = np.r_[np.repeat(own, 2), r]
+        every_d = np.r_[best_d[own].ravel(), np.sqrt(((xs[r] - y[w]) ** 2).sum(axis=1))]
+        every_t = np.r_[best_t[own].ravel(), ids[w]]
+        order = np.lexsort((every_t, every_d, every_r))
+        at = np.searchsorted(every_r[order], own)
+        top = order[at[:, None] + np.arange(2)]
+        best_d[own], best_t[own] = every_d[top], every_t[top]
+
+
 def _two_closest(x: np.ndarray, bound: np.ndarray, y: np.ndarray, ids: np.ndarray, evaluated=None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the two nearest targets of each row, by distance and id; infinite distance where the bound leaves none."""
+    """Ids and distances of the two nearest targets of each row, by distance and id; infinite distance where the bound leaves none.
+
+    Products in single precision, taken from the pivot of a cell and scaled to at most 1, find the
+    pairs that can be within the bound, with their rounding added to it; only those get distances.
+    """
     pivots, members, radius = _cells(y, ids)
     d, t = np.full((len(x), 2), np.inf), np.zeros((len(x), 2), ids.dtype)
+    unit, cells = [], []
+    for k, own in enumerate(members):
+        c = y[own] - pivots[k]
+        unit.append(np.linalg.norm(c, axis=1).max() or 1.0)
+        c /= unit[k]
+        cells.append(np.c_[c, -0.5 * (c * c).sum(axis=1)].astype(np.float32).T)
     counted = len(y) * len(pivots)
     for first in range(0, len(x), ROWS):
         part = slice(first, first + ROWS)
         xs, limit, best_d, best_t = x[part], bound[part].copy(), d[part], t[part]
+        norm, rounding = np.linalg.norm(xs, axis=1), (x.shape[1] + 8) * 2.0**-23
         away = np.sqrt(_squared(xs, pivots))
-        home = away.argmin(axis=1)
+        home = np.where(np.isfinite(norm), away.argmin(axis=1), -1)
         counted += away.size
         for at_home in (True, False):  # the nearest cell of a row gives the bound for its other cells
             for k, own in enumerate(members):
-                rows = np.flatnonzero(home == k) if at_home else np.flatnonzero((home != k) & (away[:, k] - radius[k] <= _with_slack(limit, xs)))
+                rows = np.flatnonzero(home == k if at_home else (home >= 0) & (home != k) & (away[:, k] - radius[k] <= _with_slack(limit, norm)))
                 if not len(rows):
                     continue
-                square = _squared(xs[rows], y[own])
-                counted += square.size
-                near = np.sqrt(square.min(axis=1)) <= _with_slack(limit[rows], xs[rows])
-                rows, square = rows[near], square[near]
-                few = min(4, len(own))  # the likeliest by rounded distances, then exactly
-                who = own[np.argpartition(square, few - 1, axis=1)[:, :few]]
-                exact = np.sqrt(((xs[rows][:, None, :] - y[who]) ** 2).sum(axis=2))
-                every_d, every_t = np.c_[best_d[rows], exact], np.c_[best_t[rows], ids[who]]
-                order = np.lexsort((every_t, every_d), axis=1)[:, :2]
-                best_d[rows], best_t[rows] = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_t, order, 1)
+                c = xs[rows] - pivots[k]
+                far = np.sqrt(np.einsum("ij,ij->i", c, c))
+                wide = max(far.max(), unit[k])
+                a = np.full((len(rows), c.shape[1] + 1), unit[k] / wide, np.float32)
+                a[:, :-1] = c / wide
+                score = a @ cells[k]  # (product of row and target - half the square of the target) / (wide * unit): the larger, the nearer
+                counted += score.size
+                reach = limit[rows]
+                new = np.flatnonzero(np.isinf(reach))
+                if len(new) and len(own) > 1:  # the likeliest two give a first bound
+                    who = own[np.argpartition(score[new], len(own) - 2, axis=1)[:, -2:]]
+                    reach[new] = np.sqrt(((xs[rows[new]][:, None, :] - y[who]) ** 2).sum(axis=2)).max(axis=1)
+                reach = _with_slack(reach, norm[rows])
+                least = (far / wide * (far / unit[k]) - reach / wide * (reach / unit[k])) / 2
+                least -= rounding * (far + unit[k]) / wide + 1e-6 * np.where(np.isfinite(least), np.abs(least), 0) + 1e-30
+                near = np.flatnonzero((score.max(axis=1) >= least) & (reach >= 0))
+                i, j = np.nonzero(score[near] >= least[near, None])
+                _merge(best_d, best_t, xs, y, ids, rows[near[i]], own[j])
                 limit[rows] = np.minimum(limit[rows], best_d[rows, 1])
     if evaluated is not None:
         evaluated.add(counted)
@@ -169,12 +203,11 @@ def two_nearest(
     down, always to the nearest pivot, gives a bound of the second distance; the second way
     down visits, by the triangle inequality, only the nodes that reach inside that bound.
     Leaves are large, because every query is sent to each leaf that it visits: they meet their
-    queries in blocks of at most about block rows on either side and WORK distances, so no task
-    grows with a group. Inside a block the same bound is used on cells of its targets, and each
-    block emits at most two rows per query. Of equal targets only
-    the first two are searched, since no more can be among the answers. A group of one target has no d2; rows
-    without a vector, and queries of groups without targets, have no answer. evaluated: an
-    accumulator that counts the distances.
+    queries in blocks of at most about block rows on either side, so no task grows with a group.
+    Inside a block the same bound is used on cells of its targets, and each block emits at most
+    two rows per query. Of equal targets only the first two are searched, since no more can be
+    among the answers. A group of one target has no d2; rows without a vector, and queries of
+    groups without targets, have no answer. evaluated: an accumulator that counts the distances.
     """
     keys = list(keys)
     copy = F.row_number().over(Window.partitionBy(*keys, "vec").orderBy("t_id"))
@@ -208,12 +241,11 @@ def _visit(visits: DataFrame, targets: DataFrame, leaves: DataFrame, keys: list[
     """Two nearest targets of each visiting query in each block of its leaf; with a column bound, only those within it."""
     side = [*keys, "node"]
     visits = pin(visits if "bound" in visits.columns else visits.withColumn("bound", F.lit(float("inf"))))
-    n_q, n_t = F.col("n_q"), F.col("n_t")
-    sizes = pin(
-        leaves.join(visits.groupBy(*side).agg(F.count("*").alias("n_q")), side).select(
-            *side, F.ceil(n_t / block).cast("int").alias("_nt"), F.ceil(F.greatest(n_q / block, n_q * F.least(n_t, F.lit(block)) / WORK)).cast("int").alias("_nq")
-        )
-    )
+    met = pin(leaves.join(visits.groupBy(*side).agg(F.count("*").alias("n_q")), side))
+    # a row is sent to every block of the other side, so both sides of a block are alike, and as large as the tasks allow
+    pairs = met.agg(F.sum(F.col("n_q").cast("double") * F.col("n_t"))).first()[0] or 0.0
+    rows = int(min(block, max(LEAST, (pairs / TASKS) ** 0.5)))
+    sizes = met.select(*side, F.ceil(F.col("n_t") / rows).cast("int").alias("_nt"), F.ceil(F.col("n_q") / rows).cast("int").alias("_nq"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = visits.join(sizes, side).withColumn("_bq", part("q_id", "_nq")).withColumn("_bt", every("_nt"))

@@ -89,3 +89,33 @@ def test_cells_of_a_block_give_the_exact_two():
         near = want[:, 1] * 1.01 > r.random(500) * 2 * want[:, 1].max()  # some bounds leave both, others none
         t, dist = matching._two_closest(x, np.where(near, want[:, 1], -1.0), y, ids)
         assert (t[near] == ids[first][near]).all() and np.isinf(dist[~near & (want[:, 0] > 0.1)]).all()
+
+
+def test_targets_of_two_blocks_need_no_tree(spark, monkeypatch):
+    """More targets than a block holds are met in blocks at once: a query is not sent down a tree a second time."""
+    r = np.random.default_rng(8)
+    q, t = r.normal(0, 1, (1500, 12)), r.normal(0, 1, (40_000, 12))
+    sent, visit = [], matching._visit
+    monkeypatch.setattr(matching, "_visit", lambda visits, *more: (sent.append(visits.count()), visit(visits, *more))[1])
+    got = two_nearest(*_frames(spark, {"a": q}, {"a": t}), ["g"]).toPandas()
+    assert sum(sent) == 1500 == len(got)
+    own = got.set_index("q_id")
+    for i in range(0, 1500, 30):
+        d = np.sqrt(((t - q[i]) ** 2).sum(axis=1))
+        assert own.t_id[i] == d.argmin() and np.allclose(np.sort(d)[:2], own.loc[i, ["d1", "d2"]].astype(float))
+
+
+def test_products_in_single_precision_leave_the_exact_two():
+    """Distances that single precision cannot tell apart, far from the origin, tiny and huge ones, and a query that is not finite."""
+    r = np.random.default_rng(9)
+    for offset, spread, unit in ((0, 1, 1), (1e4, 1e-3, 1), (0, 1, 1e-25), (0, 1, 1e25)):
+        y = unit * (offset + np.repeat(r.normal(0, 1, (3, 10)), 700, axis=0) + r.normal(0, spread, (2100, 10)))
+        y[100:400] = y[100] + unit * 1e-9 * r.normal(0, 1, (300, 10))  # nearly equal targets
+        x = np.r_[y[::21] + unit * 1e-3 * spread * r.normal(0, 1, (100, 10)), np.full((1, 10), np.nan)]
+        ids = r.permutation(2100)
+        t, dist = matching._two_closest(x, np.full(101, np.inf), y, ids)
+        for i in range(100):
+            d = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
+            first = np.lexsort((ids, d))[:2]
+            assert (t[i] == ids[first]).all() and (dist[i] == d[first]).all()
+        assert not np.isfinite(dist[100]).any()
