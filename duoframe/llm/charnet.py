@@ -9,8 +9,9 @@ import numpy as np
 from .textbytes import ragged
 
 WINDOW, SYMBOLS, SIZE, WIDTH, FILTERS = 72, 98, 8, 5, 24
-SPAN = 1 << 14  # places whose convolution is held at a time
+SPAN = 1 << 14  # places whose convolution is held at a time, about
 SPACE = 2  # the symbol of a space
+TOP = 3  # maxima over up to 2**TOP places are kept for every place; longer ranges are made of several
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
@@ -47,7 +48,8 @@ class CharNet:
     def _forward(self, x: np.ndarray) -> tuple:
         p = self.parts
         e = p["symbol"][x[:, :, 0]] + p["inside"][x[:, :, 1]]
-        patches = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - WIDTH + 1, WIDTH * SIZE)
+        places = WINDOW - WIDTH + 1
+        patches = np.concatenate([e[:, j : j + places] for j in range(WIDTH)], axis=2)
         h = np.maximum(patches @ p["kernel"] + p["bias"], 0)
         pooled = np.concatenate([h.max(axis=1), h.mean(axis=1)], axis=1)
         return patches, h, pooled, pooled @ p["out"] + p["base"][0]
@@ -66,62 +68,106 @@ class CharNet:
         """`probability` of the windows at `low` of a row of symbols, marked from `first` to `end`."""
         return self.chance(self.logit_at(symbol, low, first, end))
 
-    def logit_at(self, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray, bare: np.ndarray | None = None) -> np.ndarray:
-        """`logit` of such windows, in single precision; bare: those with spaces for what is before the mark.
+    def logit_at(self, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """`logit` of such windows, in single precision."""
+        return self.forms_at(symbol, low, first, end, np.zeros(len(low), bool))[0]
+
+    def forms_at(self, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`logit` of such windows, and of those of them that are bare with spaces for what is before the mark.
 
         Windows overlap, so the convolution of the unmarked symbols is made once per place. Only the
         places that touch its mark are a window's own. The others are a range on its left and one on
-        its right, whose maximum comes from a table of maxima over 1, 2, 4, ... places; the mean
-        enters the logit as a sum of one number a place.
+        its right, whose maximum comes from a table of maxima over 1, 2, 4 and 8 places; the mean
+        enters the logit as a sum of one number a place. The two forms differ only in the range on
+        the left and in the few places that reach into the mark from there.
         """
         p = {k: v.astype(np.float32) for k, v in self.parts.items()}
         kernel, places = p["kernel"].reshape(WIDTH, SIZE, FILTERS), WINDOW - WIDTH + 1
         of_most, of_mean = p["out"][:FILTERS], p["out"][FILTERS:] / places
         taps = (p["symbol"] + p["inside"][0]) @ kernel
         taps[0] += p["bias"]
+        to_space = [taps[j, SPACE] - taps[j] for j in range(WIDTH - 1)]
         # what the marks add: to a place whose symbols from the i-th up to the j-th are marked
         by_tap = np.concatenate([np.zeros((1, FILTERS), np.float32), np.cumsum((p["inside"][1] - p["inside"][0]) @ kernel, axis=0)])
         marks = (by_tap[None] - by_tap[:, None]).reshape(-1, FILTERS)
         blank = np.maximum(taps[:, SPACE].sum(axis=0), 0)
-        bare = np.zeros(len(low), bool) if bare is None else bare
-        out = np.zeros(len(low))
+        out, of_bare = np.zeros(len(low)), np.zeros(len(low))
         order = np.argsort(low, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(low[order] // SPAN)) + 1) if len(order) else ():
+        spread = int(low.max() - low.min()) + 1 if len(low) else 1
+        group = (low[order] - low[order[:1]]) * max(1, round(spread / SPAN)) // spread
+        for part in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ():
             base = int(low[part[0]])
-            own, start, head, tail, plain = symbol[base : int(low[part[-1]]) + WINDOW], low[part] - base, first[part] - base, end[part] - base, ~bare[part]
+            own, start, head, tail = symbol[base : int(low[part[-1]]) + WINDOW], low[part] - base, first[part] - base, end[part] - base
             n = len(own) - WIDTH + 1
-            plane = taps[0].take(own[:n], axis=0)
-            for j in range(1, WIDTH):
-                plane += taps[j].take(own[j : j + n], axis=0)
+            # pairs of the symbols that occur here: three rows a place instead of five
+            seen = np.flatnonzero(np.bincount(own, minlength=SYMBOLS))
+            number = np.zeros(SYMBOLS, np.int64)
+            number[seen] = np.arange(len(seen))
+            pair = number[own]
+            pair = pair[:-1] * len(seen) + pair[1:]
+            both = lambda j: (taps[j, seen][:, None] + taps[j + 1, seen][None]).reshape(-1, FILTERS)
+            plane = both(0).take(pair[:n], axis=0)
+            plane += both(2).take(pair[2 : 2 + n], axis=0)
+            plane += taps[4].take(own[4 : 4 + n], axis=0)
             levels = [np.maximum(plane, 0)]
             running = np.concatenate([[0], np.cumsum(levels[0] @ of_mean, dtype=float)])
             a, b, stop = np.maximum(head - WIDTH + 1, start), np.minimum(tail, start + places), start + places
-            for k in range(int(max((a - start).max(), (stop - b).max())).bit_length() - 1):
-                levels.append(np.maximum(levels[-1][: -(1 << k)], levels[-1][1 << k :]))
-            size = b - a
-            place, of = ragged(a, size), np.repeat(np.arange(len(part)), size)
-            before = head[of] - place
+            which = np.flatnonzero(bare[part])
+            # the places inside the mark and the range on the right, alike in both forms; with one form all places of the mark
+            inner = np.maximum(head, start) if len(which) else a
+            size = b - inner
+            place, of = ragged(inner, size), np.repeat(np.arange(len(part)), size)
             met = plane.take(place, axis=0)
-            met += marks.take(np.maximum(before, 0) * (WIDTH + 1) + np.minimum(tail[of] - place, WIDTH), axis=0)
-            blanked = np.flatnonzero((before > 0) & bare[part][of])
-            for j in range(WIDTH - 1):
-                row = blanked[before[blanked] > j]
-                met[row] += (taps[j, SPACE] - taps[j]).take(own[place[row] + j], axis=0)
+            met += marks.take(np.maximum(head[of] - place, 0) * (WIDTH + 1) + np.minimum(tail[of] - place, WIDTH), axis=0)
             np.maximum(met, 0, out=met)
             at = np.cumsum(size) - size
             most = np.maximum.reduceat(met, at, axis=0)
             total = running[stop] - running[b] + np.add.reduceat(met @ of_mean, at, dtype=float)
-            total += np.where(plain, running[a] - running[start], (a - start) * float(blank @ of_mean))
-            left = np.flatnonzero(~plain & (a > start))
-            most[left] = np.maximum(most[left], blank)
-            for low_, high, some in ((start, a, plain & (a > start)), (b, stop, stop > b)):
-                level = np.frexp(high - low_)[1] - 1
-                for k in np.unique(level[some]).tolist():
-                    i = np.flatnonzero(some & (level == k))
-                    both = np.maximum(levels[k].take(low_[i], axis=0), levels[k].take(high[i] - (1 << k), axis=0))
-                    most[i] = np.maximum(most[i], both)
+            left, right = np.flatnonzero(a > start), np.flatnonzero(stop > b)
+            for k in range(min(TOP, int(max((a - start).max(), (stop - b).max())).bit_length() - 1)):
+                levels.append(np.maximum(levels[-1][: -(1 << k)], levels[-1][1 << k :]))
+            self._range(levels, b, stop, right, most)
+            if len(which):
+                bare_most, bare_total = most[which], total[which] + (a - start)[which] * float(blank @ of_mean)
+                gone = a[which] > start[which]
+                bare_most[gone] = np.maximum(bare_most[gone], blank)
+            # the places before the mark that reach into it
+            for j in range(1, WIDTH if len(which) else 1):
+                i = np.flatnonzero(head - j >= start)
+                place = head[i] - j
+                met = plane.take(place, axis=0)
+                met += marks.take(j * (WIDTH + 1) + np.minimum(tail[i] - place, WIDTH), axis=0)
+                spaced = np.flatnonzero(bare[part[i]])
+                other, from_ = met.take(spaced, axis=0), place[spaced]
+                for t in range(j):
+                    other += to_space[t].take(own[from_ + t], axis=0)
+                np.maximum(other, 0, out=other)
+                to = np.searchsorted(which, i[spaced])
+                bare_most[to] = np.maximum(bare_most[to], other)
+                bare_total[to] += other @ of_mean
+                np.maximum(met, 0, out=met)
+                most[i] = np.maximum(most[i], met)
+                total[i] += met @ of_mean
+            self._range(levels, start, a, left, most)
+            total += running[a] - running[start]
             out[part] = most @ of_most + total + p["base"][0]
-        return out
+            if len(which):
+                of_bare[part[which]] = bare_most @ of_most + bare_total + p["base"][0]
+        return out, of_bare[bare]
+
+    @staticmethod
+    def _range(levels: list[np.ndarray], low: np.ndarray, high: np.ndarray, some: np.ndarray, most: np.ndarray) -> None:
+        """Take the maxima over the places from low up to high into those of some windows."""
+        low, high = low[some], high[some]
+        level = np.minimum(np.frexp(high - low)[1] - 1, TOP)
+        for k in np.unique(level).tolist():
+            i = np.flatnonzero(level == k)
+            at, last = low[i], high[i] - (1 << k)
+            both = levels[k].take(last, axis=0)
+            for _ in range(-(-int((last - at).max()) // (1 << k)) if k == TOP else 1):  # only ranges of the top level need several
+                np.maximum(both, levels[k].take(np.minimum(at, last), axis=0), out=both)
+                at = at + (1 << k)
+            most[some[i]] = np.maximum(most[some[i]], both)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         forward = self._forward(x)

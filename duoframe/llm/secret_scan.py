@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -28,24 +29,20 @@ ROUNDS, EPOCHS, ENOUGH = (0, 1, 4, 16, 64), 12, 1 << 20  # shares of the texts,
 FINE, LEAST = 1024, 0.0  # steps of a logit in the calibration; logits of candidates that are kept until the threshold is known
 SPAN = pa.struct([("kind", pa.int32()), ("first", pa.int64()), ("end", pa.int64()), ("logit", pa.float64())])
 COUNT = pa.struct([("step", pa.int64()), ("secret", pa.bool_()), ("n", pa.int64())])
-_HEX, _TOKEN, _DIGIT, _SET = (np.zeros(256, bool) for _ in range(4))
+_HEX, _TOKEN, _SET = (np.zeros(256, bool) for _ in range(3))
 _HEX[[*b"0123456789abcdef"]] = True
 _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
-_DIGIT[[*b"0123456789"]] = True
 _SET[[*b":="]] = True
 
 
 def _runs(mask: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and end byte of the runs of at least `least` bytes that stay inside a text."""
-    n, rows = len(mask), len(at) - 1
-    shift = np.repeat(np.arange(rows), np.diff(at))
-    apart = np.zeros(n + rows + 1, bool)
-    apart[np.arange(n) + shift] = mask
-    edge = np.diff(apart.astype(np.int8), prepend=0)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.zeros((2, len(mask) + 1), bool)  # whether a run may begin at a byte, and whether one may end before it
+    edge[0, 1:], edge[1, :-1] = ~mask, ~mask
+    edge[:, at] = True
+    first, end = np.flatnonzero(mask & edge[0, :-1]), np.flatnonzero(mask & edge[1, 1:]) + 1
     long = end - first >= least
-    row = np.searchsorted(at[1:] + np.arange(rows), first[long], "right")
-    return row, first[long] - row, end[long] - row
+    return np.searchsorted(at, first[long], "right") - 1, first[long], end[long]
 
 
 def _base(column: pa.Array, data: np.ndarray, at: np.ndarray, points: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -87,8 +84,6 @@ class _Slice:
         self.symbol = np.zeros(len(codes) + WINDOW * (len(at) - 1), np.int16)
         self.symbol[ragged(self.text, self.stop - self.text)] = symbols(codes)
         self.row, first, end = _runs(_TOKEN[data], at, CANDIDATE_LENGTH)
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        self.digit = digits[end] > digits[first]
         self.first, self.end = points[first] + gaps[self.row], points[end] + gaps[self.row]
         marked = np.zeros(len(self.symbol) + 1, np.int64)
         for r, spans in self.base.items():
@@ -153,8 +148,7 @@ class _Labelled:
 
 def _both_logits(net: CharNet, symbol: np.ndarray, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Logits of the windows as they are, then without the context before the candidate, so that its characters must tell."""
-    bare = np.repeat([False, True], len(low))
-    return net.logit_at(symbol, np.tile(low, 2), np.tile(first, 2), np.tile(end, 2), bare)
+    return np.concatenate(net.forms_at(symbol, low, first, end, np.ones(len(low), bool)))
 
 
 def _network_inputs(symbol: np.ndarray, first: np.ndarray, end: np.ndarray, bare: np.ndarray) -> np.ndarray:
@@ -263,13 +257,15 @@ def _scored(batches: Iterator[pa.RecordBatch], net: CharNet) -> Iterator[pa.Reco
     """
     total: dict[tuple[int, bool], int] = {}
     kind = batch = None
-    for batch in slices(batches, "text"):
+    # held-out texts apart from the others: both of their forms are needed, of the others only one
+    parted = (p for b in slices(batches, "text") for p in (b.filter(b.column("held")), b.filter(pc.invert(b.column("held")))) if p.num_rows)
+    for batch in parted:
         w = _Labelled(batch.column("text"))
         s, kind = w.slice, batch.schema.field("doc_id").type
         held = np.array(batch.column("held"), bool)[s.row[w.which]]
-        plain, bare = np.flatnonzero(held | ~w.secret), np.flatnonzero(held)
-        some = np.concatenate([plain, bare])
-        z = net.logit_at(s.symbol, w.low[some], w.first[some], w.end[some], np.arange(len(some)) >= len(plain))
+        plain = np.flatnonzero(held | ~w.secret)
+        some = np.concatenate([plain, np.flatnonzero(held)])
+        z = np.concatenate(net.forms_at(s.symbol, w.low[plain], w.first[plain], w.end[plain], held[plain]))
         best = np.full(len(s.first), -np.inf)
         open_ = ~w.secret[plain]
         np.maximum.at(best, w.which[plain[open_]], z[: len(plain)][open_])

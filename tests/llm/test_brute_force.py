@@ -15,7 +15,7 @@ from compare import connect, differences
 from llm_cases import FOLDER, ODD
 from tokenizers import Tokenizer
 
-from duoframe.llm import bagminhash, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, tokens, toxicity
+from duoframe.llm import bagminhash, charnet, contamination, exact, near, packing, repeats, revisits, secret_scan, sharding, tokenfile, tokens, toxicity
 from duoframe.llm.queries import ORACLE, QUERIES
 from duoframe.llm.textbytes import Words, mix
 
@@ -572,6 +572,31 @@ def test_forms_of_a_window_by_the_shared_convolution():
         assert np.abs(net.logit(x) - got).max() < 1e-5
 
 
+def test_both_forms_come_from_one_pass(monkeypatch):
+    """Some windows in both forms, others in one, over several parts: the logits of the plain windows, each place convolved once."""
+    texts = [t for _, t in documents()[:30]] + ["x" * 500 + " ü abcdefgh", "", None, "abcdefgh", "0123456789" * 12 + " q " + "abcdefgh " * 9]
+    w, net = secret_scan._Labelled(pa.array(texts, pa.string())), secret_scan.CharNet.new()
+    every = np.arange(len(w.low))
+    for span in (300, 1 << 14):
+        monkeypatch.setattr(charnet, "SPAN", span)
+        for bare in (every % 3 == 0, every < 0, (every % 50 == 0) & (every > 200)):
+            plain, other = net.forms_at(w.slice.symbol, w.low, w.first, w.end, bare)
+            assert np.abs(plain - net.logit(secret_scan._network_inputs(*w.rows(every), every < 0))).max() < 1e-5
+            assert len(other) == bare.sum()
+            if len(other):
+                assert np.abs(other - net.logit(secret_scan._network_inputs(*w.rows(every[bare]), every[bare] >= 0))).max() < 1e-5
+    assert all(len(x) == 0 for x in net.forms_at(w.slice.symbol, *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool)))
+
+
+def test_runs_stay_inside_their_texts():
+    texts = ["abc", "", "ab x abcd", "", "", "abcd", "x", "xabc", "abc abc"]
+    at = np.cumsum([0, *map(len, texts)])
+    mask = np.isin(np.frombuffer("".join(texts).encode(), np.uint8), [*b"abcd"])
+    want = [(i, at[i] + m.start(), at[i] + m.end()) for i, t in enumerate(texts) for m in re.finditer("[a-d]{3,}", t)]
+    assert list(zip(*(v.tolist() for v in secret_scan._runs(mask, at, 3)))) == want
+    assert [len(v) for v in secret_scan._runs(np.zeros(0, bool), np.zeros(1, np.int64), 3)] == [0, 0, 0]
+
+
 # -- decontamination
 
 def brute_hits(text, items):
